@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import langid, mixing, quality, sharding, simhash, substrings, warc
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -26,8 +26,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without windows of 20 words that start earlier too."""
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"), 20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives and read back in byte ranges."""
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that links at two or fewer bits make."""
+    found = simhash.linked(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the outlier verdict of all documents."""
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those of folds 1 to 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.trained(docs.where(langid.fold() != 0))
+    found = langid.identified(docs, model)
+    return found.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op8_language)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP4 = """
