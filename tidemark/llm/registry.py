@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, simhash, substrings, warc
+from . import decontamination, langid, licenses, mixing, quality, secrets, sharding, simhash, substrings, warc
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -58,7 +58,42 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op8_language)
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each a path with one version, scanned with an empty ledger."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = len(secrets.BASE)
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{rule.name}") for i, rule in enumerate(secrets.BASE)),
+        F.sha2(named(F.filter("spans", lambda s: s["rank"] < base)), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents, with the passage that holds each best."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sorted_ = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.col(labels))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        sorted_("base.label").alias("base_labels"),
+        sorted_("labels").alias("labels"),
+        "score",
+    )
+
+
+QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses)
 
 
 def queries() -> dict:

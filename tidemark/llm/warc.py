@@ -30,8 +30,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that a reader asks for at once, and to which a header may run.
-CHUNK, HEADER = 1 << 20, 1 << 16
+#: Bytes that a reader asks for at once, to which a header may run, and that are inflated at once.
+CHUNK, HEADER, PIECE = 1 << 20, 1 << 16, 1 << 14
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -86,7 +86,7 @@ def _write(folder: str, file_bytes: int):
                 if out is None:
                     path, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(posixpath.join(root, path))
+                    out = store.open_output_stream(posixpath.join(root, path), compression=None)  # the name would have it compress again
                 member = record(page.as_py(), url.as_py(), (payload.as_py() or "").encode(), refers.as_py())
                 out.write(member)
                 size, n = size + len(member), n + 1
@@ -123,16 +123,18 @@ def _inflated(data: memoryview, file, at: int) -> tuple[bytes, int] | None:
     while True:
         if not len(data):
             return None  # the file ends within it
-        try:
-            parts.append(inflate.decompress(data))
-        except zlib.error:
-            return None
-        if len(parts) == 1 and not parts[0].startswith(VERSION[: len(parts[0])]):
-            return None
-        used += len(data)
-        if inflate.eof:
-            whole = b"".join(parts)
-            return (whole, at + used - len(inflate.unused_data)) if whole.startswith(VERSION) else None
+        for i in range(0, len(data), PIECE):
+            piece = data[i : i + PIECE]
+            try:
+                parts.append(inflate.decompress(piece))
+            except zlib.error:
+                return None
+            if len(parts) == 1 and not parts[0].startswith(VERSION[: len(parts[0])]):
+                return None
+            used += len(piece)
+            if inflate.eof:
+                whole = b"".join(parts)
+                return (whole, at + used - len(inflate.unused_data)) if whole.startswith(VERSION) else None
         file.seek(at + used)
         data = memoryview(file.read(CHUNK))
 
