@@ -139,5 +139,5 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[R
         every = ledger.select("blob", "scanned", "spans").unionByName(gained).where(F.size("spans") > 0)
         names = F.transform(F.array_intersect("scanned", valid), lambda k: F.substring_index(k, "@", 1))
         every = every.withColumn("spans", F.filter("spans", lambda s: F.array_contains(names, s["rule"])))
-        current = every.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+        current = written(every.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")), "secrets-current")
     return paths.join(current, "blob", "left").select(*rest, "blob", F.coalesce("spans", none).alias("spans")), gained

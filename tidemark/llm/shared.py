@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table, to be broadcast if it has few rows, else as it is, for Spark to join as it likes."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later result reads."""
     for table in tables:

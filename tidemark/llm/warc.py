@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("payload"))
     keys = rows.select("page_id", F.sha2("payload", 256).alias("same"), (F.octet_length("payload") >= min_bytes).alias("shared")).where("shared")
     keys = written(keys.select("page_id", "same"), "warc-digests")
-    first = keys.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(keys.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-firsts")
     revisits = written(keys.join(first, "same").where("page_id > first").select("page_id", F.col("first").alias("refers_to")), "warc-revisits")
     rows = rows.join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
     return written(rows.mapInArrow(_write(folder, file_bytes), "path string, bytes long, records long"), "warc-files")
