@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import basic_queries, breadth_queries, indicator_queries, market_queries, portfolio_queries, screen_queries
+
+MODULES = (basic_queries, breadth_queries, screen_queries, indicator_queries, market_queries, portfolio_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.Q.sql.items()}
