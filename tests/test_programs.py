@@ -52,7 +52,7 @@ def test_ledger_limits_positions_and_closes_leftovers(spark):
 def test_streamed_windows_equal_batch(spark, tmp_path):
     stream = events.tumbling(events.source(spark, SF), "1 day", "365 days")
     got = events.drained(stream, "tumbling_test", str(tmp_path / "c"))
-    want = events.tumbling(spark.read.parquet(f"{SF}/events.parquet"), "1 day")
+    want = events.tumbling(events.timed(spark.read.parquet(f"{SF}/events.parquet")), "1 day")
     assert got.select("start", "event_type", "events").exceptAll(want.select("start", "event_type", "events")).count() == 0
     assert got.count() == want.count()
 

@@ -15,7 +15,12 @@ LATE = "10 minutes"
 def source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """The event table as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return timed(spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder))
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """events with ts as a timestamp, which watermarks need."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def once(events: DataFrame, late: str = LATE) -> DataFrame:
