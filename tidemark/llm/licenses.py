@@ -2,9 +2,9 @@ r"""License scans by ordered signature rules.
 
 A text is folded to words (A-Z lower-cased; runs of digits, a-z and anything beyond ASCII), joined by
 one space. Each rule is a regular expression over that, with a keyword: only rules whose keyword is
-among the text's words are tried. Detections have a priority, that of their rule. One that lies within
-the interval of another with at least its priority is suppressed, and so is one that overlaps another
-with a higher priority; what remains gives the labels.
+among the text's words are tried. Detections have a priority, that of their rule. From the strongest down,
+one that lies within the interval of another that has remained is suppressed, and so is one that overlaps
+a remaining one of higher priority; what remains gives the labels.
 
 Rules come from a table of hand-written signatures by license, each tried as a bare name, after words of
 granting, in an identifier line and in a header line, so that there are some hundreds.

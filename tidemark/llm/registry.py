@@ -124,5 +124,23 @@ select doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - flo
 """
 
 
+OP2 = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+windows as (select doc_id, s, array_to_string(words[s:s + 19], ' ') as window20 from (select doc_id, words, unnest(range(1, len(words) - 18)) as s from w where len(words) >= 20)),
+ranked as (select doc_id, s, row_number() over (partition by window20 order by doc_id, s) as k from windows),
+gone as (select doc_id, list_distinct(flatten(list(range(s, s + 20)))) as places from ranked where k > 1 group by doc_id),
+kept as (select w.doc_id, words, coalesce(len(places), 0) as removed, case when places is null then words else list_filter(words, lambda x, i: not list_contains(places, i)) end as rest from w left join gone using (doc_id))
+select doc_id, len(words)::bigint as n_words, removed::bigint as n_removed, sha256(array_to_string(rest, ' ')) as kept_sha256 from kept
+"""
+OP3 = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select *, sha1(body) as hex, min(page_id) over (partition by body) as first from p),
+d as (select *, list_transform(range(8), lambda g: ('0x' || hex[5 * g + 1:5 * g + 5])::int) as parts from h)
+select page_id, strlen(body)::bigint as payload_bytes,
+  array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> k) & 31) + 1]), '')), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_mixing": OP4}
+    return {"op2_substring_dedup": OP2, "op3_warc": OP3, "op4_mixing": OP4}
