@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.windows import change, clamp, crossed_down, crossed_up, deviation, highest, lag, lowest, rolling, rows, slope, sma, true_range
-from .basics import rsi_simple
+from ..sources.bars import latest, numbered
+from .basics import atr, rsi_simple
 from .screens import NUMBER, Recursive, Screen
 
 SINCE = {"diff": f"coalesce(close - {lag('close')}, 0)"}
@@ -274,16 +278,18 @@ def green_line(strength: int = 10, look_back: int = 63, confirmation: int = 10)
 
 
 def trend_model() -> Screen:
+    """Where the close stands to three averages and how they slope, a projection over five bars, and how steady the side of the middle average has been."""
     return Screen(
         "trend_model",
         (
-            NUMBER | {f"sma_{n}": sma("close", n) for n in (10, 20, 50)} | {"ret": change("close")},
-            {f"slope_{n}": f"(sma_{n} / nullif({lag(f'sma_{n}', 5)}, 0) - 1) * 100" for n in (10, 20, 50)} | {"up_share": f"avg(case when ret > 0 then 1.0 else 0.0 end) over {rows(19)}"},
-            {"score": "case when sma_10 > sma_20 then 1 else -1 end + case when sma_20 > sma_50 then 1 else -1 end + case when close > sma_20 then 1 else -1 end", "projected": "close * (1 + slope_20 / 100)"},
-            {"trend": "case when score >= 2 then 'up' when score <= -2 then 'down' else 'sideways' end"},
+            NUMBER | {f"sma_{n}": sma("close", n) for n in (10, 20, 50)},
+            {f"slope_{n}": f"case when bar >= {least} then (sma_{n} - {lag(f'sma_{n}', k)}) / {k}e0 else 0 end" for n, k, least in ((10, 5, 15), (20, 10, 30), (50, 20, 70))}
+            | {"side": "case when close > sma_20 then 1 else 0 end", "signals": " + ".join(f"case when close > sma_{n} then 1 else 0 end" for n in (10, 20, 50)), "recent": change("close", 5)},
+            {"steady": f"sum(side) over {rows(18, -4)}", "projected": "(recent * 0.3 + slope_20 / nullif(close, 0) * 0.7) * 5"},
+            {"score": f"signals / 3e0 * 50 + {clamp('(slope_10 + slope_20 + slope_50) * 1000', -50, 50)}", "confidence": "case when side = 1 then steady else 15 - steady end / 15e0", "price_5": "close * (1 + projected)"},
         ),
-        "bar >= 55",
-        ("close", "sma_10", "sma_20", "sma_50", "slope_10", "slope_20", "slope_50", "up_share", "score", "projected"), labels=("trend",),
+        "bar >= 50",
+        ("close", "slope_10", "slope_20", "slope_50", "signals", "score", "projected", "price_5", "confidence"),
     )
 
 
@@ -293,23 +299,63 @@ def mean_reversion(n: int = 20, width: float = 2.0) -> Screen:
         (
             NUMBER | SINCE | {"middle": sma("close", n), "sd": deviation("close", n)},
             {"upper": f"middle + {width} * sd", "lower": f"middle - {width} * sd", "rsi": rsi_simple()},
-            {"position": "(close - lower) / nullif(upper - lower, 0)", "z": "(close - middle) / nullif(sd, 0)"},
-            {"signal": "case when close < lower and rsi < 30 then 'strong buy' when close < lower or rsi < 30 then 'buy' when close > upper and rsi > 70 then 'strong sell' when close > upper or rsi > 70 then 'sell' else 'neutral' end"},
+            {"position": "(close - lower) / nullif(upper - lower, 0)", "potential": "middle / nullif(close, 0) - 1"},
+            {"score": "case when rsi < 30 and position < 0.2 then 100 - rsi when rsi > 70 and position > 0.8 then rsi - 100 else 0 end", "direction": "case when rsi < 30 and position < 0.2 then 'up' when rsi > 70 and position > 0.8 then 'down' else 'neutral' end"},
         ),
-        f"bar >= {n}",
-        ("close", "middle", "upper", "lower", "position", "z", "rsi"), labels=("signal",), order="z",
+        "bar >= 30",
+        ("close", "middle", "upper", "lower", "position", "rsi", "score", "potential"), labels=("direction",),
     )
 
 
 def volatility_model(n: int = 20, year: int = 252) -> Screen:
+    """Volatility now against all of the ticker's history."""
+    every = "(partition by ticker)"
     return Screen(
         "volatility_model",
         (
             NUMBER | {"ret": change("close")},
-            {"volatility": f"{deviation('ret', n)} * sqrt({year})", "downside": f"stddev_samp(case when ret < 0 then ret end) over {rows(year - 1)} * sqrt({year})"},
-            {"mean_volatility": f"avg(volatility) over {rows(year - 1)}", "rank": clamp(f"(volatility - min(volatility) over {rows(year - 1)}) / nullif(max(volatility) over {rows(year - 1)} - min(volatility) over {rows(year - 1)}, 0)", 0, 1)},
-            {"regime": "case when rank >= 0.8 then 'high' when rank <= 0.2 then 'low' else 'normal' end"},
+            {"vol_20": deviation("ret", n), "vol_50": deviation("ret", 50), "recent": deviation("ret", 5)},
+            {
+                "volatility": f"stddev_samp(ret) over {every} * sqrt({year})", "current_20": f"vol_20 * sqrt({year})", "mean_50": f"avg(vol_50) over {every} * sqrt({year})",
+                "percentile": f"count(vol_20) over (partition by ticker order by vol_20 range unbounded preceding) * 100e0 / nullif(count(ret) over {every}, 0)",
+                "clustering": f"recent / nullif(percentile(vol_20, 0.5) over {every}, 0)", "var_95": f"case when count(ret) over {every} >= {year} then percentile(ret, 0.05) over {every} end",
+                "downside": f"case when count(case when ret < 0 then 1 end) over {every} > 5 then stddev_samp(case when ret < 0 then ret end) over {every} else stddev_samp(ret) over {every} end * sqrt({year})",
+            },
+            {"regime": "case when percentile > 80 then 'high' when percentile < 20 then 'low' else 'normal' end"},
+        ),
+        "bar >= 30",
+        ("close", "volatility", "current_20", "mean_50", "percentile", "clustering", "var_95", "downside"), labels=("regime",), order="volatility",
+    )
+
+
+def momentum_volume(bars: int = 15, volume_bars: int = 15, trend: int = 50, multiple: float = 1.5, long: bool = True) -> Screen:
+    """Momentum, volume ratio and trend of every ticker, with a signal."""
+    loud, quiet = f"volume_ratio > {multiple}", f"volume_ratio < {1 / multiple}"
+    buy, sell = (f"{loud} and momentum > 0", f"{quiet} and momentum < 0") if long else (f"{quiet} and momentum > 0", f"{loud} and momentum < 0")
+    return Screen(
+        "momentum_volume",
+        (
+            NUMBER | {"momentum": f"coalesce({change('close', bars - 1)}, 0)", "volume_ratio": f"coalesce(volume / nullif({sma('volume', volume_bars)}, 0), 1)", "trend_score": f"coalesce({change('close', trend - 1)}, 0)"},
+            {"score": "(momentum * 0.4 + (volume_ratio - 1) * 0.4 + trend_score * 0.2) * 100", "signal": f"case when {buy} then 'BUY' when {sell} then 'SELL' else 'HOLD' end"},
         ),
-        f"bar >= {n + 1}",
-        ("close", "volatility", "mean_volatility", "rank", "downside"), labels=("regime",), order="volatility",
+        f"bar > {bars}",
+        ("close", "momentum", "volume_ratio", "trend_score", "score"), labels=("signal",),
     )
+
+
+#: Conditions and scores of the types of the range screener.
+ATR_TYPES = {
+    "high_volatility": ("atr_percentile > 0.8", "(atr_percentile - 0.8) * 100 + atr_pct * 2"),
+    "low_volatility": ("atr_percentile < 0.2", "(0.2 - atr_percentile) * 100 + (5 - atr_pct)"),
+    "extended_above": ("atr_ext > 2", "atr_ext * 10 + atr_percentile * 20"),
+    "extended_below": ("atr_ext < -2", "-atr_ext * 10 + atr_percentile * 20"),
+    "optimal_entry": ("abs(atr_ext) <= 1", "(1 - abs(atr_ext)) * 50 + atr_percentile * 20"),
+}
+
+
+def atr_types(bars: DataFrame, price: float = 1.0, volume: float = 10_000) -> DataFrame:
+    """ticker, date, kind, close, atr, atr_pct, atr_ext, atr_percentile and score: a row for each type that the last bar of a ticker with 110 bars fits."""
+    last = latest(numbered(atr(bars))).where((F.col("bar") >= 110) & (F.col("close") >= price) & (F.col("volume") >= volume))
+    fits = [F.when(F.expr(c), F.struct(F.lit(k).alias("kind"), F.expr(s).alias("score"))) for k, (c, s) in ATR_TYPES.items()]
+    out = last.withColumn("fit", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull()))).where("fit.score > 0")
+    return out.select("ticker", "date", "fit.kind", "close", "atr", "atr_pct", "atr_ext", "atr_percentile", "fit.score")

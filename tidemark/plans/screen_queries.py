@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import rank_share
+from ..functions.windows import rank_share, rows, sma, true_range
 from ..operators import adl, machines, screeners, volume
 from ..operators.screens import Screen, ranked, screened, united
 from ..sources import bars as source
@@ -44,8 +44,8 @@ def screen_sql(screen: Screen, before: tuple[str, ...] = (), start: str = "bars"
     return text
 
 
-def result(rows, screen: Screen):
-    return shown(screened(rows, screen).select("ticker", "date", *(F.col(c).cast("double").alias(c) for c in screen.columns), *screen.labels), digits=3)
+def result(table, screen: Screen):
+    return shown(screened(table, screen).select("ticker", "date", *(F.col(c).cast("double").alias(c) for c in screen.columns), *screen.labels), digits=3)
 
 
 SCREENS = {
@@ -65,6 +65,7 @@ SCREENS = {
     "trend_model": screeners.trend_model(),
     "mean_reversion_model": screeners.mean_reversion(),
     "volatility_model": screeners.volatility_model(),
+    "momentum_volume": screeners.momentum_volume(),
     "volume_vroc": volume.vroc(threshold=100),
     "volume_rvol": volume.rvol(threshold=1.8, volume=10),
     "volume_adtv": volume.adtv(threshold=1.2, volume=10),
@@ -176,6 +177,19 @@ def giusti(spark, sf_dir):
     return shown(out, "ticker", "perf_12m", "perf_6m", "perf_3m", digits=3)
 
 
+_ATR = (
+    sql.layer("a", "bars", tr=true_range()), sql.layer("b", "a", atr=sql.wilder("tr", 14), bar="row_number() over (partition by ticker order by date)"),
+    sql.layer("c", "b", atr_pct="atr / nullif(close, 0) * 100", atr_ext=f"(close - {sma('close', 50)}) / nullif(atr, 0)", past=f"list(atr) over {rows(99)}"),
+    "l as (select *, len(list_filter(past, lambda x: x < atr)) / 100.0::double as atr_percentile from c qualify row_number() over (partition by ticker order by date desc) = 1)",
+    "f as (" + " union all ".join(f"select ticker, date, '{k}' as kind, close, atr, atr_pct, atr_ext, atr_percentile, {s} as score from l where bar >= 110 and {c}" for k, (c, s) in screeners.ATR_TYPES.items()) + ")",
+)
+
+
+@Q.add("screen_atr_types", sql.on_bars(*_ATR, select="select ticker, date, kind, round(close, 3) as close, round(atr, 3) as atr, round(atr_pct, 3) as atr_pct, round(atr_ext, 3) as atr_ext, round(atr_percentile, 3) as atr_percentile, round(score, 3) as score from f where score > 0"))
+def atr_types(spark, sf_dir):
+    return shown(screeners.atr_types(source.daily(spark, sf_dir), volume=0), digits=3)
+
+
 @Q.add("screen_atr_signals")
 def atr_signals(spark, sf_dir):
     return shown(machines.atr_signals(source.daily(spark, sf_dir), volume=0), digits=3)
