@@ -13,21 +13,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Every round links each node's larger neighbours to its smallest one and then its smaller
     neighbours, so that paths shorten by about half; it ends when each component is a star. Each step
-    groups by node with a minimum and joins it back, so that a node with very many links is split
-    between tasks by Spark's skew join; every round is written to the shared folder.
+    takes minima by node, as a table of their own, and joins them back, so that Spark can split the
+    links of a node with very many; every round is written to the shared folder.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
     while True:
         # a > b: towards the smallest neighbour of both sides.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        least = written(least, name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = written(large.where("a > b").distinct(), name)
-        low = large.groupBy("a").agg(F.min("b").alias("least"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("least")), name)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a > b").unionByName(low.select("a", F.col("least").alias("b")))
         small = written(small.distinct(), name)
         changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        dropped(edges, large)
+        dropped(edges, large, least, low)
         edges = small
         if not changed:
             break

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .words import folded
+from .words import folded, sliced
 
 #: Words of a block and most of a segment; latent dimensions, with some more while they are sought.
-BLOCK, RANK, SPARE, ROUNDS = 64, 96, 16, 3
+BLOCK, RANK, SPARE, ROUNDS = 64, 64, 16, 2
 #: Bytes of benchmark texts at most; queries compared at a time.
 MAX_BYTES, AT_A_TIME = 8 << 20, 2048
 
@@ -39,18 +40,17 @@ class Limits:
     `answered` of the answer is there as well."""
 
     max_share: float = 0.002
-    cosine: float = 0.35
+    cosine: float = 0.5
     copied: float = 0.75
     paraphrased: float = 0.55
     answered: float = 0.7
 
 
 class Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    """Numbers of terms; other words are -1."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
 
 
 @dataclass
@@ -82,7 +82,7 @@ def _occurrences(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value.terms
-        for batch in batches:
+        for batch in sliced(batches):
             n, blocks, ids = [], [], []
             for text in batch.column("text"):
                 found = terms.of(folded(text.as_py()))
@@ -143,7 +143,8 @@ def _times(shared):
         for batch in batches:
             total += _gram(*_flat(batch), weights, thin)
         some = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["term", "z"])
+        width = pa.array(np.arange(len(some) + 1) * total.shape[1], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(width, pa.array(total[some].ravel()))], ["term", "z"])
 
     return run
 
@@ -163,6 +164,7 @@ def _product(occurrences: DataFrame, own: tuple[np.ndarray, np.ndarray], weights
 class Space:
     benchmark: Benchmark
     latent: np.ndarray  # latent vector of each term, times its weight
+    heavy: Terms  # the terms that have weight
     queries: np.ndarray  # of each segment, of length 1; 0 for those without a term of weight
     limits: Limits
 
@@ -190,7 +192,8 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
     latent = (basis * weights[:, None]).astype(np.float32)
     queries = np.add.reduceat(latent[own[1]], np.flatnonzero(np.append(True, np.diff(segment))), axis=0)
     length = np.linalg.norm(queries, axis=1, keepdims=True)
-    return Space(benchmark, latent, np.divide(queries, length, out=np.zeros_like(queries), where=length > 1e-9), limits)
+    heavy = Terms({word: i for word, i in benchmark.terms.items() if latent[i].any()})
+    return Space(benchmark, latent, heavy, np.divide(queries, length, out=np.zeros_like(queries), where=length > 1e-9), limits)
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -222,9 +225,8 @@ def _checked(space: Space, segment: int, words: list[bytes]) -> float | None:
 def leaks_of(space: Space, text: str | None) -> list[tuple[int, int, float, float]]:
     """item, first word of the passage, cosine and share of each leaked item; the best passage of each."""
     words = folded(text)
-    ids = space.benchmark.terms.of(words)
+    ids = space.heavy.of(words)
     heavy = np.flatnonzero(ids >= 0)
-    heavy = heavy[space.latent[ids[heavy]].any(axis=1)]
     if not len(heavy):
         return []
     n = -(-len(words) // BLOCK)
@@ -268,7 +270,10 @@ def fitted(docs: DataFrame, items: DataFrame, limits: Limits | None = None, text
         raise ValueError(f"the benchmark has {size} bytes; tasks hold it up to {MAX_BYTES}")
     answers = F.col(answer).cast("string") if answer in items.columns else F.lit(None).cast("string")
     rows = items.select(F.col(item_id).cast("long"), item_text, answers.alias("a")).collect()
-    return latent_space(docs, segments([(i, t, a) for i, t, a in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]), limits or Limits(), text)
+    benchmark = segments([(i, t, a) for i, t, a in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))])
+    if not benchmark.words:
+        return Space(benchmark, np.zeros((0, RANK), np.float32), Terms(), np.zeros((0, RANK), np.float32), limits or Limits())
+    return latent_space(docs, benchmark, limits or Limits(), text)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -291,10 +296,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows of docs without a leaked item, with all columns."""
     space = fitted(docs, items, text=text, **settings)
+    if not len(space.benchmark.words):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda x: not leaks_of(shared.value, x), na_action=None).astype(bool)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([not leaks_of(shared.value, x.as_py()) for x in batch.column(text)], pa.bool_()))
 
-    return docs.where(clean(F.col(text))) if len(space.benchmark.words) else docs
+    return docs.mapInArrow(clean, docs.schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import sliced
+
 #: Hash buckets of trigrams; log-probability that a switch of language costs; letters of a chunk.
 BUCKETS, PENALTY, CHUNK = 1 << 17, 12.0, 1 << 20
 UNKNOWN = "und"
@@ -61,7 +63,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     for i in range(0x110000):
         kind = unicodedata.category(chr(i))[0]
         kinds[i] = 2 if kind == "L" else kind == "M"
-    scripts = np.zeros(0x110000, np.int64)
+    scripts = np.zeros(0x110000, np.uint8)
     for n, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             scripts[a : b + 1] = n
@@ -126,7 +128,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 item = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), kind, np.int32)), pa.array([lang] * len(item)), pa.array(item), pa.array(n[item])], ["kind", "lang", "item", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         langs, texts = batch.column("lang").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
         by_lang: dict[str, list[str]] = {}
         for lang, text in zip(langs, texts):
@@ -179,8 +181,30 @@ def word_scores(model: Model, words: Words) -> np.ndarray:
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best label of each word. lengths: words of each text; all texts take a step together."""
-    lengths = lengths[lengths > 0]
+    """The best label of each word. lengths: words of each text.
+
+    A text whose words nowhere gain more than the penalty by another label than the one that is best
+    over all keeps that label throughout: no stretch of others could pay for its switches.
+    """
+    labels = np.empty(len(scores), np.int16)
+    mixed = np.zeros(len(scores), bool)
+    at = 0
+    for n in lengths[lengths > 0].tolist():
+        own = scores[at : at + n]
+        best = int(own.sum(axis=0, dtype=np.float64).argmax())
+        gain = np.delete(own, best, axis=1).max(axis=1, initial=-np.inf) - own[:, best]
+        total = np.append(0.0, np.cumsum(gain, dtype=np.float64)) if own.shape[1] > 1 else np.zeros(1)
+        labels[at : at + n] = best
+        mixed[at : at + n] = (total - np.minimum.accumulate(total)).max() > penalty
+        at += n
+    some = np.flatnonzero(lengths > 0)
+    some = some[mixed[(np.cumsum(lengths) - lengths)[some]]]
+    labels[mixed] = _searched(scores[mixed], lengths[some], penalty)
+    return labels
+
+
+def _searched(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+    """The best label of each word by the algorithm itself; all texts take a step together."""
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     falling = lengths[order]
@@ -213,7 +237,7 @@ def _labelled(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             preds, sure, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for some in _chunks(texts) if model.langs else ():
@@ -257,12 +281,12 @@ def fold(doc_id: str = "doc_id"):
 
 def in_known_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs whose text is in a language, with all columns: "und" goes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    label = _labelled(shared)
+    label = _labelled(docs.sparkSession.sparkContext.broadcast(model))
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string(), from_pandas=True)], ["doc_id", "text"])
-        return next(label(iter([batch]))).column("lang_pred").to_pandas() != UNKNOWN
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(text)], ["doc_id", "text"])
+            labelled = pa.Table.from_batches(label(iter([texts])))
+            yield batch.filter(pa.array(labelled.column("lang_pred").to_numpy() != UNKNOWN))
 
-    return docs.where(known(F.col(text)))
+    return docs.mapInArrow(known, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small, written
 from .words import WordHashes, window_hashes
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
@@ -132,7 +132,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     """grp, rows, centre, inverse, logdet of each grp of rows (grp and FEATURES)."""
     p = len(FEATURES)
     middle = rows.groupBy("grp").agg(F.array(*(F.percentile(F.round(f, 2), F.lit(0.5)) for f in FEATURES)).alias("centre"))
-    off = rows.join(middle, "grp").groupBy("grp").agg(
+    off = rows.join(small(written(middle, "quality-middle")), "grp").groupBy("grp").agg(
         F.count("*").alias("rows"), F.first("centre").alias("centre"), F.array(*(F.percentile(F.round(F.abs(F.col(f) - F.col("centre")[i]), 2), F.lit(0.5)) for i, f in enumerate(FEATURES))).alias("off")
     )
     floors = F.array(*map(F.lit, FEATURES.values()))
@@ -142,17 +142,17 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     found = written(off.select("grp", "rows", "centre", inverse.alias("inverse"), F.lit(math.inf).alias("logdet")), "quality-estimates")
     fallen = math.inf
     for _ in range(STEPS):
-        near = rows.join(found.select("grp", "centre", "inverse"), "grp").withColumn("distance", _distance())
+        near = rows.join(small(found.select("grp", "centre", "inverse")), "grp").withColumn("distance", _distance())
         limit = written(near.groupBy("grp").agg(F.percentile("distance", F.lit(0.5)).alias("limit")), "quality-limits")
-        half = near.join(limit, "grp").where("distance <= limit")
+        half = near.join(small(limit), "grp").where("distance <= limit")
         found = written(_moments(half, F.first("limit").alias("limit")).mapInPandas(_estimates(None), KINDS), "quality-estimates")
         total = found.agg(F.sum("logdet")).first()[0]
         if total is None or total > fallen - 0.01:
             break
         fallen = total
-    near = rows.join(found.select("grp", "centre", "inverse"), "grp").withColumn("distance", _distance())
+    near = rows.join(small(found.select("grp", "centre", "inverse")), "grp").withColumn("distance", _distance())
     limit = written(near.groupBy("grp").agg(F.percentile("distance", F.lit(0.5)).alias("limit")), "quality-limits")
-    good = near.join(limit, "grp").where(F.col("distance") <= F.col("limit") + math.log(chi_square(0.975, p) / chi_square(0.5, p)))
+    good = near.join(small(limit), "grp").where(F.col("distance") <= F.col("limit") + math.log(chi_square(0.975, p) / chi_square(0.5, p)))
     again = _moments(good, F.percentile("distance", F.lit(0.5)).alias("unscaled")).mapInPandas(_estimates(None), KINDS)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
     return written(again.join(sizes, "grp").select("grp", F.col("size").alias("rows"), "centre", "inverse", "logdet"), "quality-estimates")
@@ -181,7 +181,7 @@ def judged(docs: DataFrame, beyond: float = 1e-9, least_words: int = 50, most_re
     groups = stats.groupBy("lang", "source").agg(F.count("*").alias("size")).withColumn("own", own)
     levels = groups.select("own", F.posexplode(F.array(own, of_lang, of_all)).alias("level", "grp"))
     used = levels.join(found, "grp").groupBy("own").agg(F.min_by(F.struct("centre", "inverse"), "level").alias("e")).select("own", "e.centre", "e.inverse")
-    table = stats.withColumn("own", own).join(written(used, "quality-used"), "own", "left")
+    table = stats.withColumn("own", own).join(small(written(used, "quality-used")), "own", "left")
     distance = F.when(~F.col("base_failed"), F.exp(_distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(1 - beyond, len(FEATURES)), F.lit(True))
     return table.withColumn("distance", distance).select("doc_id", *COUNTS, "base_failed", "distance", kept.alias("kept"))

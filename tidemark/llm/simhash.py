@@ -31,7 +31,7 @@ from pyspark.sql.window import Window as W
 
 from .components import components
 from .shared import dropped, written
-from .words import WordHashes, split, window_hashes
+from .words import WordHashes, sliced, split, window_hashes
 
 SEED = 42
 #: Blocks of a fingerprint of 64 bits, and how many of them close fingerprints share.
@@ -82,7 +82,7 @@ def close_pairs(nodes: DataFrame, few: int = NEAR) -> DataFrame:
     block = lambda i: F.shiftrightunsigned("fingerprint", size * i).bitwiseAND(F.lit((1 << size) - 1))
     keys = [F.shiftleft(block(i), size).bitwiseOR(block(j)) + F.lit(n << (2 * size)) for n, (i, j) in enumerate(combinations(range(BLOCKS), SHARED))]
     keyed = nodes.select("fingerprint", F.explode(F.array(*keys)).alias("block"))
-    shared = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
     keyed = written(keyed.join(shared, "block"), "simhash-blocks")
     sparse = keyed.where(F.col("n") <= few)
     left, right = sparse.select("block", F.col("fingerprint").alias("a")), sparse.select("block", F.col("fingerprint").alias("b"))
@@ -110,6 +110,7 @@ def linked(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     of = known.select("fingerprint", "component").join(smallest, "component").select(F.col("fingerprint").alias("linked"), "component_id")
     ids = nodes.join(of, nodes["fingerprint"] == of["linked"], "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
+    ids = written(ids, "simhash-ids")
     return rows.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -133,7 +134,7 @@ def _wide_fingerprints(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first, second = WordHashes(), _signs(1), _signs(2)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             texts, bits = batch.column("text"), []
             for start in range(0, len(texts), 128):
                 some = texts[start : start + 128]
@@ -153,23 +154,21 @@ def _wide_fingerprints(shingle: int):
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, bits) -> (block, node, sight_a, sight_b), a row for each block; a block's number is in the upper bits."""
     weights = (1 << np.arange(WIDE_BITS)[::-1]).astype(np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in sliced(batches, 512):
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
         sight = np.ascontiguousarray(bits[:, : SIGHT // 8]).view(np.int64)
         blocks = np.unpackbits(bits, axis=1)[:, : WIDE_BLOCKS * WIDE_BITS].reshape(len(batch), WIDE_BLOCKS, WIDE_BITS) @ weights
         blocks = (blocks + (np.arange(WIDE_BLOCKS, dtype=np.int64) << WIDE_BITS)).ravel()
         columns = [blocks, *(np.repeat(x, WIDE_BLOCKS) for x in (batch.column("node").to_numpy(), sight[:, 0], sight[:, 1]))]
-        for at in range(0, len(blocks), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], ["block", "node", "sight_a", "sight_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "sight_a", "sight_b"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of block -> (a, b) that look close: a block's rows with the NEAR before them and with its first one.
 
-    In blocks with more rows than that a row gives only its closest one and the first; its other
-    blocks, in which others are near it, give more.
+    Behind that many rows of a block a row gives the first one, or if that isn't close its closest one
+    alone; its other blocks, which others lead, give more. Blocks are in order of nodes, so that a large
+    group has few leaders and gives few pairs.
     """
     rest: list[np.ndarray] | None = None  # the last rows of the batches before,
     lead: tuple | None = None  # the first row of the last block,
@@ -177,7 +176,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch.column(c).to_numpy() for c in ("block", "node", "sight_a", "sight_b")]
+        columns = [batch.column(c).to_numpy() for c in ("block", "node")]
+        columns += [batch.column(c).to_numpy().view(np.uint64) for c in ("sight_a", "sight_b")]  # bits of a negative number aren't counted as such
         old = len(rest[0]) if rest else 0
         if rest:
             columns = [np.concatenate((r, c)) for r, c in zip(rest, columns)]
@@ -203,12 +203,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((node[i[small]], node[i[small] - o]))
             closer = d < best[i]
             best[i[closer]], closest[i[closer]] = d[closer], i[closer] - o
-        large = np.flatnonzero((rank >= NEAR) & (closest >= 0) & new)
-        out.append((node[large], node[closest[large]]))
-        far = np.flatnonzero((rank > NEAR) & new)
-        d = np.bitwise_count(sight_a[far] ^ first[1][far]).astype(int) + np.bitwise_count(sight_b[far] ^ first[2][far])
-        far = far[d <= SIGHT_MOST]
-        out.append((node[far], first[0][far]))
+        late = np.flatnonzero((rank >= NEAR) & new)
+        led = np.bitwise_count(sight_a[late] ^ first[1][late]).astype(int) + np.bitwise_count(sight_b[late] ^ first[2][late]) <= SIGHT_MOST
+        out.append((node[late[led]], first[0][late[led]]))
+        alone = late[~led & (closest[late] >= 0)]
+        out.append((node[alone], node[closest[alone]]))
         if lead is None or block[-1] != lead[0]:
             lead = tuple(c[leads[-1]] for c in columns)
         keep = max(0, len(block) - NEAR)
@@ -243,7 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     smallest = known.groupBy("component").agg(F.min("least").alias("smallest"))
     of = known.select("node", "component").join(smallest, "component").select("node", "smallest")
     named = nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("smallest", "least").alias("c"))
-    dropped(met)
+    named = written(named, "near-named")
+    dropped(met, nodes)
     return rows.select("doc_id", "tie", "node").distinct().join(named, "node").select("doc_id", "tie", F.col("c.doc_id").alias("component_id"), F.col("c.tie").alias("component_tie"))
 
 
@@ -251,9 +251,7 @@ def _close(most: int):
     """(a, a_bits, b, b_bits) -> (a, b) with up to `most` differing bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in sliced(batches, 2048):
             one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("a_bits", "b_bits"))
             keep = pa.array(np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= most)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
@@ -264,6 +262,6 @@ def _close(most: int):
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of docs that are the first of their near duplicates, with all columns; rows repeated in doc_id and text once."""
     first = near_duplicates(docs, doc_id=doc_id, text=text, **settings).where("doc_id = component_id and tie = component_tie")
-    first = first.select(F.col("doc_id").alias("near_id"), F.col("tie").alias("near_tie"))
-    keyed = docs.withColumns({"near_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "near_tie": F.xxhash64(text)})
-    return keyed.join(first, ["near_id", "near_tie"], "left_semi").dropDuplicates(["near_id", "near_tie"]).select(*docs.columns)
+    first = first.select(F.col("doc_id").alias("tidemark_id"), F.col("tie").alias("tidemark_tie"))
+    keyed = docs.withColumns({"tidemark_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "tidemark_tie": F.xxhash64(text)})
+    return keyed.join(first, ["tidemark_id", "tidemark_tie"], "left_semi").dropDuplicates(["tidemark_id", "tidemark_tie"]).select(*docs.columns)

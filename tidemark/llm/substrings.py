@@ -172,18 +172,19 @@ def without_repeats(docs: DataFrame, min_words: int = 20, first_length: int = 10
         raise ValueError("min_words must be first_length times a power of two, at least two")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tie": F.xxhash64("text")})
-    alive, spent = None, []
+    alive = None
     for length in lengths:
         source = docs.select("key", "text") if alive is None else docs.join(alive, "key").select("key", "text", "alive")
         named = written(source.mapInArrow(_short_windows(length, min_words), "short long, key long, at int"), "repeats-short")
-        spent += [named, *([alive] if alive is not None else [])]
-        counts = named.groupBy("short").agg(F.count("*").alias("n")).where("n > 1")
+        # As a table of its own, so that Spark can split the join where one short window is very common.
+        counts = written(named.groupBy("short").agg(F.count("*").alias("n")).where("n > 1"), "repeats-counts")
+        spent = [named, counts, *([alive] if alive is not None else [])]
         mark = F.col("at").cast("long") * 2 + (F.col("n") > few).cast("long")
         alive = written(named.join(counts, "short").groupBy("key").agg(F.collect_list(mark).alias("alive")), "repeats-alive")
-        dropped(spent.pop(0))
+        dropped(*spent)
     rows = docs.select("key", "tie", "text").join(alive, "key").mapInArrow(_long_windows(lengths[-1], min_words), "short long, common boolean, key long, tie long, start int, longs array<long>")
     rows = written(rows, "repeats-long")
-    dropped(alive, *(x for x in spent if x is not alive and x is not rows))
+    dropped(alive)
     rare = rows.where("not common").repartition("short").sortWithinPartitions("short", "key", "tie", "start")
     later = rare.mapInArrow(_later_ones, "key long, tie long, starts array<int>")
     often = rows.where("common").select("short", "key", "tie", "start", F.posexplode("longs").alias("i", "long"))

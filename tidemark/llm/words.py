@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multiplier of rolling hashes, and the two of the finaliser.
@@ -23,10 +26,17 @@ def folded(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that what is made of their texts in between stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; keeps those of the first words it sees, up to a bound."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
