@@ -7,7 +7,7 @@ randomised SVD of all blocks gives a latent space of few dimensions: each round
 its transpose and a thin matrix, as sums by term over all partitions, of which only a matrix with a row
 for each benchmark term reaches the driver. Passages whose cosine with a segment is high are candidates.
 A candidate counts if the longest common subsequence of words covers most of the segment, or, for
-paraphrases, a good part of it and the answer as well: the item's answer if it has one, else its end.
+paraphrases, a good part of it and the answer as well: the item's answer if it has one, else its rare words.
 
 The benchmark is a stated set of queries, held by every task; MAX_BYTES bounds it. The corpus is read
 twice and not shuffled.
@@ -21,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +29,21 @@ from .shared import dropped, written
 from .words import folded, sliced
 
 #: Words of a block and most of a segment; latent dimensions, with some more while they are sought.
-BLOCK, RANK, SPARE, ROUNDS = 64, 64, 16, 2
+BLOCK, RANK, SPARE, ROUNDS = 64, 192, 16, 2
 #: Bytes of benchmark texts at most; queries compared at a time.
-MAX_BYTES, AT_A_TIME = 8 << 20, 2048
+MAX_BYTES, AT_A_TIME = 4 << 20, 2048
 
 
 @dataclass(frozen=True)
 class Limits:
-    """max_share: a term in more of all blocks than this says nothing. cosine: of candidates. copied: share
-    of a segment in the common subsequence that counts by itself. paraphrased: share that counts if
-    `answered` of the answer is there as well."""
+    """max_share: a term in more of all blocks than this says nothing, but for the `rarest` terms of each
+    segment, so that one that is copied very often or has only common words can be found too. cosine: of
+    candidates. copied: share of a segment in the common subsequence that counts by itself. paraphrased:
+    share that counts if `answered` of the answer is there as well."""
 
     max_share: float = 0.002
-    cosine: float = 0.5
+    rarest: int = 8
+    cosine: float = 0.25
     copied: float = 0.75
     paraphrased: float = 0.55
     answered: float = 0.7
@@ -57,7 +60,7 @@ class Terms(dict):
 class Benchmark:
     items: list[int]  # of each segment
     words: list[list[bytes]]
-    answers: list[list[bytes]]  # words of the item's answer, or of the segment's last fifth
+    answers: list[list[bytes]]  # words of the item's answer; where it has none, the segment's terms of weight
     terms: Terms
 
 
@@ -71,7 +74,7 @@ def segments(rows: list[tuple]) -> Benchmark:
             part = words[i * len(words) // n : (i + 1) * len(words) // n]
             found.items.append(item)
             found.words.append(part)
-            found.answers.append(folded(answer) or part[-max(3, len(part) // 5) :])
+            found.answers.append(folded(answer))
     for word in sorted({w for words in found.words for w in words}):
         found.terms[word] = len(found.terms)
     return found
@@ -100,7 +103,7 @@ def _occurrences(shared):
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Block numbers that differ between texts, and terms."""
     terms = batch.column("term")
-    lengths = np.diff(terms.offsets.to_numpy())
+    lengths = pa.compute.list_value_length(terms).to_numpy()
     first = np.cumsum(batch.column("blocks").to_numpy()) - batch.column("blocks").to_numpy()
     return batch.column("block").flatten().to_numpy() + np.repeat(first, lengths), terms.flatten().to_numpy().astype(np.int64)
 
@@ -120,18 +123,17 @@ def _block_counts(size: int):
     return run
 
 
-def _gram(block: np.ndarray, term: np.ndarray, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """A block matrix, transposed, times itself, times thin. block (in order) and term: of each occurrence."""
-    total = np.zeros(thin.shape)
+def _gram(block: np.ndarray, term: np.ndarray, weights: np.ndarray, thin: np.ndarray, total: np.ndarray) -> None:
+    """Adds a block matrix, transposed, times itself, times thin, to total, but for the last weights. block (in order) and term: of each occurrence."""
     heavy = weights[term] > 0
     block, term = block[heavy], term[heavy]
     if len(block):
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         rows = np.add.reduceat(thin[term] * weights[term][:, None], starts, axis=0)
-        spread = np.repeat(rows, np.diff(np.append(starts, len(block))), axis=0)
-        for k in range(thin.shape[1]):
-            total[:, k] = np.bincount(term, spread[:, k], len(total))
-    return total * weights[:, None]
+        row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(block))))
+        order = np.argsort(term, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
+        total[term[order][first]] += np.add.reduceat(rows[row[order]], first, axis=0)
 
 
 def _times(shared):
@@ -140,8 +142,9 @@ def _times(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thin = shared.value
         total = np.zeros(thin.shape)
-        for batch in batches:
-            total += _gram(*_flat(batch), weights, thin)
+        for batch in sliced(batches):
+            _gram(*_flat(batch), weights, thin, total)
+        total *= weights[:, None]
         some = np.flatnonzero(np.abs(total).sum(axis=1))
         width = pa.array(np.arange(len(some) + 1) * total.shape[1], pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(width, pa.array(total[some].ravel()))], ["term", "z"])
@@ -154,7 +157,9 @@ def _product(occurrences: DataFrame, own: tuple[np.ndarray, np.ndarray], weights
     shared = occurrences.sparkSession.sparkContext.broadcast((weights, thin))
     parts = occurrences.mapInArrow(_times(shared), "term long, z array<double>")
     sums = parts.groupBy("term").agg(F.array(*(F.sum(F.col("z")[k]) for k in range(thin.shape[1]))).alias("z")).collect()  # a row for each benchmark term
-    total = _gram(*own, weights, thin)
+    total = np.zeros(thin.shape)
+    _gram(*own, weights, thin, total)
+    total *= weights[:, None]
     for row in sums:
         total[row["term"]] += np.array(row["z"])
     return total
@@ -179,7 +184,12 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
     own = segment, np.concatenate(list(map(benchmark.terms.of, benchmark.words)))
     n = np.bincount(np.unique(own[0] * size + own[1]) % size, minlength=size).astype(float)
     n[list(counted)] += list(counted.values())
-    weights = np.where(n <= max(limits.max_share * total, 50), np.log(total / n), 0.0)
+    telling = n <= max(limits.max_share * total, 50)
+    for words in benchmark.words:
+        mine = np.unique(benchmark.terms.of(words))
+        telling[mine[np.argsort(n[mine], kind="stable")[: limits.rarest]]] = True
+    weights = np.where(telling, np.log((total + 1) / n), 0.0)
+    benchmark.answers = [answer or [w for w in words if weights[benchmark.terms[w]]] for answer, words in zip(benchmark.answers, benchmark.words)]
     rank = min(RANK + SPARE, size)
     thin = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
     for _ in range(ROUNDS):
@@ -209,9 +219,11 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def _checked(space: Space, segment: int, words: list[bytes]) -> float | None:
+def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes]) -> float | None:
     """The share of a segment in the common subsequence with a passage, if that is a leak."""
     own, limits = space.benchmark.words[segment], space.limits
+    if sum(map(distinct.__contains__, own)) < min(limits.copied, limits.paraphrased) * len(own):
+        return None  # no subsequence has more than the words that they share
     share = common_subsequence(own, words) / len(own)
     if share >= limits.copied:
         return share
@@ -240,9 +252,13 @@ def leaks_of(space: Space, text: str | None) -> list[tuple[int, int, float, floa
     some = np.flatnonzero(length > 1e-9)
     for at in range(0, len(space.queries), AT_A_TIME):
         cosines = passages[some] @ space.queries[at : at + AT_A_TIME].T / length[some][:, None]
-        for i, j in zip(*np.nonzero(cosines >= space.limits.cosine)):
+        here = -1
+        for i, j in zip(*(x.tolist() for x in np.nonzero(cosines >= space.limits.cosine))):
             start = int(some[i]) * BLOCK
-            share = _checked(space, at + j, words[start : start + 2 * BLOCK])
+            if start != here:
+                here, passage = start, words[start : start + 2 * BLOCK]
+                distinct = set(passage)
+            share = _checked(space, at + j, passage, distinct)
             item = space.benchmark.items[at + j]
             if share is not None and (item not in best or share > best[item][2]):
                 best[item] = (start, float(cosines[i, j]), share)
