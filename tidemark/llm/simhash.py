@@ -42,6 +42,8 @@ WIDE_BLOCKS, WIDE_BITS, SKETCH = 100, 20, 4096
 SIGHT, SIGHT_MOST = 128, 36
 #: Rows of a block that are compared with every earlier one, or with as many before them.
 NEAR = 32
+#: Blocks of a long fingerprint whose links are found first, so that the others needn't join what these have.
+EARLY = 10
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -151,16 +153,20 @@ def _wide_fingerprints(shingle: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, bits) -> (block, node, sight_a, sight_b), a row for each block; a block's number is in the upper bits."""
+def _blocks(first: int, last: int):
+    """(node, part, bits) -> (block, node, part, sight_a, sight_b), a row for each block first..last-1; a block's number is in the upper bits."""
     weights = (1 << np.arange(WIDE_BITS)[::-1]).astype(np.int64)
-    for batch in sliced(batches, 512):
-        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
-        sight = np.ascontiguousarray(bits[:, : SIGHT // 8]).view(np.int64)
-        blocks = np.unpackbits(bits, axis=1)[:, : WIDE_BLOCKS * WIDE_BITS].reshape(len(batch), WIDE_BLOCKS, WIDE_BITS) @ weights
-        blocks = (blocks + (np.arange(WIDE_BLOCKS, dtype=np.int64) << WIDE_BITS)).ravel()
-        columns = [blocks, *(np.repeat(x, WIDE_BLOCKS) for x in (batch.column("node").to_numpy(), sight[:, 0], sight[:, 1]))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "sight_a", "sight_b"])
+    numbers = np.arange(first, last, dtype=np.int64) << WIDE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 512):
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
+            sight = np.ascontiguousarray(bits[:, : SIGHT // 8]).view(np.int64)
+            blocks = np.unpackbits(bits, axis=1)[:, first * WIDE_BITS : last * WIDE_BITS].reshape(len(batch), last - first, WIDE_BITS) @ weights
+            columns = [(blocks + numbers).ravel(), *(np.repeat(x, last - first) for x in (batch.column("node").to_numpy(), batch.column("part").to_numpy(), sight[:, 0], sight[:, 1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "part", "sight_a", "sight_b"])
+
+    return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Behind that many rows of a block a row gives the first one, or if that isn't close its closest one
     alone; its other blocks, which others lead, give more. Blocks are in order of nodes, so that a large
-    group has few leaders and gives few pairs.
+    group has few leaders and gives few pairs. Rows of one part are linked already and give no pair.
     """
     rest: list[np.ndarray] | None = None  # the last rows of the batches before,
     lead: tuple | None = None  # the first row of the last block,
@@ -176,12 +182,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch.column(c).to_numpy() for c in ("block", "node")]
+        columns = [batch.column(c).to_numpy() for c in ("block", "node", "part")]
         columns += [batch.column(c).to_numpy().view(np.uint64) for c in ("sight_a", "sight_b")]  # bits of a negative number aren't counted as such
         old = len(rest[0]) if rest else 0
         if rest:
             columns = [np.concatenate((r, c)) for r, c in zip(rest, columns)]
-        block, node, sight_a, sight_b = columns
+        block, node, part, sight_a, sight_b = columns
         new = np.arange(len(block)) >= old
         start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         leads = np.repeat(start, np.diff(np.append(start, len(block))))
@@ -200,13 +206,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             d = np.bitwise_count(sight_a[i] ^ sight_a[i - o]).astype(int) + np.bitwise_count(sight_b[i] ^ sight_b[i - o])
             small = (rank[i] < NEAR) & (d <= SIGHT_MOST)
-            out.append((node[i[small]], node[i[small] - o]))
+            i_small = i[small & (part[i] != part[i - o])]
+            out.append((node[i_small], node[i_small - o]))
             closer = d < best[i]
             best[i[closer]], closest[i[closer]] = d[closer], i[closer] - o
         late = np.flatnonzero((rank >= NEAR) & new)
-        led = np.bitwise_count(sight_a[late] ^ first[1][late]).astype(int) + np.bitwise_count(sight_b[late] ^ first[2][late]) <= SIGHT_MOST
-        out.append((node[late[led]], first[0][late[led]]))
+        led = np.bitwise_count(sight_a[late] ^ first[2][late]).astype(int) + np.bitwise_count(sight_b[late] ^ first[3][late]) <= SIGHT_MOST
+        joined = late[led & (part[late] != first[1][late])]
+        out.append((node[joined], first[0][joined]))
         alone = late[~led & (closest[late] >= 0)]
+        alone = alone[part[alone] != part[closest[alone]]]
         out.append((node[alone], node[closest[alone]]))
         if lead is None or block[-1] != lead[0]:
             lead = tuple(c[leads[-1]] for c in columns)
@@ -223,6 +232,16 @@ def most_differing(similarity: float) -> int:
     return math.floor(WIDE_BLOCKS * WIDE_BITS * math.acos(cosine) / math.pi)
 
 
+def _wide_links(nodes: DataFrame, first: int, last: int, most: int) -> DataFrame:
+    """Links (a, b) between nodes (node, bits, part) of different parts that meet in the blocks first..last-1 and differ in at most `most` bits."""
+    blocks = nodes.select("node", "part", "bits").mapInArrow(_blocks(first, last), "block long, node long, part long, sight_a long, sight_b long")
+    met = written(blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_met, "a long, b long").where("a <> b").distinct(), "near-met")
+    left, right = (nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    links = written(met.join(left, "a").join(right, "b").mapInArrow(_close(most), "a long, b long"), "near-links")
+    dropped(met)
+    return links
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tie, component_id, component_tie of each distinct (doc_id, text) of docs.
 
@@ -233,17 +252,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     rows = written(rows.mapInArrow(_wide_fingerprints(shingle), "doc_id long, tie long, bits binary").withColumn("node", F.xxhash64("bits")), "near-rows")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bits").alias("bits")), "near-nodes")
-    blocks = nodes.select("node", "bits").mapInArrow(_blocks, "block long, node long, sight_a long, sight_b long")
-    met = written(blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_met, "a long, b long").where("a <> b").distinct(), "near-met")
-    left, right = (nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
-    pairs = met.join(left, "a").join(right, "b").mapInArrow(_close(most_differing(similarity - 0.03)), "a long, b long")
-    found = components(written(pairs, "near-links"), "near-components")
+    most = most_differing(similarity - 0.03)
+    early = _wide_links(nodes.select("node", "bits", F.col("node").alias("part")), WIDE_BLOCKS - EARLY, WIDE_BLOCKS, most)
+    parts = written(components(early, "near-components"), "near-parts")
+    parted = nodes.join(parts, "node", "left").select("node", "bits", F.coalesce("component", "node").alias("part"))
+    late = _wide_links(written(parted, "near-parted"), 0, WIDE_BLOCKS - EARLY, most)
+    found = components(late.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-components")
     known = nodes.select("node", "least").join(found, "node")
     smallest = known.groupBy("component").agg(F.min("least").alias("smallest"))
     of = known.select("node", "component").join(smallest, "component").select("node", "smallest")
     named = nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("smallest", "least").alias("c"))
     named = written(named, "near-named")
-    dropped(met, nodes)
+    dropped(nodes, parts, early, late)
     return rows.select("doc_id", "tie", "node").distinct().join(named, "node").select("doc_id", "tie", F.col("c.doc_id").alias("component_id"), F.col("c.tie").alias("component_tie"))
 
 
