@@ -239,6 +239,21 @@ def test_near_duplicates_by_similarity(spark):
     assert {a for a, _, _ in want} <= kept
 
 
+@pytest.mark.parametrize(("many", "piece"), [(None, None), (16, 20_000), (16, 25)])
+def test_groups_of_a_crowded_block_are_found(spark, many, piece):
+    rng, nodes = np.random.default_rng(9), []
+    start = rng.integers(0, 2, 128)
+    for k in range(60):  # all meet at blocks 0 to 5 and look the same there; the two of a group differ by a bit in each other block
+        one = np.concatenate((start, rng.integers(0, 2, 1872)))
+        other = one.copy()
+        other[130::20] ^= 1
+        nodes += [(k, np.packbits(one).tobytes(), k), (1000 - k, np.packbits(other).tobytes(), 1000 - k)]
+    nodes = spark.createDataFrame(nodes, "node long, bits binary, part long")
+    sizes = {} if many is None else {"many": many, "piece": piece}
+    links = simhash._wide_links(nodes, 0, 100, simhash.most_differing(0.77), **sizes)
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted((1000 - k, k) for k in range(60))
+
+
 def test_one_of_a_crowd_stays(spark):
     base = prose(200, 77).split()
     rows = [(i, " ".join(base)) for i in range(300)]

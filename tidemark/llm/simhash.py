@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ BLOCKS, SHARED = 4, 2
 WIDE_BLOCKS, WIDE_BITS, SKETCH = 100, 20, 4096
 #: Bits of a long fingerprint that go with its blocks, and how many of them may differ at first sight.
 SIGHT, SIGHT_MOST = 128, 36
-#: Rows of a block that are compared with every earlier one, or with as many before them.
+#: Rows of a block of 64-bit fingerprints, or of a long one's block, that give their pairs one by one.
 NEAR = 32
+#: Rows of a long fingerprint's block that give pairs if no more look close to another, that are compared at first sight, and that one task compares.
+FEW, MANY, PIECE = 4, 1024, 20_000
 #: Blocks of a long fingerprint whose links are found first, so that the others needn't join what these have.
 EARLY = 10
 
@@ -169,61 +171,122 @@ def _blocks(first: int, last: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of block -> (a, b) that look close: a block's rows with the NEAR before them and with its first one.
+def _met(many: int):
+    """Rows in order of block -> (block, a, b, part, large): pairs (a, b) that look close, without a block, and rows a of crowded blocks.
 
-    Behind that many rows of a block a row gives the first one, or if that isn't close its closest one
-    alone; its other blocks, which others lead, give more. Blocks are in order of nodes, so that a large
-    group has few leaders and gives few pairs. Rows of one part are linked already and give no pair.
+    A block's rows of different parts are compared at first sight. Where few look close to another, their
+    pairs are given, else the rows that do; of a block with more than `many` rows, which is large, all
+    rows. Rows of one part are linked already and give nothing.
     """
-    rest: list[np.ndarray] | None = None  # the last rows of the batches before,
-    lead: tuple | None = None  # the first row of the last block,
-    rest_rank = 0  # and the place of the first of rest in its block
-    for batch in batches:
-        if not len(batch):
-            continue
-        columns = [batch.column(c).to_numpy() for c in ("block", "node", "part")]
-        columns += [batch.column(c).to_numpy().view(np.uint64) for c in ("sight_a", "sight_b")]  # bits of a negative number aren't counted as such
-        old = len(rest[0]) if rest else 0
-        if rest:
-            columns = [np.concatenate((r, c)) for r, c in zip(rest, columns)]
-        block, node, part, sight_a, sight_b = columns
-        new = np.arange(len(block)) >= old
-        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        leads = np.repeat(start, np.diff(np.append(start, len(block))))
-        rank = np.arange(len(block)) - leads
-        first = [c[leads] for c in columns[1:]]
-        if lead is not None and block[0] == lead[0]:  # its first row came before
-            own = leads == 0
-            for c, value in zip(first, lead[1:]):
-                c[own] = value
-            rank = np.where(own, rank + rest_rank, rank)
-        best, closest = np.full(len(block), SIGHT_MOST + 1), np.full(len(block), -1)
-        out = []
-        for o in range(1, NEAR + 1):
-            i = np.flatnonzero((block[o:] == block[:-o]) & new[o:]) + o
-            if not len(i):
-                break
-            d = np.bitwise_count(sight_a[i] ^ sight_a[i - o]).astype(int) + np.bitwise_count(sight_b[i] ^ sight_b[i - o])
-            small = (rank[i] < NEAR) & (d <= SIGHT_MOST)
-            i_small = i[small & (part[i] != part[i - o])]
-            out.append((node[i_small], node[i_small - o]))
-            closer = d < best[i]
-            best[i[closer]], closest[i[closer]] = d[closer], i[closer] - o
-        late = np.flatnonzero((rank >= NEAR) & new)
-        led = np.bitwise_count(sight_a[late] ^ first[2][late]).astype(int) + np.bitwise_count(sight_b[late] ^ first[3][late]) <= SIGHT_MOST
-        joined = late[led & (part[late] != first[1][late])]
-        out.append((node[joined], first[0][joined]))
-        alone = late[~led & (closest[late] >= 0)]
-        alone = alone[part[alone] != part[closest[alone]]]
-        out.append((node[alone], node[closest[alone]]))
-        if lead is None or block[-1] != lead[0]:
-            lead = tuple(c[leads[-1]] for c in columns)
-        keep = max(0, len(block) - NEAR)
-        rest, rest_rank = [c[keep:] for c in columns], rank[keep]
-        a, b = (np.concatenate(x) for x in zip(*out))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the last block, which may go on,
+        over = None  # and a block that has proved large
+        for batch in chain(batches, [None]):
+            if batch is None:
+                columns = held
+            elif not len(batch):
+                continue
+            else:
+                columns = [batch.column(c).to_numpy() for c in ("block", "node", "part")]
+                columns += [batch.column(c).to_numpy().view(np.uint64) for c in ("sight_a", "sight_b")]  # bits of a negative number aren't counted as such
+                if held is not None:
+                    columns = [np.concatenate(x) for x in zip(held, columns)]
+            if columns is None or not len(columns[0]):
+                continue
+            start = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+            end = len(columns[0])
+            if end - start[-1] > many:
+                over = columns[0][-1]
+            if batch is not None and columns[0][-1] != over:
+                end = start[-1]
+            held = [c[end:] for c in columns]
+            block, node, part, sight_a, sight_b = (c[:end] for c in columns)
+            start = start[start < end]
+            if not end:
+                continue
+            sizes = np.diff(np.append(start, end))
+            size, rank = np.repeat(sizes, sizes), np.arange(end) - np.repeat(start, sizes)
+            large = (size > many) if over is None else (size > many) | (block == over)
+            crowded, ones, others = large.copy(), [], []
+            i, o = np.flatnonzero((rank >= 1) & ~large), 1
+            while len(i):
+                d = np.bitwise_count(sight_a[i] ^ sight_a[i - o]).astype(int) + np.bitwise_count(sight_b[i] ^ sight_b[i - o])
+                hit = i[(d <= SIGHT_MOST) & (part[i] != part[i - o])]
+                crowded[hit] = crowded[hit - o] = True
+                hit = hit[size[hit] <= NEAR]
+                ones.append(hit)
+                others.append(hit - o)
+                o += 1
+                i = i[rank[i] >= o]
+            few = (size <= NEAR) & (np.repeat(np.add.reduceat(crowded, start, dtype=int), sizes) <= FEW)
+            one, other = (np.concatenate(x) if x else np.empty(0, int) for x in (ones, others))
+            one, other = one[few[one]], other[few[one]]
+            rows = np.flatnonzero(crowded & ~few)
+            if len(one) + len(rows):
+                nothing = lambda n: pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([nothing(len(one)), pa.array(block[rows])]), pa.array(np.concatenate((np.maximum(node[one], node[other]), node[rows]))),
+                        pa.concat_arrays([pa.array(np.minimum(node[one], node[other])), nothing(len(rows))]), pa.concat_arrays([nothing(len(one)), pa.array(part[rows])]),
+                        pa.array(np.concatenate((np.zeros(len(one), bool), large[rows]))),
+                    ],
+                    ["block", "a", "b", "part", "large"],
+                )
+
+    return run
+
+
+def _spanning(node: np.ndarray, part: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that join all rows which links of up to `most` differing bits join; every pair is compared unless it is joined already."""
+    label = np.unique(part, return_inverse=True)[1]
+    order = np.argsort(np.bincount(label)[label], kind="stable")  # a large part comes last, when the others may have joined it
+    node, label, bits = node[order], label[order], bits[order]
+    found: list[tuple[int, int]] = []
+    parts = len(np.unique(label))
+    for i in range(len(node) - 1):
+        if parts == 1:
+            break
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        near = [x[np.bitwise_count(bits[x] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most] for x in (rest[at : at + 4096] for at in range(0, len(rest), 4096))]
+        near = np.concatenate(near) if near else rest
+        if len(near):
+            joined, at = np.unique(label[near], return_index=True)
+            found += [(int(node[i]), int(node[j])) for j in near[at]]
+            label[np.isin(label, joined)] = label[i]
+            parts -= len(joined)
+    return found
+
+
+def _within(most: int):
+    """(block, low, high, node, part, bits) in order of the first three -> links (a, b) that span each group of these."""
+
+    def group(held: list[tuple]) -> pa.RecordBatch:
+        node, part, bits = (np.concatenate(x) for x in zip(*held))
+        found = np.array(_spanning(node, part, bits, most), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "low", "high")], axis=1)
+            flat = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
+            bits = np.pad(flat, ((0, 0), (0, -flat.shape[1] % 8))).view(np.uint64)
+            node, part = (batch.column(c).to_numpy() for c in ("node", "part"))
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(bounds, bounds[1:]):
+                if held and tuple(keys[a]) != last:
+                    yield group(held)
+                    held = []
+                last = tuple(keys[a])
+                held.append((node[a:b], part[a:b], bits[a:b].copy()))
+        if held:
+            yield group(held)
+
+    return run
 
 
 def most_differing(similarity: float) -> int:
@@ -232,12 +295,27 @@ def most_differing(similarity: float) -> int:
     return math.floor(WIDE_BLOCKS * WIDE_BITS * math.acos(cosine) / math.pi)
 
 
-def _wide_links(nodes: DataFrame, first: int, last: int, most: int) -> DataFrame:
-    """Links (a, b) between nodes (node, bits, part) of different parts that meet in the blocks first..last-1 and differ in at most `most` bits."""
+def _wide_links(nodes: DataFrame, first: int, last: int, most: int, many: int = MANY, piece: int = PIECE) -> DataFrame:
+    """Links (a, b) that join what meets in the blocks first..last-1 and differs in at most `most` bits, among nodes (node, bits, part) of different parts.
+
+    Rows of crowded blocks are compared on all bits, every pair that isn't joined yet; blocks of more than
+    `piece` rows by pairs of pieces. What goes on is at most a link for each row and piece.
+    """
     blocks = nodes.select("node", "part", "bits").mapInArrow(_blocks(first, last), "block long, node long, part long, sight_a long, sight_b long")
-    met = written(blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_met, "a long, b long").where("a <> b").distinct(), "near-met")
+    met = blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_met(many), "block long, a long, b long, part long, large boolean")
+    met = written(met, "near-met")
     left, right = (nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
-    links = written(met.join(left, "a").join(right, "b").mapInArrow(_close(most), "a long, b long"), "near-links")
+    pairs = met.where("block is null and a <> b").select("a", "b").distinct()
+    links = pairs.join(left, "a").join(right, "b").mapInArrow(_close(most), "a long, b long")
+    rows = met.where("block is not null").select("block", F.col("a").alias("node"), "part", "large")
+    sizes = rows.where("large").groupBy("block").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"), (F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("block", "pieces")
+    dealt = rows.where("large").join(sizes, "block").withColumn("own", F.expr("cast(pmod(xxhash64(node), pieces) as int)")).withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
+    dealt = dealt.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "part")
+    dealt = rows.where("not large").select("block", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "part").unionByName(dealt)
+    places = dealt.groupBy("node", "part").agg(F.collect_list(F.struct("block", "low", "high")).alias("places"))
+    placed = places.join(nodes.select("node", "bits"), "node").select(F.explode("places").alias("at"), "node", "part", "bits").select("at.block", "at.low", "at.high", "node", "part", "bits")
+    within = placed.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "node").mapInArrow(_within(most), "a long, b long")
+    links = written(links.unionByName(within).distinct(), "near-links")
     dropped(met)
     return links
 
