@@ -391,6 +391,27 @@ def test_licenses(docs, none, spark):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def test_license_names_in_joined_words():
+    forms = {"GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "gpl2": "gpl-2.0", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "0BSD": "0bsd", "FreeBSD": "bsd-2-clause"}
+    for form, label in forms.items():
+        assert label in {d[2] for d in licenses.scanned(f"This file is {form} code.")["detections"]}, form
+    texts = [f"{w} {form}" for w in ("see", "License:", "licensed under the", "SPDX-License-Identifier:") for form in [*forms, "CC0 1.0", "zlib license", "MPL 2.0", "Apache 2", "W3C license", "MIT-0"]]
+    for text in texts:  # the keyword keeps no rule from a text that it matches
+        line = b" " + b" ".join(licenses.folded(text)) + b" "
+        every = [(*m.span(), r) for rs in licenses.rules().values() for r in rs for m in r.pattern.finditer(line)]
+        assert {d[2] for d in licenses.scanned(text)["detections"]} == {r.label for _, _, r in licenses.resolved(every)}, text
+
+
+def test_license_bodies_without_a_name():
+    bodies = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files", "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted", "unlicense": "This is free and unencumbered software released into the public domain.",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    }
+    for label, text in bodies.items():
+        assert label in {d[2] for d in licenses.scanned(text)["detections"]}, label
+
+
 def test_contained_and_weaker_detections_are_suppressed():
     rule = lambda label, priority: licenses.Rule(label, b"", re.compile(b""), priority, 1.0)
     kept = licenses.resolved([(0, 10, rule("long", 10)), (2, 5, rule("inside", 10)), (8, 14, rule("strong", 20)), (20, 22, rule("apart", 1)), (20, 21, rule("within", 1))])

@@ -1,13 +1,13 @@
 r"""License scans by ordered signature rules.
 
 A text is folded to words (A-Z lower-cased; runs of digits, a-z and anything beyond ASCII), joined by
-one space. Each rule is a regular expression over that, with a keyword: only rules whose keyword is
-among the text's words are tried. Detections have a priority, that of their rule. From the strongest down,
+one space. Each rule is a regular expression over that, with a keyword: only rules whose keyword stands
+in one of the text's words are tried, so that joined forms such as gplv2, apache2 and freebsd count. Detections have a priority, that of their rule. From the strongest down,
 one that lies within the interval of another that has remained is suppressed, and so is one that overlaps
 a remaining one of higher priority; what remains gives the labels.
 
 Rules come from a table of hand-written signatures by license, each tried as a bare name, after words of
-granting, in an identifier line and in a header line, so that there are some hundreds.
+granting, in an identifier line and in a header line, and from the first words of some licenses' bodies.
 """
 
 from __future__ import annotations
@@ -122,6 +122,17 @@ SIGNATURES: dict[str, tuple[str, str]] = {
     "ecl-2.0": ("educational", r"educational community license"),
     "proprietary": ("reserved", r"all rights reserved"),
 }
+#: label: (keyword, words of the license's own body or header), for texts that don't name it.
+BODIES: dict[str, tuple[str, str]] = {
+    "mit": ("hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    "bsl-1.0": ("hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    "isc": ("distribute", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    "bsd": ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    "bsd-3-clause": ("endorse", r"neither the names? of (?:[^ ]+ ){1,20}?may be used to endorse or promote products derived from this software"),
+    "bsd-4-clause": ("advertising", r"all advertising materials mentioning features or use of this software must display"),
+    "zlib": ("misrepresented", r"the origin of this software must not be misrepresented"),
+    "unlicense": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
+}
 #: Ways to name a license: priority, confidence and what stands around the signature.
 FORMS = (
     (40, 1.0, r"spdx license identifier {}"),
@@ -149,6 +160,8 @@ def rules() -> dict[bytes, tuple[Rule, ...]]:
             pattern = re.compile(rf"(?<= )(?:{form.format(f'(?:{signature})')})(?= )".encode())
             versioned = 5 if re.search(r"\d", label) else 0
             by.setdefault(keyword.encode(), []).append(Rule(label.removesuffix("-id"), keyword.encode(), pattern, priority + versioned, confidence))
+    for label, (keyword, body) in BODIES.items():
+        by.setdefault(keyword.encode(), []).append(Rule(label, keyword.encode(), re.compile(rf"(?<= )(?:{body})(?= )".encode()), 10, 0.9))
     return {k: tuple(v) for k, v in by.items()}
 
 
@@ -177,7 +190,8 @@ def scanned(text: str | None) -> dict:
     """What a text has: n_words, base places by label, and detections (start and end in words, label, confidence)."""
     words = folded(text)
     known, have = rules(), set(words)
-    keywords = known.keys() & have
+    once = b" ".join(have)
+    keywords = {k for k in known if k in once}
     base: list[tuple[int, str]] = []
     found: list[tuple[int, int, Rule]] = []
     if keywords or b"license" in have:
