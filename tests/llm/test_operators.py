@@ -229,16 +229,49 @@ def test_near_duplicates_by_similarity(spark):
         i += 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    sure = [(a, b) for a, b, j in want if j >= 0.84]
-    far = [(a, b) for a, b, j in want if j <= 0.70]
-    assert sure and far
-    assert sum(got[a] == got[b] for a, b in sure) >= 0.97 * len(sure)
-    assert not any(got[a] == got[b] for a, b in far)
+    alike, apart = ([(a, b) for a, b, j in want if (j >= 0.8) == yes] for yes in (True, False))
+    assert alike and apart and min(abs(j - 0.8) for _, _, j in want) < 0.02
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.97 * len(alike)
+    assert not any(got[a] == got[b] for a, b in apart)
     assert len({got[a] for a, _, _ in want}) == 60
     kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
     assert {a for a, _, _ in want} <= kept
 
 
+@pytest.mark.parametrize(("most_rows", "most_bytes"), [(4096, 1 << 26), (10, 1 << 26), (4096, 4000)])
+def test_shingles_decide_within_candidates(spark, most_rows, most_bytes):
+    """All texts are candidates of each other: a crowd, a chain that joins ends far apart, pairs near the limit, and texts of one shingle."""
+    rng, texts = np.random.default_rng(4), []
+    base = prose(120, 50).split()
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(120, k % 4, replace=False):
+            words[at] = f"odd{k}"
+        texts.append(" ".join(words))
+    chain = prose(150, 51).split()
+    for k in range(12):
+        chain = [*chain[10:], *prose(10, 600 + k).split()]
+        texts.append(" ".join(chain))
+    for k in range(20):
+        words = prose(60, 700 + k).split()
+        texts += [" ".join(words), " ".join([*words[: 55 - k % 3], "end", *words[56 - k % 3 :]])]
+    texts += [f"t{k}" for k in range(15)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) tie", "text")
+    rows = written(docs.mapInArrow(simhash._wide_fingerprints(5), "doc_id long, tie long, node long, bits binary, shingles binary"), "t")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bits").alias("bits"), F.first(F.expr("cast(octet_length(shingles) / 4 as int)")).alias("size")), "t")
+    links = simhash._similar_links(rows, nodes, nodes.select("node", F.lit(0).cast("long").alias("component")), 0.8, most_rows, most_bytes)
+    found = {r.node: r.component for r in components.components(links).collect()}
+    got = {r.doc_id: found.get(r.node, r.node) for r in rows.collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = want[i], want[j]
+                want = [new if x == old else x for x in want]
+    assert 20 < len(set(want)) < len(texts) - 60 and len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
 @pytest.mark.parametrize(("many", "piece"), [(None, None), (16, 20_000), (16, 25)])
 def test_groups_of_a_crowded_block_are_found(spark, many, piece):
     rng, nodes = np.random.default_rng(9), []

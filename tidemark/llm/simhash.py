@@ -12,8 +12,9 @@ share such a neighbour, and a neighbour has at most 65 of them.
 `near_duplicates` is for a similarity of shingle sets, 0.8 and more, where 64 bits say too little: the
 share of differing bits is arccos(cosine) / pi, with a standard deviation of four of 64. It sketches
 each set of shingles as signed counts, draws the bits from them by two rounds of sign flips and Hadamard
-transforms, and compares 2,000 bits, which tell a similarity of 0.80 from 0.76. At 0.8 two fingerprints
-share one of the 100 blocks of 20 bits with a probability of 98%, at 0.9 of over 99.9%.
+transforms, and compares 2,000 bits, which measure a similarity with a standard deviation of some 0.02.
+At 0.8 two fingerprints share one of the 100 blocks of 20 bits with a probability of 98%, at 0.9 of over
+99.9%. What the bits join from 0.75 on are candidates; within them the sets of shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ NEAR = 32
 FEW, MANY, PIECE = 4, 1024, 20_000
 #: Blocks of a long fingerprint whose links are found first, so that the others needn't join what these have.
 EARLY = 10
+#: How far below the limit bits make candidates, and bits alone rule a pair out; rows and bytes of shingles that one task compares.
+CANDIDATE, RULED_OUT = 0.05, 0.08
+ROWS, BYTES = 4096, 64 << 20
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -134,23 +138,26 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def _wide_fingerprints(shingle: int):
-    """(doc_id, tie, text) -> (doc_id, tie, bits): WIDE_BLOCKS * WIDE_BITS bits of each text's set of shingles."""
+    """(doc_id, tie, text) -> (doc_id, tie, node, bits, shingles): each text's set of shingles in order, by 32 bits of a hash, a hash of the set, and WIDE_BLOCKS * WIDE_BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, first, second = WordHashes(), _signs(1), _signs(2)
         for batch in sliced(batches, 1024):
-            texts, bits = batch.column("text"), []
+            texts, bits, sets = batch.column("text"), [], []
             for start in range(0, len(texts), 128):
                 some = texts[start : start + 128]
                 sketches = np.zeros((len(some), SKETCH), np.float32)
                 for i, text in enumerate(some):
                     x = hashes.of(split((text.as_py() or "").lower()))
+                    sets.append(b"")
                     if len(x):
                         h = np.unique(window_hashes(x, min(shingle, len(x))))
+                        sets[-1] = np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
                         sketches[i] = np.bincount((h % np.uint64(SKETCH)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)), SKETCH)
                 mixed = _hadamard(_hadamard(sketches * first) * second)
                 bits += [row.tobytes() for row in np.packbits(mixed[:, : WIDE_BLOCKS * WIDE_BITS] > 0, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(bits, pa.binary())], ["doc_id", "tie", "bits"])
+            nodes = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(nodes), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "tie", "node", "bits", "shingles"])
 
     return run
 
@@ -320,28 +327,144 @@ def _wide_links(nodes: DataFrame, first: int, last: int, most: int, many: int =
     return links
 
 
+def _alike(node: np.ndarray, label: np.ndarray, left: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what links of the least similarity join; every pair with a row of the left is compared unless it is joined already."""
+    label = np.unique(label, return_inverse=True)[1]
+    order = np.lexsort((np.bincount(label)[label], ~left))  # a large group comes last, when the others may have joined it
+    node, label, bits, sets = node[order], label[order], bits[order], [sets[i] for i in order]
+    sizes, most = np.array(list(map(len, sets))), most_differing(similarity - RULED_OUT)
+    found: list[tuple[int, int]] = []
+    parts = len(np.unique(label))
+    for i in range(int(left.sum())):
+        if parts == 1:
+            break
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[(np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)]
+        for at in range(0, len(rest), 512):
+            near = rest[at : at + 512]
+            near = near[label[near] != label[i]]
+            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most]
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[j] for j in near])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+            common = np.add.reduceat(hit, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+            near = near[common >= similarity * (sizes[near] + sizes[i] - common)]
+            joined, first = np.unique(label[near], return_index=True)
+            found += [(int(node[i]), int(node[j])) for j in near[first]]
+            label[np.isin(label, joined)] = label[i]
+            parts -= len(joined)
+    return found
+
+
+def _checked(similarity: float):
+    """(component, low, high, node, label, at_left, bits, shingles) in order of the first four -> links (a, b) that span each group of the first three."""
+
+    def group(held: list[tuple]) -> pa.RecordBatch:
+        node, label, left = (np.concatenate([x[k] for x in held]) for k in range(3))
+        once = np.flatnonzero(np.append(True, node[1:] != node[:-1]))  # repeated rows of one document
+        bits = np.concatenate([x[3] for x in held])[once]
+        sets = [s for x in held for s in x[4]]
+        found = np.array(_alike(node[once], label[once], left[once], bits, [sets[i] for i in once], similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("component", "low", "high")], axis=1)
+            flat = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
+            bits = np.pad(flat, ((0, 0), (0, -flat.shape[1] % 8))).view(np.uint64)
+            node, label = (batch.column(c).to_numpy() for c in ("node", "label"))
+            left = batch.column("at_left").to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column("shingles").to_pylist()]
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(bounds, bounds[1:]):
+                if held and tuple(keys[a]) != last:
+                    yield group(held)
+                    held = []
+                last = tuple(keys[a])
+                held.append((node[a:b], label[a:b], left[a:b], bits[a:b].copy(), sets[a:b]))
+        if held:
+            yield group(held)
+
+    return run
+
+
+def _similar_links(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, similarity: float, most_rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
+    """Links (a, b) that join, within each component of candidates (node, component), all nodes which pairs of at least the similarity join.
+
+    A component of up to most_rows rows is compared by one task. A larger one is dealt in pieces: each
+    piece is compared by itself, then a row of each piece's largest group with those of the others; then
+    rows outside the component's largest group are compared with all rows, by pairs of pieces. Rows of
+    that group are joined, so no pair of them needs a look, and a crowd costs its size times its exceptions.
+    """
+    members = written(candidates.join(nodes.select("node", "least", "size"), "node"), "near-members")
+    pieces = lambda n, size: F.greatest(F.ceil(F.col(n) / most_rows), F.ceil(F.col(size) * 4 / most_bytes), F.lit(1)).cast("int")
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", pieces("n", "shingles").alias("pieces")), "near-sizes")
+    piece = F.expr("cast(pmod(xxhash64(node), pieces) as int)")
+    members_in = written(members.join(sizes, "component").withColumn("piece", piece), "near-pieces")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        """dealt: component, low, high, node, least, label, at_left."""
+        own = rows.select("node", "doc_id", "tie", "bits", "shingles")
+        dealt = dealt.select("component", "low", "high", "node", "label", "at_left", F.col("least.doc_id").alias("doc_id"), F.col("least.tie").alias("tie"))
+        full = dealt.join(own, ["node", "doc_id", "tie"]).select("component", "low", "high", "node", "label", "at_left", "bits", "shingles")
+        return written(full.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node").mapInArrow(_checked(similarity), "a long, b long"), "near-similar")
+
+    links = compared(members_in.withColumns({"low": F.col("piece"), "high": F.col("piece"), "label": F.col("node"), "at_left": F.lit(True)}))
+    large = members_in.where("pieces > 1")
+    if not large.isEmpty():
+        def labelled(found: DataFrame) -> DataFrame:
+            known = components(found, "near-components")
+            return written(large.join(known.select("node", F.col("component").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known"), "near-labels")
+
+        first = labelled(links)
+        groups = first.groupBy("component", "piece", "label").agg(F.count("*").alias("n"), F.min(F.struct("node", "least")).alias("one"))
+        leaders = groups.groupBy("component", "piece").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("g"))
+        leaders = leaders.join(sizes.where(F.col("pieces") <= most_rows), "component").select("component", F.lit(-1).alias("low"), F.lit(-1).alias("high"), "g.one.node", "g.one.least", "g.label", F.lit(True).alias("at_left"))
+        links = written(links.unionByName(compared(leaders)), "near-similar")
+        second = labelled(links)
+        main = second.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        second = written(second.join(written(main, "near-main"), "component").withColumn("odd", F.col("label") != F.col("main")), "near-labels")
+        odd = second.where("odd").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", pieces("n", "shingles").alias("odd_pieces"))
+        dealt = second.join(written(odd, "near-odd"), "component")
+        lefts = dealt.where("odd").withColumns({"low": F.expr("cast(pmod(xxhash64(node, 1), odd_pieces) as int)"), "high": F.explode(F.expr("sequence(0, pieces - 1)")), "at_left": F.lit(True)})
+        rights = dealt.withColumns({"low": F.explode(F.expr("sequence(0, odd_pieces - 1)")), "high": F.col("piece"), "at_left": F.lit(False)})
+        rights = rights.where("not odd or low <> cast(pmod(xxhash64(node, 1), odd_pieces) as int)")  # those are on the left there
+        links = links.unionByName(compared(lefts.unionByName(rights)))
+        dropped(first, second)
+    dropped(members, sizes, members_in)
+    return links
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tie, component_id, component_tie of each distinct (doc_id, text) of docs.
 
-    tie is a hash of the text. The component is that of links with at least the similarity, less the
-    two standard deviations of its measurement (0.03); it is named by its smallest doc_id and tie. Texts
-    without words are equal to each other. A null doc_id comes after all others.
+    tie is a hash of the text. The component is that of links between sets of shingles with at least the
+    similarity, among candidates from 0.05 below it by their fingerprints; it is named by its smallest
+    doc_id and tie. Texts with fewer words than a shingle are one shingle; texts without words are equal to
+    each other. A null doc_id comes after all others; doc_ids are cast to long.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    rows = written(rows.mapInArrow(_wide_fingerprints(shingle), "doc_id long, tie long, bits binary").withColumn("node", F.xxhash64("bits")), "near-rows")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bits").alias("bits")), "near-nodes")
-    most = most_differing(similarity - 0.03)
+    rows = written(rows.mapInArrow(_wide_fingerprints(shingle), "doc_id long, tie long, node long, bits binary, shingles binary"), "near-rows")
+    size = F.expr("cast(octet_length(shingles) / 4 as int)")
+    nodes = written(rows.select("node", "doc_id", "tie", "bits", size.alias("size")).groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bits").alias("bits"), F.first("size").alias("size")), "near-nodes")
+    most = most_differing(similarity - CANDIDATE)
     early = _wide_links(nodes.select("node", "bits", F.col("node").alias("part")), WIDE_BLOCKS - EARLY, WIDE_BLOCKS, most)
     parts = written(components(early, "near-components"), "near-parts")
-    parted = nodes.join(parts, "node", "left").select("node", "bits", F.coalesce("component", "node").alias("part"))
-    late = _wide_links(written(parted, "near-parted"), 0, WIDE_BLOCKS - EARLY, most)
-    found = components(late.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-components")
+    parted = written(nodes.join(parts, "node", "left").select("node", "bits", F.coalesce("component", "node").alias("part")), "near-parted")
+    late = _wide_links(parted, 0, WIDE_BLOCKS - EARLY, most)
+    candidates = written(components(late.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-components"), "near-candidates")
+    found = components(_similar_links(rows, nodes, candidates, similarity), "near-components")
     known = nodes.select("node", "least").join(found, "node")
     smallest = known.groupBy("component").agg(F.min("least").alias("smallest"))
     of = known.select("node", "component").join(smallest, "component").select("node", "smallest")
     named = nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("smallest", "least").alias("c"))
     named = written(named, "near-named")
-    dropped(nodes, parts, early, late)
+    dropped(nodes, parts, parted, early, late, candidates)
     return rows.select("doc_id", "tie", "node").distinct().join(named, "node").select("doc_id", "tie", F.col("c.doc_id").alias("component_id"), F.col("c.tie").alias("component_tie"))
 
 
