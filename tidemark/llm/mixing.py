@@ -54,19 +54,28 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float
 
     mix_size is the number of words (a null text has none), mix_copies how often the mix takes the
     document. A source without words has target and rate 0. Rows with equal doc_ids share a hash and
-    so a decision. Columns of docs with these names are replaced.
+    so a decision. Columns of docs with these names are replaced; other columns, whatever their names,
+    stay. An empty table gives an empty result.
     """
+    own = ["mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies"]
+    rated = _rated(docs, weights, share, most, seed, doc_id, text, source)
+    return rated.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *own)
+
+
+def _rated(docs: DataFrame, weights: list[float], share: float, most: float, seed: int, doc_id: str, text: str, source: str) -> DataFrame:
+    """row (all columns of docs), mix_size, mix_source_size, mix_target, mix_rate, mix_copies."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select(F.col(source).alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    own = ["mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies"]
-    docs = docs.drop(*own, "mix_source").withColumn("mix_size", size)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("mix_doc_id"), F.col(source).alias("mix_own_source"), size.alias("mix_size"))
     rate = F.coalesce(F.try_divide("mix_target", "mix_source_size"), F.lit(0.0))
     whole = F.floor("mix_rate")
-    once_more = (hashed(F.col(doc_id), seed) < F.col("mix_rate") - whole).cast("long")
-    return docs.join(targets, docs[source].eqNullSafe(targets["mix_source"])).drop("mix_source").withColumn("mix_rate", rate).withColumn("mix_copies", whole + once_more)
+    once_more = (hashed(F.col("mix_doc_id"), seed) < F.col("mix_rate") - whole).cast("long")
+    rows = rows.join(targets, rows["mix_own_source"].eqNullSafe(targets["mix_source"])).withColumn("mix_rate", rate).withColumn("mix_copies", whole + once_more)
+    return rows.select("row", "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 
 
-def mix(docs: DataFrame, weights: list[float], **settings) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    return mixed(docs, weights, **settings).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    rated = _rated(docs, weights, share, most, seed, doc_id, text, source)
+    return rated.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))

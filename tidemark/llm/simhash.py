@@ -483,6 +483,7 @@ def _close(most: int):
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of docs that are the first of their near duplicates, with all columns; rows repeated in doc_id and text once."""
     first = near_duplicates(docs, doc_id=doc_id, text=text, **settings).where("doc_id = component_id and tie = component_tie")
-    first = first.select(F.col("doc_id").alias("tidemark_id"), F.col("tie").alias("tidemark_tie"))
-    keyed = docs.withColumns({"tidemark_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), "tidemark_tie": F.xxhash64(text)})
-    return keyed.join(first, ["tidemark_id", "tidemark_tie"], "left_semi").dropDuplicates(["tidemark_id", "tidemark_tie"]).select(*docs.columns)
+    first = first.select(F.col("doc_id").alias("row_id"), F.col("tie").alias("row_tie"))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("row_id"), F.xxhash64(text).alias("row_tie"))
+    kept = keyed.join(first, ["row_id", "row_tie"], "left_semi").dropDuplicates(["row_id", "row_tie"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
