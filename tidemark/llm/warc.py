@@ -1,10 +1,12 @@
-r"""WARC archives: a writer that stores equal payloads once, and a splittable reader.
+r"""WARC archives: a writer that stores equal payloads once, and a splittable reader of any archive.
 
-Every record is a gzip member of its own, so archives can be read from any record on. The reader cuts
+Where every record is a gzip member of its own, archives can be read from any record on. The reader cuts
 files into byte ranges. A task looks for the bytes of a gzip header in its range, takes a candidate for
 a record only if it inflates to a WARC header, and then follows the members one by one; a record belongs
-to the range in which its first byte is. Compressed data can hold the magic bytes by chance; such
-candidates fail to inflate or to show a header, and the search goes on behind them.
+to the range in which its member's first byte is. Compressed data can hold the magic bytes by chance; such
+candidates fail to inflate or to show a header, and the search goes on behind them. Versions 1.0 and 1.1,
+all types of records, binary blocks, folded header lines and members of several records are read; a
+header may be of any length.
 
 Files are reached by pyarrow's file systems, by the URI of the shared folder (local or mounted paths,
 HDFS, S3, GCS).
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,10 +31,13 @@ from .shared import new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+START = b"WARC/"
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that a reader asks for at once, to which a header may run, and that are inflated at once.
-CHUNK, HEADER, PIECE = 1 << 20, 1 << 16, 1 << 14
+#: Bytes that a reader asks for at once, that it wants at hand before it inflates, and that are inflated at once.
+CHUNK, AHEAD, PIECE = 1 << 20, 1 << 16, 1 << 14
+#: Tasks of a reader at most; each takes several ranges if there are more.
+MOST_TASKS = 50_000
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -118,8 +124,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
 
 
 def _inflated(data: memoryview, file, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and the place behind it; None if there is none. data: what was read from `at` on."""
-    inflate, parts, used = zlib.decompressobj(31), [], 0
+    """The gzip member at `at`, if it starts like a record, and the place behind it; else None. data: what was read from `at` on."""
+    inflate, parts, size, used = zlib.decompressobj(31), [], 0, 0
     while True:
         if not len(data):
             return None  # the file ends within it
@@ -129,30 +135,37 @@ def _inflated(data: memoryview, file, at: int) -> tuple[bytes, int] | None:
                 parts.append(inflate.decompress(piece))
             except zlib.error:
                 return None
-            if len(parts) == 1 and not parts[0].startswith(VERSION[: len(parts[0])]):
-                return None
+            if size < len(START):
+                head = b"".join(parts)[: len(START)]
+                if not START.startswith(head):
+                    return None
+            size += len(parts[-1])
             used += len(piece)
             if inflate.eof:
                 whole = b"".join(parts)
-                return (whole, at + used - len(inflate.unused_data)) if whole.startswith(VERSION) else None
+                return (whole, at + used - len(inflate.unused_data)) if whole.startswith(START) else None
         file.seek(at + used)
         data = memoryview(file.read(CHUNK))
 
 
-def parsed(member: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Header fields (names in lower case) and block of a record; None if it isn't one."""
-    end = member.find(b"\r\n\r\n", 0, HEADER)
-    if not member.startswith(VERSION) or end < 0:
-        return None
-    fields = dict(line.split(": ", 1) for line in member[len(VERSION) : end].decode("utf-8", "replace").split("\r\n") if ": " in line)
-    fields = {k.lower(): v for k, v in fields.items()}
-    length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else -1
-    block = member[end + 4 : end + 4 + length]
-    return (fields, block) if length == len(block) else None
+def parsed(member: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of a member; none if it has no whole one."""
+    found, at = [], 0
+    while member.startswith(START, at) and (end := member.find(b"\r\n\r\n", at)) >= 0:
+        lines = re.sub(r"\r\n[ \t]+", " ", member[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        length = fields.get("content-length", "")
+        if not length.isdigit() or end + 4 + int(length) > len(member):
+            break
+        at = end + 4 + int(length)
+        found.append((fields, member[end + 4 : at]))
+        while member.startswith(b"\r\n", at):
+            at += 2
+    return found
 
 
 def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, block) of the records whose first byte is in start..end-1."""
+    """(offset, fields, block) of the records in members whose first byte is in start..end-1; offset is the member's."""
     at, synced, window, base = start, False, b"", start
     while at < end:
         if not synced:  # look for the next candidate
@@ -168,22 +181,53 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str]
             at = base + found
             if at >= end:
                 return
-        if not base <= at or base + len(window) - at < HEADER:
+        if not base <= at or base + len(window) - at < AHEAD:
             file.seek(at)
             window, base = file.read(CHUNK), at
         got = _inflated(memoryview(window)[at - base :], file, at)
-        record_ = parsed(got[0]) if got else None
-        if record_ is None:
+        records = parsed(got[0]) if got else []
+        if not records:
             at, synced = at + 1, False
             continue
-        yield at, *record_
+        for fields, block in records:
+            yield at, fields, block
         at, synced = got[1], True
 
 
+def payload_of(fields: dict[str, str], block: bytes) -> bytes | None:
+    """The payload that a record holds itself: what follows the HTTP header of an http block, else the block; None for a revisit."""
+    if fields.get("warc-type", "").lower() == REVISIT:
+        return None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, gap, body = block.partition(b"\r\n\r\n")
+        return body if gap else b""
+    return block
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.isascii() and x.removeprefix("-").isdigit() and len(x) < 19 else None
+
+
+COLUMNS = "page_id long, record_type string, payload_bytes long, payload_digest string, digest_ok boolean, refers_to long, record_id string, url string, date string, content_type string, payload binary"
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    payload, stated = payload_of(fields, block), fields.get("warc-payload-digest", "")
+    kind, _, value = stated.rpartition(":")
+    own = digest(payload) if payload is not None else None
+    checkable = own is not None and kind.lower() == "sha1" and len(value) == len(own)
+    size = len(payload) if payload is not None else _number(fields.get("payload-length"))
+    return (
+        _number(fields.get("page-id")), fields.get("warc-type"), size, (value or own), (value.upper() == own) if checkable else None, _number(fields.get("refers-to-page-id")),
+        fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("content-type"), payload,
+    )
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, start, end) -> a row for each record of that range."""
-    names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = [arrow[c.split()[1]] for c in COLUMNS.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -193,16 +237,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, inner = _opened(path)
             rows, held = [], 0
             with store.open_input_file(inner) as file:
-                for at, fields, block in records_in(file, start, end):
-                    stated = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-type"] == RESPONSE:
-                        size, payload = len(block), block.decode()
-                        if digest(block) != stated:
-                            raise ValueError(f"{path} at {at}: the payload has not the digest {stated}")
-                    else:
-                        size, payload = int(fields["payload-length"]), None
-                    refers = fields.get("refers-to-page-id")
-                    rows.append((int(fields["page-id"]), fields["warc-type"], size, stated, int(refers) if refers else None, fields["warc-target-uri"], payload))
+                for _, fields, block in records_in(file, start, end):
+                    rows.append(_row(fields, block))
                     held += len(block)
                     if held > 4 * CHUNK:
                         yield batch_of(rows)
@@ -212,17 +248,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(files: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
-    """page_id, record_type, payload_bytes, payload_digest, refers_to, url and payload (null for revisits) of every record.
+    """COLUMNS of every record: those of the writer's own fields (page_id, refers_to, a revisit's payload_bytes) are null in other archives.
 
-    files: path and bytes of each archive. Ranges of range_bytes are dealt to tasks; a record is read
-    once, by the range that holds its first byte, however long it is.
+    files: path and bytes of each archive. Ranges of range_bytes are dealt evenly to tasks, one each up to
+    MOST_TASKS; a record is read once, by the range that holds its member's first byte, however long it is.
+    payload is that of responses and other records, without the header of an http block, and null for
+    revisits. payload_digest is the stated one, else that of the payload; digest_ok says whether a stated
+    SHA-1 in base32 is that of the payload (null where it can't be said). Bytes that are no record are passed over.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.where("bytes > 0").select("path", starts.alias("start"), "bytes")
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
-    tasks = F.pmod(F.xxhash64("path", "start"), F.lit(1 << 20))
-    kinds = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload string"
-    return ranges.repartition(tasks).mapInArrow(_read, kinds)
+    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(_read, COLUMNS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
