@@ -5,12 +5,13 @@ neighbouring blocks are a passage, so that each place that a segment may stand i
 is a vector of TF-IDF weights of the terms that segments use, without those that are in many blocks. A
 randomised SVD of all blocks gives a latent space of few dimensions: each round multiplies the matrix,
 its transpose and a thin matrix, as sums by term over all partitions, of which only a matrix with a row
-for each benchmark term reaches the driver. Passages whose cosine with a segment is high are candidates.
+for each benchmark term reaches the driver. Passages whose cosine with a segment is high are candidates; so
+are those that hold GRAM words of a segment in a row, which finds copies that the space represents badly.
 A candidate counts if the longest common subsequence of words covers most of the segment, or, for
 paraphrases, a good part of it and the answer as well: the item's answer if it has one, else its rare words.
 
-The benchmark is a stated set of queries, held by every task; MAX_BYTES bounds it. The corpus is read
-twice and not shuffled.
+The benchmark is a stated set of queries. Every task holds up to MAX_BYTES of it; a larger one is searched
+in parts, each with a space of its own. For each part the corpus is read twice and not shuffled.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .words import folded, sliced
+from .words import STEP, folded, sliced
 
-#: Words of a block and most of a segment; latent dimensions, with some more while they are sought.
-BLOCK, RANK, SPARE, ROUNDS = 64, 192, 16, 2
-#: Bytes of benchmark texts at most; queries compared at a time.
-MAX_BYTES, AT_A_TIME = 4 << 20, 2048
+#: Words of a block and most of a segment; latent dimensions (as many as segments, within bounds), with some more while they are sought.
+BLOCK, LEAST_RANK, RANK, SPARE, ROUNDS = 64, 64, 192, 16, 2
+#: Words in a row that make a passage a candidate.
+GRAM = 4
+#: Bytes of benchmark texts that a task holds; passages and queries compared at a time.
+MAX_BYTES, PASSAGES, AT_A_TIME = 4 << 20, 4096, 2048
 
 
 @dataclass(frozen=True)
@@ -169,9 +172,23 @@ def _product(occurrences: DataFrame, own: tuple[np.ndarray, np.ndarray], weights
 class Space:
     benchmark: Benchmark
     latent: np.ndarray  # latent vector of each term, times its weight
-    heavy: Terms  # the terms that have weight
+    heavy: np.ndarray  # which terms have weight
     queries: np.ndarray  # of each segment, of length 1; 0 for those without a term of weight
     limits: Limits
+    grams: np.ndarray  # hashes of GRAM terms in a row, in order, and the segment of each
+    gram_segments: np.ndarray
+
+
+def _gram_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where GRAM terms stand in a row, and a hash of them."""
+    if len(ids) < GRAM:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    broken = np.cumsum(np.append(0, ids < 0))
+    at = np.flatnonzero(broken[GRAM:] == broken[:-GRAM])
+    hashes = np.zeros(len(at), np.uint64)
+    for i in range(GRAM):
+        hashes = hashes * STEP + ids[at + i].astype(np.uint64) + np.uint64(1)
+    return at, hashes
 
 
 def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: str = "text") -> Space:
@@ -190,7 +207,8 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
         telling[mine[np.argsort(n[mine], kind="stable")[: limits.rarest]]] = True
     weights = np.where(telling, np.log((total + 1) / n), 0.0)
     benchmark.answers = [answer or [w for w in words if weights[benchmark.terms[w]]] for answer, words in zip(benchmark.answers, benchmark.words)]
-    rank = min(RANK + SPARE, size)
+    wanted = min(max(len(benchmark.words), LEAST_RANK), RANK)
+    rank = min(wanted + SPARE, size)
     thin = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
     for _ in range(ROUNDS):
         product = _product(occurrences, own, weights, thin)
@@ -198,12 +216,14 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
         thin = np.linalg.qr(product)[0]
     dropped(occurrences)
     _, turn = np.linalg.eigh((within + within.T) / 2)  # in rising order
-    basis = (before @ turn)[:, -min(RANK, rank) :]
+    basis = (before @ turn)[:, -min(wanted, rank) :]
     latent = (basis * weights[:, None]).astype(np.float32)
     queries = np.add.reduceat(latent[own[1]], np.flatnonzero(np.append(True, np.diff(segment))), axis=0)
     length = np.linalg.norm(queries, axis=1, keepdims=True)
-    heavy = Terms({word: i for word, i in benchmark.terms.items() if latent[i].any()})
-    return Space(benchmark, latent, heavy, np.divide(queries, length, out=np.zeros_like(queries), where=length > 1e-9), limits)
+    grams = [_gram_hashes(benchmark.terms.of(words))[1] for words in benchmark.words]
+    hashes, of = np.concatenate(grams), np.repeat(np.arange(len(grams)), list(map(len, grams)))
+    order = np.argsort(hashes, kind="stable")
+    return Space(benchmark, latent, latent.any(axis=1), np.divide(queries, length, out=np.zeros_like(queries), where=length > 1e-9), limits, hashes[order], of[order])
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -234,44 +254,68 @@ def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes
     return None
 
 
-def leaks_of(space: Space, text: str | None) -> list[tuple[int, int, float, float]]:
-    """item, first word of the passage, cosine and share of each leaked item; the best passage of each."""
-    words = folded(text)
-    ids = space.heavy.of(words)
-    heavy = np.flatnonzero(ids >= 0)
-    if not len(heavy):
-        return []
-    n = -(-len(words) // BLOCK)
-    blocks = np.zeros((n + 1, space.latent.shape[1]), np.float32)
-    block = heavy // BLOCK
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    blocks[block[starts]] = np.add.reduceat(space.latent[ids[heavy]], starts, axis=0)
-    passages = blocks[:-1] + blocks[1:]
-    length = np.linalg.norm(passages, axis=1)
-    best: dict[int, tuple[int, float, float]] = {}
-    some = np.flatnonzero(length > 1e-9)
-    for at in range(0, len(space.queries), AT_A_TIME):
-        cosines = passages[some] @ space.queries[at : at + AT_A_TIME].T / length[some][:, None]
-        here = -1
-        for i, j in zip(*(x.tolist() for x in np.nonzero(cosines >= space.limits.cosine))):
-            start = int(some[i]) * BLOCK
-            if start != here:
-                here, passage = start, words[start : start + 2 * BLOCK]
+def _candidates(space: Space, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """passage, segment and cosine of candidates, by passages at a time. ids: terms of whole blocks; passage i is the blocks i and i + 1."""
+    dimensions, blocks_there = space.latent.shape[1], len(ids) // BLOCK
+    heavy = np.flatnonzero(space.heavy[ids] & (ids >= 0))
+    at, hashes = _gram_hashes(ids)
+    low, high = (np.searchsorted(space.grams, hashes, side) for side in ("left", "right"))
+    hits = np.repeat(at // BLOCK, high - low)
+    of = space.gram_segments[np.repeat(low, high - low) + np.arange(len(hits)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+    for first in range(0, blocks_there - 1, PASSAGES):
+        last = min(first + PASSAGES, blocks_there - 1)
+        mine = heavy[np.searchsorted(heavy, first * BLOCK) : np.searchsorted(heavy, (last + 1) * BLOCK)]
+        blocks = np.zeros((last - first + 1, dimensions), np.float32)
+        if len(mine):
+            block = mine // BLOCK - first
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            blocks[block[starts]] = np.add.reduceat(space.latent[ids[mine]], starts, axis=0)
+        passages = blocks[:-1] + blocks[1:]
+        length = np.linalg.norm(passages, axis=1)
+        some = np.flatnonzero(length > 1e-9)
+        length[length <= 1e-9] = 1.0
+        found = []
+        for j in range(0, len(space.queries), AT_A_TIME):
+            i, k = np.nonzero(passages[some] @ space.queries[j : j + AT_A_TIME].T >= space.limits.cosine * length[some][:, None])
+            found.append(some[i] * len(space.queries) + k + j)
+        for back in (0, 1):  # what stands in a block is in two passages
+            here = (hits - back >= first) & (hits - back < last)
+            found.append((hits[here] - back - first) * len(space.queries) + of[here])
+        both = np.unique(np.concatenate(found))
+        i, k = both // len(space.queries), both % len(space.queries)
+        yield i + first, k, np.einsum("ij,ij->i", passages[i], space.queries[k]) / length[i]
+
+
+def leaks_of(space: Space, texts: list[str | None]) -> list[list[tuple[int, int, float, float]]]:
+    """Of each text item, first word of the passage, cosine and share of each leaked item; the best passage of each."""
+    words = [folded(text) for text in texts]
+    blocks = np.array([-(-len(w) // BLOCK) + 1 for w in words], np.int64)  # each text's last block is empty, so none runs into the next
+    first = np.cumsum(blocks) - blocks
+    ids = np.full(int(blocks.sum()) * BLOCK + BLOCK, -1, np.int32)
+    for w, start in zip(words, first.tolist()):
+        ids[start * BLOCK : start * BLOCK + len(w)] = space.benchmark.terms.of(w)
+    best: list[dict[int, tuple[int, float, float]]] = [{} for _ in texts]
+    here = -1
+    for passages, segments_, cosines in _candidates(space, ids):
+        owners = np.searchsorted(first, passages, "right") - 1
+        for i, segment, cosine, owner in zip(passages.tolist(), segments_.tolist(), cosines.tolist(), owners.tolist()):
+            if i != here:
+                here, start = i, (i - int(first[owner])) * BLOCK
+                passage = words[owner][start : start + 2 * BLOCK]
                 distinct = set(passage)
-            share = _checked(space, at + j, passage, distinct)
-            item = space.benchmark.items[at + j]
-            if share is not None and (item not in best or share > best[item][2]):
-                best[item] = (start, float(cosines[i, j]), share)
-    return [(item, *found) for item, found in sorted(best.items())]
+            share = _checked(space, segment, passage, distinct)
+            item = space.benchmark.items[segment]
+            if share is not None and (item not in best[owner] or share > best[owner][item][2]):
+                best[owner][item] = (start, cosine, share)
+    return [[(item, *found) for item, found in sorted(x.items(), key=lambda f: (f[0] is None, f[0] or 0))] for x in best]
 
 
 def _searched(shared):
     kind = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
-        for batch in batches:
-            found = [leaks_of(space, text.as_py()) for text in batch.column("text")]
+        for batch in sliced(batches):
+            found = leaks_of(shared.value, batch.column("text").to_pylist())
             hit = pa.array([bool(x) for x in found], pa.bool_())
             rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(kind))], ["doc_id", "leaks"])
             yield rows.filter(hit)
@@ -279,17 +323,17 @@ def _searched(shared):
     return run
 
 
-def fitted(docs: DataFrame, items: DataFrame, limits: Limits | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer") -> Space:
-    """The latent space of docs and the items; items without words can't leak."""
+def fitted(docs: DataFrame, items: DataFrame, limits: Limits | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer") -> Iterator[Space]:
+    """The latent spaces of docs and the items, one for each part of the benchmark; items without words can't leak. item_ids are cast to long."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    if size > MAX_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; tasks hold it up to {MAX_BYTES}")
+    parts = 1 if size <= MAX_BYTES else -(-size * 5 // (4 * MAX_BYTES))
     answers = F.col(answer).cast("string") if answer in items.columns else F.lit(None).cast("string")
-    rows = items.select(F.col(item_id).cast("long"), item_text, answers.alias("a")).collect()
-    benchmark = segments([(i, t, a) for i, t, a in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))])
-    if not benchmark.words:
-        return Space(benchmark, np.zeros((0, RANK), np.float32), Terms(), np.zeros((0, RANK), np.float32), limits or Limits())
-    return latent_space(docs, benchmark, limits or Limits(), text)
+    own = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"), answers.alias("answer"), F.pmod(F.xxhash64(item_id, item_text), F.lit(parts)).alias("part"))
+    for part in range(parts):
+        rows = own.where(F.col("part") == part).select("id", "text", "answer").collect()  # up to some MAX_BYTES
+        benchmark = segments([tuple(r) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))])
+        if benchmark.words:
+            yield latent_space(docs, benchmark, limits or Limits(), text)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -299,25 +343,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     like others; a text shorter than a segment can hold at most a share of it. Repeated rows of docs
     give repeated rows. Other columns are not read.
     """
-    space = fitted(docs, items, text=text, **settings)
-    if not len(space.benchmark.words):
-        return docs.where(F.lit(False)).select(F.col(doc_id).alias("doc_id"), *(F.lit(None).cast(k).alias(c) for c, k in (("item_id", "long"), ("start", "long"), ("cosine", "double"), ("share", "double"))))
-    shared = docs.sparkSession.sparkContext.broadcast(space)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_searched(shared), f"doc_id {kind}, leaks array<struct<item_id: long, start: long, cosine: double, share: double>>")
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    every = None
+    for space in fitted(docs, items, text=text, **settings):
+        shared = docs.sparkSession.sparkContext.broadcast(space)
+        found = rows.mapInArrow(_searched(shared), f"doc_id {kind}, leaks array<struct<item_id: long, start: long, cosine: double, share: double>>")
+        found = found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+        every = found if every is None else every.unionByName(found)
+    if every is None:
+        return rows.where(F.lit(False)).select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in (("item_id", "long"), ("start", "long"), ("cosine", "double"), ("share", "double"))))
+    return every
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows of docs without a leaked item, with all columns."""
-    space = fitted(docs, items, text=text, **settings)
-    if not len(space.benchmark.words):
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    def clean(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                yield batch.filter(pa.array([not x for x in leaks_of(shared.value, batch.column(text).to_pylist())], pa.bool_()))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield batch.filter(pa.array([not leaks_of(shared.value, x.as_py()) for x in batch.column(text)], pa.bool_()))
+        return run
 
-    return docs.mapInArrow(clean, docs.schema)
+    kept = docs
+    for space in fitted(docs, items, text=text, **settings):
+        kept = kept.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(space)), docs.schema)
+    return kept
