@@ -150,6 +150,7 @@ class Model:
     langs: list[str]
     scores: np.ndarray  # log-probability of each trigram (rows) in each language
     uses: np.ndarray  # whether a language (columns) uses a script (rows)
+    unseen: np.ndarray  # the score of a trigram that a language's rows don't have
 
 
 def trained(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -168,9 +169,10 @@ def trained(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
         counts[table["item"].to_numpy()[mine], column[mine]] = table["n"].to_numpy()[mine]
     seen = (grams > 0).sum(axis=0) + 1
     smooth = 0.5
-    scores = np.log((grams + smooth) / (grams.sum(axis=0) + smooth * seen * 4))
+    total = grams.sum(axis=0) + smooth * seen * 4
+    scores = np.log((grams + smooth) / total)
     uses = scripts * 200 >= np.maximum(scripts.sum(axis=0), 1)
-    return Model(langs, scores.astype(np.float32), uses)
+    return Model(langs, scores.astype(np.float32), uses, np.log(smooth / total).astype(np.float32))
 
 
 def word_scores(model: Model, words: Words) -> np.ndarray:
@@ -231,15 +233,24 @@ def _searched(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nda
     return labels
 
 
+def known_share(model: Model, words: Words, labels: np.ndarray, texts: int) -> np.ndarray:
+    """Of each text the share of trigrams that the language of their word has been seen with, in a script that it uses."""
+    ends = np.append(words.gram_starts[1:], len(words.grams))
+    label = np.repeat(labels, ends - words.gram_starts)
+    seen = (model.scores[words.grams, label] > model.unseen[label] + 1e-4) & np.repeat(model.uses[words.scripts, labels], ends - words.gram_starts)
+    owner = np.repeat(words.owner, ends - words.gram_starts)
+    return np.bincount(owner, seen, texts) / np.maximum(np.bincount(owner, minlength=texts), 1)
+
+
 def _labelled(shared):
-    """(doc_id, text) -> (doc_id, lang_pred, score, spans)."""
+    """(doc_id, text) -> (doc_id, lang_pred, score, spans, known)."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in sliced(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            preds, sure, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+            preds, sure, spans, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts], np.zeros(len(texts))
             for some in _chunks(texts) if model.langs else ():
                 words = words_of([texts[i] for i in some])
                 if not len(words.starts):
@@ -248,6 +259,7 @@ def _labelled(shared):
                 votes = np.zeros((len(some), len(model.langs)))
                 np.add.at(votes, (words.owner, labels), words.letters)
                 total = votes.sum(axis=1)
+                known[some] = known_share(model, words, labels, len(some))
                 for k in np.flatnonzero(total):
                     won = int(votes[k].argmax())
                     preds[some[k]], sure[some[k]] = model.langs[won], float(votes[k, won] / total[k])
@@ -255,23 +267,24 @@ def _labelled(shared):
                 end = np.append(begin[1:], len(labels)) - 1
                 for k, a, b, label in zip(words.owner[begin].tolist(), words.starts[begin].tolist(), (words.starts + words.lengths)[end].tolist(), labels[begin].tolist()):
                     spans[some[k]].append((a, b, model.langs[label]))
-            columns = [batch.column("doc_id"), pa.array(preds), pa.array(sure), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans"])
+            columns = [batch.column("doc_id"), pa.array(preds), pa.array(sure), pa.array(spans, pa.list_(span)), pa.array(known)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans", "known"])
 
     return run
 
 
 def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and spans of every row of docs.
+    """doc_id, lang_pred, score, spans and known of every row of docs.
 
     lang_pred is the language with the most letters among the labelled words, score its share of them,
-    spans (start, end, lang) runs of words of one language, in code points, end exclusive. A text that
-    is null or has no letter, and any text if nothing was learned, is "und" with score 0 and no spans.
+    spans (start, end, lang) runs of words of one language, in code points, end exclusive; known is the
+    share of its trigrams that were learned from for the language of their word. A text that is null or
+    has no letter, and any text if nothing was learned, is "und" with score 0, known 0 and no spans.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_labelled(shared), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    return rows.mapInArrow(_labelled(shared), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>, known double")
 
 
 def fold(doc_id: str = "doc_id"):
@@ -279,14 +292,20 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
-def in_known_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs whose text is in a language, with all columns: "und" goes."""
+def in_known_language(docs: DataFrame, model: Model, text: str = "text", least_known: float = 0.5, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs whose text is in a language that was learned, and among the languages given (None: all), with all columns.
+
+    What is "und" goes, and a text less than least_known of whose trigrams are known: most of it is in a
+    script or a language that was never taught, though some learned language is nearest to it.
+    """
     label = _labelled(docs.sparkSession.sparkContext.broadcast(model))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(text)], ["doc_id", "text"])
             labelled = pa.Table.from_batches(label(iter([texts])))
-            yield batch.filter(pa.array(labelled.column("lang_pred").to_numpy() != UNKNOWN))
+            pred = labelled.column("lang_pred").to_numpy()
+            wanted = pred != UNKNOWN if languages is None else np.isin(pred.astype(str), languages)
+            yield batch.filter(pa.array(wanted & (labelled.column("known").to_numpy() >= least_known)))
 
     return docs.mapInArrow(known, docs.schema)
