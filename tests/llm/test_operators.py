@@ -1,6 +1,7 @@
 """The training-data operators on edge cases and against brute force."""
 
 import collections
+import gzip
 import hashlib
 import io
 import re
@@ -124,11 +125,41 @@ def test_warc_round_trip(spark, tmp_path):
             first = next(j for j, x in enumerate(html) if (x or "") == (h or ""))
             assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), warc.digest(body))
             assert (got[i].record_type, got[i].refers_to) == (("response", None) if first == i else ("revisit", first))
-            assert got[i].payload == (h or "") if first == i else got[i].payload is None
+            assert bytes(got[i].payload) == body and got[i].digest_ok if first == i else got[i].payload is None
     assert {r.record_type for r in warc.read_archives(warc.write_archives(pages, new_path(spark, "warc"), 10**9)).collect()} == {"response"}
     assert warc.round_trip(spark, pages.where("1 = 0")).count() == 0
 
 
+def gz(*records):
+    body = b"".join(head.replace("\n", "\r\n").encode() + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for head, block in records)
+    return gzip.compress(body, mtime=0)
+
+
+def test_warc_reads_public_archives(spark, tmp_path):
+    """Version 1.0, records without payload digests, binary blocks, headers beyond 64 KB, folded lines, several records in a member, rubbish between."""
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\xff\xfe</p>"
+    long_url = "http://x/" + "".join(np.random.default_rng(1).choice(list("abcdefghij"), 90_000))
+    parts = [
+        gz(("WARC/1.0\nWARC-Type: warcinfo\nContent-Type: application/warc-fields", b"software: x\r\n")),
+        gz(("WARC/1.0\nWARC-Type: request\nContent-Type: application/http; msgtype=request\nWARC-Target-URI: http://a/", b"GET / HTTP/1.1\r\n\r\n"), ("WARC/1.0\nWARC-Type:metadata\nWARC-Target-URI:\n http://folded/", b"")),
+        b"rubbish \x1f\x8b\x08 and more", gzip.compress(b"no record"),
+        gz((f"WARC/1.0\nWARC-Type: response\nContent-Type: application/http; msgtype=response\nWARC-Target-URI: {long_url}\nWARC-Payload-Digest: sha1:{warc.digest(page.partition(bytes([13, 10, 13, 10]))[2])}", page)),
+        gz(("WARC/1.1\nWARC-Type: resource\nContent-Type: image/png\nWARC-Payload-Digest: sha1:" + "A" * 32, bytes(range(256)) * 500)),
+        gz(("WARC/1.1\nWARC-Type: revisit", b"")),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(parts))
+    files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes long")
+    for size in (1000, 1 << 22):
+        reader = warc.read_archives(files, size)
+        rows = {r.record_type: r for r in reader.collect()}
+        assert set(rows) == {"warcinfo", "request", "metadata", "response", "resource", "revisit"} and reader.count() == 6
+        assert rows["metadata"].url == "http://folded/" and bytes(rows["request"].payload) == b"" and rows["warcinfo"].payload_digest == warc.digest(b"software: x\r\n")
+        assert rows["response"].url == long_url and bytes(rows["response"].payload) == b"<p>\xff\xfe</p>" and rows["response"].digest_ok and rows["response"].page_id is None
+        assert rows["resource"].payload_bytes == 128_000 and rows["resource"].digest_ok is False and rows["revisit"].payload is None and rows["revisit"].payload_bytes is None
+    assert reader.rdd.getNumPartitions() == 1 and warc.read_archives(files, 1000).rdd.getNumPartitions() == -(-path.stat().st_size // 1000)
+
+
 def test_warc_ranges_own_each_record_once():
     data = b"".join(warc.record(i, "u", bytes(np.random.default_rng(i).integers(0, 255, 500, dtype=np.uint8)), None) for i in range(40))
     for step in (1, 7, 97, 5000):
@@ -159,6 +190,14 @@ def test_mix_edges(docs, none):
     got = mixing.mixed(docs, [5.0, 2.0, 1.0]).collect()
     assert len(got) == docs.count() and {r.mix_size for r in got if r.doc_id in (5, 6, 7)} == {0}
     assert mixing.mix(docs, [1.0]).columns == docs.columns
+    names = ("mix_source", "mix_size", "mix_target", "mix_rate", "mix_copies", "mix_copy", "mix_doc_id", "mix_own_source", "row", "col", "weight", "ceiling", "source_size", "target", "tidemark_id", "component", "node", "tie", "bits")
+    clashing = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for table in (clashing, clashing.where("1 = 0")):
+        out = mixing.mix(table, [5.0, 2.0])
+        assert out.columns == clashing.columns and all(r[c] == f"own {c}" for r in out.collect() for c in names)
+    assert mixing.mixed(clashing, [5.0]).where("mix_copy = 'own mix_copy' and mix_size >= 0").count() == docs.count()
+    kept = simhash.one_of_each(clashing)
+    assert kept.columns == clashing.columns and kept.where("node <> 'own node' or tidemark_id <> 'own tidemark_id'").count() == 0
     assert mixing.mix(none, [1.0]).count() == 0
 
 
@@ -338,8 +377,11 @@ def test_languages_of_mixed_text(spark, docs, none):
     assert got[1].lang_pred == "xa" and [s.lang for s in got[1].spans] == ["xa", "yo", "ru"] and 0 < got[1].score < 1
     assert mixed[got[1].spans[2].start : got[1].spans[2].end] == words("ru", 8, 97)
     assert (got[2].lang_pred, got[2].score, got[3].lang_pred, got[4].lang_pred, got[4].score) == ("und", 0.0, "und", "yo", 1.0)
-    kept = langid.in_known_language(docs, model)
+    kept = langid.in_known_language(docs, langid.trained(docs.select(F.lit("xa").alias("lang"), "text")))
     assert kept.columns == docs.columns and not {5, 6, 7, 14} & {r.doc_id for r in kept.collect()} and {0, 12} <= {r.doc_id for r in kept.collect()}
+    some = spark.createDataFrame([(1, words("xa", 40, 7)), (2, words("yo", 40, 8)), (3, "日本語の文章です"), (4, "zzgh qqvw wxxq jjyh fbbp " * 5), (5, words("xa", 30, 9) + " qqvw zzgh")], "doc_id long, text string")
+    ids = lambda **k: {r.doc_id for r in langid.in_known_language(some, model, **k).collect()}
+    assert ids() == {1, 2, 5} and ids(languages=["yo"]) == {2} and ids(least_known=0.0) == {1, 2, 3, 4, 5}
     untaught = langid.trained(none)
     assert {r.lang_pred for r in langid.identified(docs, untaught).collect()} == {"und"} and langid.in_known_language(none, model).count() == 0
 

@@ -51,16 +51,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents, learned from those of folds 1 to 4."""
+    """The language of all documents, learned from those of folds 1 to 4; a null doc_id is in no fold, neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.trained(docs.where(langid.fold() != 0))
     found = langid.identified(docs, model)
-    return found.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents, each a path with one version, scanned with an empty ledger."""
-    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets in all documents, each a path with one version.
+
+    A first scan knows the base rules alone and starts a ledger; the second has all rules, scans the pairs
+    of blob and rule version that the ledger lacks, and joins the findings of both back to all paths.
+    """
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, ledger = secrets.scan(versions, rules=secrets.BASE)
+    found, _ = secrets.scan(versions, ledger)
     base = len(secrets.BASE)
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
