@@ -50,6 +50,8 @@ EARLY = 10
 #: How far below the limit bits make candidates, and bits alone rule a pair out; rows and bytes of shingles that one task compares.
 CANDIDATE, RULED_OUT = 0.05, 0.08
 ROWS, BYTES = 4096, 64 << 20
+#: Hash buckets by which rows are sifted before their sets or texts are shuffled: at most so many numbers are broadcast.
+BUCKETS = 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -406,10 +408,12 @@ def _similar_links(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, sim
     sizes = written(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("component", pieces("n", "shingles").alias("pieces")), "near-sizes")
     piece = F.expr("cast(pmod(xxhash64(node), pieces) as int)")
     members_in = written(members.join(sizes, "component").withColumn("piece", piece), "near-pieces")
+    bucket = F.expr(f"pmod(xxhash64(node), {BUCKETS}L)").alias("bucket")
+    buckets = F.broadcast(members.select(bucket).distinct())  # BUCKETS rows at most
+    own = written(rows.select("node", "doc_id", "tie", "bits", "shingles", bucket).join(buckets, "bucket", "left_semi").drop("bucket"), "near-sets")
 
     def compared(dealt: DataFrame) -> DataFrame:
         """dealt: component, low, high, node, least, label, at_left."""
-        own = rows.select("node", "doc_id", "tie", "bits", "shingles")
         dealt = dealt.select("component", "low", "high", "node", "label", "at_left", F.col("least.doc_id").alias("doc_id"), F.col("least.tie").alias("tie"))
         full = dealt.join(own, ["node", "doc_id", "tie"]).select("component", "low", "high", "node", "label", "at_left", "bits", "shingles")
         return written(full.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node").mapInArrow(_checked(similarity), "a long, b long"), "near-similar")
@@ -436,14 +440,14 @@ def _similar_links(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, sim
         rights = rights.where("not odd or low <> cast(pmod(xxhash64(node, 1), odd_pieces) as int)")  # those are on the left there
         links = links.unionByName(compared(lefts.unionByName(rights)))
         dropped(first, second)
-    dropped(members, sizes, members_in)
+    dropped(members, sizes, members_in, own)
     return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tie, component_id, component_tie of each distinct (doc_id, text) of docs.
+    """doc_id, tie, copies, component_id, component_tie of each distinct (doc_id, text) of docs.
 
-    tie is a hash of the text. The component is that of links between sets of shingles with at least the
+    tie is a hash of the text, copies the number of its rows. The component is that of links between sets of shingles with at least the
     similarity, among candidates from 0.05 below it by their fingerprints; it is named by its smallest
     doc_id and tie. Texts with fewer words than a shingle are one shingle; texts without words are equal to
     each other. A null doc_id comes after all others; doc_ids are cast to long.
@@ -464,8 +468,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     of = known.select("node", "component").join(smallest, "component").select("node", "smallest")
     named = nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("smallest", "least").alias("c"))
     named = written(named, "near-named")
-    dropped(nodes, parts, parted, early, late, candidates)
-    return rows.select("doc_id", "tie", "node").distinct().join(named, "node").select("doc_id", "tie", F.col("c.doc_id").alias("component_id"), F.col("c.tie").alias("component_tie"))
+    ids = written(rows.groupBy("doc_id", "tie", "node").agg(F.count("*").alias("copies")), "near-ids")
+    dropped(rows, nodes, parts, parted, early, late, candidates)
+    return ids.join(named, "node").select("doc_id", "tie", "copies", F.col("c.doc_id").alias("component_id"), F.col("c.tie").alias("component_tie"))
 
 
 def _close(most: int):
@@ -482,8 +487,13 @@ def _close(most: int):
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of docs that are the first of their near duplicates, with all columns; rows repeated in doc_id and text once."""
-    first = near_duplicates(docs, doc_id=doc_id, text=text, **settings).where("doc_id = component_id and tie = component_tie")
-    first = first.select(F.col("doc_id").alias("row_id"), F.col("tie").alias("row_tie"))
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("row_id"), F.xxhash64(text).alias("row_tie"))
-    kept = keyed.join(first, ["row_id", "row_tie"], "left_semi").dropDuplicates(["row_id", "row_tie"])
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("tie") == F.col("component_tie"))
+    found = written(found.select(F.col("doc_id").alias("row_id"), F.col("tie").alias("row_tie"), "copies", stays.alias("stays")), "near-verdicts")
+    bucket = F.expr(f"pmod(xxhash64(row_id, row_tie), {BUCKETS}L)").alias("bucket")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("row_id"), F.xxhash64(text).alias("row_tie")).select("*", bucket)
+    # Rows in a bucket where all stay and none is repeated need no shuffle.
+    mixed = F.broadcast(found.where("not stays or copies > 1").select(bucket).distinct())  # BUCKETS rows at most
+    checked = keyed.join(mixed, "bucket", "left_semi").join(found.where("stays"), ["row_id", "row_tie"], "left_semi").dropDuplicates(["row_id", "row_tie"])
+    kept = keyed.join(mixed, "bucket", "left_anti").select("row").unionByName(checked.select("row"))
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
