@@ -2,7 +2,8 @@
 
 All series of a plan are made in one pass over each ticker's bars in order, by one fold whose state holds
 every series; the rows come back with the series beside them. This stays in the JVM, and a ticker's bars
-are shuffled once, to where window functions need them as well.
+are shuffled once, to where window functions need them as well. A ticker's bars are one row meanwhile, cut
+into chunks of the square root of their number.
 """
 
 from __future__ import annotations
@@ -78,37 +79,55 @@ def _next(series: Series, acc: Column, value: Column) -> tuple[Column, Column, C
     return kept(new, total), kept(grown, weight), F.when(value.isNotNull() & enough, out).when(value.isNull() & (weight > 0), None)
 
 
+def _folded(bars: DataFrame, state: dict[str, Column], made: str, step: Callable[[Column, Column], tuple[list[Column], list[Column]]], key: str, order: str) -> DataFrame:
+    """bars with what step makes of each bar and the state so far: new state, and columns (of the types in `made`) beside the bar's own.
+
+    A ticker's bars are folded in chunks of the square root of their number: rows are appended to their
+    chunk, and chunks to the whole, so that no array is copied more often than that root.
+    """
+    own = [c for c in bars.columns if c != key]
+    row_kind = ", ".join([f"`{c}`: {bars.schema[c].dataType.simpleString()}" for c in own] + [made])
+    none = F.array().cast(f"array<struct<{row_kind}>>")
+    listed = bars.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in own if c != order)))).alias("bars"))
+    length = F.greatest(F.ceil(F.sqrt(F.size("bars"))).cast("int"), F.lit(32))
+    starts = F.sequence(F.lit(1), F.size("bars"), F.col("length"))
+    chunked = listed.withColumn("length", length).select(key, F.transform(starts, lambda at: F.slice("bars", at, F.col("length"))).alias("chunks"))
+
+    def one(acc: Column, bar: Column) -> Column:
+        now, columns = step(acc, bar)
+        row = F.struct(*(bar[c].alias(c) for c in own), *columns)
+        return F.struct(*now, F.array_append(acc["out"], row).alias("out"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        start = F.struct(*(acc[k].alias(k) for k in state), none.alias("out"))
+        return F.aggregate(some, start, one, lambda end: F.struct(*(end[k].alias(k) for k in state), F.array_append(acc["done"], end["out"]).alias("done")))
+
+    first = F.struct(*(v.alias(k) for k, v in state.items()), F.array().cast(f"array<array<struct<{row_kind}>>>").alias("done"))
+    return chunked.select(key, F.inline(F.flatten(F.aggregate("chunks", first, chunk, lambda acc: acc["done"]))))
+
+
 def with_series(bars: DataFrame, series: Sequence[Series], key: str = "ticker", order: str = "date") -> DataFrame:
     """bars with a column for each series. Null inputs give null and leave a series as it is."""
-    own = [c for c in bars.columns if c != key]
-    numbers = [f"{s.name}_{part}" for s in series for part in ("total", "weight")]
-    kinds = ", ".join([f"{c}: {bars.schema[c].dataType.simpleString()}" for c in own] + [f"{s.name}: double" for s in series])
-    start = F.struct(*(F.lit(0.0).alias(x) for x in numbers), F.array().cast(f"array<struct<{kinds}>>").alias("out"))
 
-    def step(acc: Column, bar: Column) -> Column:
+    def step(acc: Column, bar: Column) -> tuple[list[Column], list[Column]]:
         state, made = [], {}
         for s in series:
             total, weight, value = _next(s, acc, s.input(bar, made).cast("double"))
             state += [total.alias(f"{s.name}_total"), weight.alias(f"{s.name}_weight")]
             made[s.name] = value
-        row = F.struct(*(bar[c].alias(c) for c in own), *(made[s.name].alias(s.name) for s in series))
-        return F.struct(*state, F.array_append(acc["out"], row).alias("out"))
+        return state, [made[s.name].alias(s.name) for s in series]
 
-    lists = bars.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in own if c != order)))).alias("bars"))
-    return lists.select(key, F.inline(F.aggregate("bars", start, step, lambda acc: acc["out"])))
+    start = {f"{s.name}_{part}": F.lit(0.0) for s in series for part in ("total", "weight")}
+    return _folded(bars, start, ", ".join(f"{s.name}: double" for s in series), step, key, order)
 
 
 def with_states(bars: DataFrame, start: dict[str, Column], step: Callable[[dict[str, Column], Column], dict[str, Column]], key: str = "ticker", order: str = "date") -> DataFrame:
     """bars with the columns of a state machine: start gives each state column before the first bar, step after each."""
-    own = [c for c in bars.columns if c != key]
     probe = bars.sparkSession.range(1).select(*(v.alias(k) for k, v in start.items())).schema
-    kinds = ", ".join([f"{c}: {bars.schema[c].dataType.simpleString()}" for c in own] + [f"{f.name}: {f.dataType.simpleString()}" for f in probe])
 
-    def fold(acc: Column, bar: Column) -> Column:
+    def fold(acc: Column, bar: Column) -> tuple[list[Column], list[Column]]:
         now = {k: v.cast(probe[k].dataType) for k, v in step({k: acc[k] for k in start}, bar).items()}
-        row = F.struct(*(bar[c].alias(c) for c in own), *(now[k].alias(k) for k in start))
-        return F.struct(*(now[k].alias(k) for k in start), F.array_append(acc["out"], row).alias("out"))
+        return [now[k].alias(k) for k in start], [now[k].alias(k) for k in start]
 
-    first = F.struct(*(v.cast(probe[k].dataType).alias(k) for k, v in start.items()), F.array().cast(f"array<struct<{kinds}>>").alias("out"))
-    lists = bars.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in own if c != order)))).alias("bars"))
-    return lists.select(key, F.inline(F.aggregate("bars", first, fold, lambda acc: acc["out"])))
+    first = {k: v.cast(probe[k].dataType) for k, v in start.items()}
+    return _folded(bars, first, ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in probe), fold, key, order)
