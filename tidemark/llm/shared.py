@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds between requests to collect garbage, and when the last was.
+COLLECT_S, _collected = 3.0, [0.0]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is set and all runs in one process, as in tests, one of our own."""
@@ -32,14 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors don't matter.
 
     Shuffle files of the steps before it aren't needed any more; Spark's cleaner removes them once
-    the driver has collected its garbage, so that is asked for here.
+    the driver has collected its garbage, so that is asked for here every few seconds.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     table = spark.read.parquet(path)
     table._tidemark_path = path
     return table
