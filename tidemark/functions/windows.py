@@ -82,3 +82,9 @@ def rank_share(column: str, ties: str = "average", within: str | None = None) ->
 def island(condition: str, by: str = TICKER) -> str:
     """A number that stays the same while the condition holds (or while it doesn't): rows since it last failed share it."""
     return f"sum(case when {condition} then 0 else 1 end) over ({by} rows unbounded preceding)"
+
+
+def weighted_average(column: str, n: int, by: str = TICKER) -> str:
+    """Linearly weighted mean of the last n values, the newest weighing n; null with fewer rows or a null among them."""
+    terms = " + ".join(f"{column if k == n else lag(column, n - k, by)} * {k}e0" for k in range(1, n + 1))
+    return f"({terms}) / {n * (n + 1) // 2}e0"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.windows import clamp, lag, rows, slope, sma
-from .screens import NUMBER, Screen
+from .screens import NUMBER, Screen, ranked, screened
 
 FLOW = "coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume"
-LINE = (NUMBER | {"flow": FLOW}, {"adl": f"sum(flow) over {rows(None)}"})
+LINE = (NUMBER | {"flow": FLOW}, {"adl": f"round(sum(flow) over {rows(None)}, 6)"})  # equal levels stay equal, whatever the order of sums
 #: Bars on each side of an extreme, and bars in which a divergence is looked for.
 SIDE, SPAN = 5, 20
 
@@ -113,3 +118,24 @@ def averages(periods: tuple = (20, 50, 100), look_back: int = 10, least: float =
 
 #: Weights of the three parts of the composite, and the score and number that it keeps.
 WEIGHTS, LEAST, TOP = (0.4, 0.3, 0.3), 70.0, 50
+
+
+def strength_layers(n: int = 20) -> tuple[dict[str, str], ...]:
+    """Layers that give strength, 0 to 100: how far the line (adl) confirms the close over n bars; 50 before that."""
+    return (
+        {"line_change": f"round(adl - {lag('adl', n)}, 6)", "price_change": f"round(close - {lag('close', n)}, 6)"},
+        {
+            "strength": "case when line_change is null or price_change is null then 50e0 when line_change * price_change > 0"
+            " then 50 + least(abs(line_change), abs(price_change)) / greatest(abs(line_change), abs(price_change), 1e0) * 50"
+            " else 50 - abs(line_change - price_change) / (abs(line_change) + abs(price_change) + 1) * 50 end"
+        },
+    )
+
+
+def composite(bars: DataFrame, parts: Sequence[Screen]) -> DataFrame:
+    """ticker, score and place of the TOP tickers by the weighted sum of the scores of three screens that they all pass."""
+    scores = [screened(bars, p).select("ticker", F.col("score").alias(f"s{i}")) for i, p in enumerate(parts)]
+    joined = scores[0].join(scores[1], "ticker").join(scores[2], "ticker")
+    total = sum((F.col(f"s{i}") * w for i, w in enumerate(WEIGHTS)), F.lit(0.0))
+    top = ranked(joined.select("ticker", total.alias("score")), "score", TOP)
+    return top.withColumn("place", F.expr("row_number() over (order by score desc, ticker)").cast("long"))  # TOP rows

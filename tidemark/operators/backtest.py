@@ -7,6 +7,7 @@ run beside each other. A group holds signals, not bars, and only those between a
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -189,3 +190,58 @@ def analysis_of_variance(trades: DataFrame) -> DataFrame:
     between_ = groups.crossJoin(F.broadcast(total.select(F.col("mean").alias("all")))).agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("all"), F.lit(2))).alias("between"))
     both = total.crossJoin(F.broadcast(between_))
     return both.select(F.col("k").alias("groups"), F.col("n").alias("rows"), F.try_divide(F.try_divide(F.col("between"), F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k"))).alias("f"))
+
+
+def contributions(trades: DataFrame) -> DataFrame:
+    """strategy, trades, total_pnl and its share of all strategies' total in percent (null if that is 0)."""
+    own = trades.groupBy("strategy").agg(F.count("*").alias("trades"), F.sum("pnl").alias("total_pnl"))
+    return own.withColumn("share_pct", F.try_divide(F.col("total_pnl") * 100, F.expr("sum(total_pnl) over ()")))  # a row a strategy
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    total = d
+    for m in range(1, 300):
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + up * d) or tiny), (1 + up / c) or tiny
+            total *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a * total
+
+
+def _tail(of):
+    """A column of probabilities from a few columns of figures, a row for each strategy or one in all."""
+
+    @F.pandas_udf("double")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([of(*map(float, row)) if not any(map(pd.isna, row)) else None for row in zip(*columns)], dtype="float64")
+
+    return run
+
+
+def t_test(trades: DataFrame) -> DataFrame:
+    """t_statistics() with the two-sided p value and whether it is below 5% and 1%."""
+    p = _tail(lambda t, n: beta_share((n - 1) / 2, 0.5, (n - 1) / (n - 1 + t * t)))
+    out = t_statistics(trades).withColumn("p", F.when(F.col("n") > 1, p("t", F.col("n").cast("double"))))
+    return out.withColumns({"significant_5pct": F.col("p") < 0.05, "significant_1pct": F.col("p") < 0.01})
+
+
+def variance_test(trades: DataFrame) -> DataFrame:
+    """analysis_of_variance() with the p value of F and whether it is below 5%."""
+    p = _tail(lambda f, k, n: beta_share((n - k) / 2, (k - 1) / 2, (n - k) / (n - k + (k - 1) * f)))
+    out = analysis_of_variance(trades)
+    out = out.withColumn("p", F.when((F.col("groups") > 1) & (F.col("rows") > F.col("groups")), p("f", F.col("groups").cast("double"), F.col("rows").cast("double"))))
+    return out.withColumn("significant_5pct", F.col("p") < 0.05)
+
+
+def summary(values: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """rows, mean, median, standard deviation, least, greatest and quartiles of a column, in all or by a key."""
+    c = F.col(column)
+    figures = (F.count(c).alias("rows"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("greatest"), F.percentile(c, F.lit(0.25)).alias("quartile_1"), F.percentile(c, F.lit(0.75)).alias("quartile_3"))
+    return values.groupBy(by).agg(*figures) if by else values.agg(*figures)

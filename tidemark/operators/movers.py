@@ -74,12 +74,16 @@ def weekday_change(bars: DataFrame, weekday: int) -> DataFrame:
     return latest(pair).select("ticker", "date", "date_before", ((F.try_divide("close", "before") - 1) * 100).alias("change_pct"))
 
 
-def correlations(bars: DataFrame, tickers: Sequence[str]) -> DataFrame:
-    """a, b (a < b), n and the correlation of their returns on common dates, for the tickers named."""
-    moves = bars.where(F.col("ticker").isin(list(tickers))).withColumn("ret", F.expr(change("close"))).where("ret is not null")
-    left = moves.select(F.col("ticker").alias("a"), "date", F.col("ret").alias("x"))
-    right = moves.select(F.col("ticker").alias("b"), "date", F.col("ret").alias("y"))
-    return left.join(right, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
+def correlations(bars: DataFrame, groups: DataFrame) -> DataFrame:
+    """grp, a, b (a < b), n and the correlation of their returns on common dates, for every two tickers of a group.
+
+    groups: ticker, grp. The result has a row for each pair, so groups are what bounds it: an industry, a
+    watchlist, or all tickers under one name where their number squared can be had.
+    """
+    moves = bars.withColumn("ret", F.expr(change("close"))).where("ret is not null").join(groups.select("ticker", "grp").where("grp is not null").distinct(), "ticker")
+    left = moves.select("grp", F.col("ticker").alias("a"), "date", F.col("ret").alias("x"))
+    right = moves.select("grp", F.col("ticker").alias("b"), "date", F.col("ret").alias("y"))
+    return left.join(right, ["grp", "date"]).where("a < b").groupBy("grp", "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
 
 
 def mcclellan(bars: DataFrame) -> DataFrame:

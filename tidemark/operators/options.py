@@ -90,3 +90,17 @@ def quality(chain: DataFrame) -> DataFrame:
     """ticker and a score of 0 to 1 for how complete and tight its quotes are."""
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     return chain.groupBy("ticker").agg((share(F.col("bid") > 0) * 0.3 + share(F.col("volume") > 0) * 0.3 + share(F.col("open_interest") > 0) * 0.2 + share(F.col("spread_share") <= MOST_SPREAD) * 0.2).alias("quality"))
+
+
+def signals(levels: DataFrame, near: float = 2.0) -> DataFrame:
+    """ticker, type, signal, confidence and strike: what the regime of impact() and the largest level suggest.
+
+    A positive regime reverts to the mean and a negative one follows breaks; a largest level within `near`
+    percent of the spot is tested, as support if its exposure is positive.
+    """
+    regimes = impact(levels).where("regime <> 'neutral'")
+    regime = regimes.select("ticker", F.lit("regime").alias("type"), F.when(F.col("regime") == "positive", "MEAN_REVERSION_SETUP").otherwise("MOMENTUM_BREAKOUT").alias("signal"), F.when(F.col("regime") == "positive", 0.75).otherwise(0.80).alias("confidence"), F.lit(None).cast("double").alias("strike"))
+    key = levels.where("level <> 'none'").groupBy("ticker").agg(F.max_by(F.struct("strike", "gex", "distance_pct", "level"), F.struct(F.abs("gex"), -F.col("strike"))).alias("k"))
+    key = key.where(F.abs("k.distance_pct") <= near)
+    test = key.select("ticker", F.lit("level").alias("type"), F.when(F.col("k.gex") > 0, "SUPPORT_TEST").otherwise("RESISTANCE_TEST").alias("signal"), F.when(F.col("k.level") == "extreme", 0.8).otherwise(0.5).alias("confidence"), F.col("k.strike").alias("strike"))
+    return regime.unionByName(test)

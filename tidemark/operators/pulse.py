@@ -131,3 +131,78 @@ def longest_runs(bars: DataFrame, condition: str, name: str = "longest") -> Data
     return bars.select("ticker").distinct().join(counted.groupBy("ticker").agg(F.max("n").alias(name)), "ticker", "left").fillna(0, [name])
 
 
+def as_of(rows_: DataFrame, other: DataFrame, columns: list[str], date: str = "date") -> DataFrame:
+    """rows_ with the columns of other's last row on or before each date; other has a row a date, so one task holds dates, not tickers."""
+    kinds = dict(other.dtypes)
+    mine = rows_.select(F.struct("*").alias("row"), F.col(date).alias("at"), F.lit(1).alias("own"), *(F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+    theirs = other.select(F.lit(None).cast(mine.schema["row"].dataType).alias("row"), F.col(date).alias("at"), F.lit(0).alias("own"), *columns)
+    last = {c: F.expr(f"last({c}, true) over (order by at, own rows unbounded preceding)") for c in columns}
+    return mine.unionByName(theirs).withColumns(last).where("own = 1").select("row.*", *columns)
+
+
+#: Highs that count as many, for the second requirement.
+MANY_HIGHS = 100
+
+
+def general_market_index(breadth: DataFrame, first: DataFrame, second: DataFrame, growth: DataFrame, threshold: float = 3.0, many: int = MANY_HIGHS) -> DataFrame:
+    """One row: date, r1 to r6, score and light of the general market index.
+
+    breadth: date, long_success (ten-day success of many new highs) and long_new_highs. The date is that of
+    the last breadth row, but no later than the last bar of any index; breadth and indexes give their last
+    row on or before it. r1: success; r2: more than `many` new highs; r3: the first index against its
+    50-bar average; r4 and r5: the second against 50 and 150 bars; r6: the growth index above its 50-bar average.
+    """
+    points = lambda bars, n: layered(bars, ({"average": sma("close", n)}, {"points": _half_points(n).replace(f"sma_{n}", "average")}))
+    ends = [bars.agg(F.max("date").alias("end")) for bars in (first, second, growth)]
+    target = breadth.agg(F.max("date").alias("end"))
+    for end in ends:
+        target = target.unionByName(end)
+    target = target.agg(F.min("end").alias("target"))
+
+    def last(rows_: DataFrame, *columns) -> DataFrame:
+        kept = rows_.join(F.broadcast(target), rows_["date"] <= F.col("target"))
+        return kept.agg(*(F.max_by(c, "date").alias(name) for name, c in columns))
+
+    parts = [
+        last(breadth, ("r1", F.expr(_flag("long_success > 0")).cast("double")), ("r2", F.expr(_flag(f"long_new_highs > {many}")).cast("double"))),
+        last(points(first, 50), ("r3", F.col("points"))), last(points(second, 50), ("r4", F.col("points"))), last(points(second, 150), ("r5", F.col("points"))),
+        last(layered(growth, ({"average": sma("close", 50)},)), ("r6", F.expr(_flag("close > average")).cast("double"))),
+    ]
+    out = target.withColumnRenamed("target", "date")
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    out = out.withColumns({f"r{i}": F.coalesce(f"r{i}", F.lit(0.0)) for i in range(1, 7)}).withColumn("score", F.expr("r1 + r2 + r3 + r4 + r5 + r6"))
+    return out.withColumn("light", F.when(F.col("score") >= threshold, "GREEN").otherwise("RED"))
+
+
+REQUIREMENT_LAYERS = (
+    {f"sma_{n}": sma("close", n) for n in INDEX_AVERAGES} | {"raw_k": K},
+    {f"slow_k": f"coalesce(case when count(raw_k) over {rows(3)} = 4 then avg(raw_k) over {rows(3)} end, 0)"},
+    {"fast_k": f"coalesce(case when count(slow_k) over {rows(3)} = 4 then avg(slow_k) over {rows(3)} end, 0)"},
+    {
+        "r2": _half_points(50), "r3": _half_points(20), "r4": _half_points(10), "r5": f"{_flag('sma_20 > sma_50 and sma_50 > sma_150')} * 1.0", "r6": f"{_flag('slow_k < 20')} * 1.0", "r7": "0.0",
+        "r8": f"{_flag('fast_k > slow_k or fast_k > 80')} * 1.0", "r9": f"{_flag('slow_k <= 20')} * 1.0",
+    },
+)
+
+
+def index_requirements(bars: DataFrame, breadth: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """ticker, date, r1 to r9, score and light of each index at its last bar.
+
+    breadth: date, net_advances. r1: more advances than declines on the last date of breadth up to the bar's;
+    r2 to r4: 50, 20 and 10 bars; r5: averages in line; r6 and r9: an oversold stochastic; r7 is always 0;
+    r8: the fast stochastic above the slow one or above 80. NEUTRAL lies between the threshold and two below it.
+    """
+    last = latest(layered(bars, REQUIREMENT_LAYERS)).select("ticker", "date", *(F.col(f"r{i}").cast("double").alias(f"r{i}") for i in range(2, 10)))
+    dated = breadth.select(F.col("date").alias("day"), "net_advances")
+    advances = last.select("ticker", "date").join(dated, F.col("day") <= F.col("date")).groupBy("ticker").agg(F.max_by("net_advances", "day").alias("net_advances"))  # a row an index and date
+    out = last.join(advances, "ticker", "left").withColumn("r1", F.expr(_flag("net_advances > 0")).cast("double"))
+    out = out.withColumn("score", sum((F.col(f"r{i}") for i in range(1, 10)), F.lit(0.0)))
+    light = F.when(F.col("score") >= threshold, "GREEN").when(F.col("score") <= threshold - 2, "RED").otherwise("NEUTRAL")
+    return out.select("ticker", "date", *(f"r{i}" for i in range(1, 10)), "score", light.alias("light"))
+
+
+def mean_requirements(requirements: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """One row over all indexes: the means of r1 to r5 (the others count only for one index), score and light."""
+    out = requirements.agg(F.max("date").alias("date"), F.count("*").alias("indexes"), *(F.avg(f"r{i}").alias(f"r{i}") for i in range(1, 6))).withColumn("score", F.expr("r1 + r2 + r3 + r4 + r5"))
+    return out.withColumn("light", F.when(F.col("score") >= threshold, "GREEN").when(F.col("score") <= threshold - 2, "RED").otherwise("NEUTRAL"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import change, clamp, crossed_down, crossed_up, deviation, highest, lag, lowest, rolling, rows, slope, sma, true_range
+from ..functions.windows import change, clamp, crossed_down, crossed_up, deviation, highest, lag, lowest, rank_share, rolling, rows, slope, sma, true_range
 from ..sources.bars import latest, numbered
 from .basics import atr, rsi_simple
-from .screens import NUMBER, Recursive, Screen
+from .screens import NUMBER, Recursive, Screen, ranked
 
 SINCE = {"diff": f"coalesce(close - {lag('close')}, 0)"}
 VOLUME_RATIO = f"volume / nullif(avg(volume) over {rows(19)}, 0)"
@@ -42,7 +42,7 @@ def breakout(days: int = 20, most_range: float = 0.15, above: float = 0.02, surg
 
 
 def value_momentum(half_year: float = 0.15, most_volatility: float = 0.6, strength: float = 1.1, price: float = 10.0) -> Screen:
-    """The benchmark is the mean close of all tickers on a date; bars must have it as market, with market_132 of the same 131 bars before."""
+    """Bars must have the benchmark's close as market, on dates that both have."""
     return Screen(
         "value_momentum",
         (
@@ -259,6 +259,10 @@ def pivot_high(strength: int) -> str:
     return f"case when count(high) over {before} = {strength} and count(high) over {after} = {strength} and high > max(high) over {before} and high >= max(high) over {after} then 1 else 0 end"
 
 
+#: Highest pivot first, then the earliest: a pair, so that neither can blur the other.
+PIVOT_ORDER = "case when pivot_bar is not null then struct(-pivot_level, pivot_bar) end"
+
+
 def green_line(strength: int = 10, look_back: int = 63, confirmation: int = 10) -> Screen:
     """The high breaks the highest confirmed pivot of the look-back; all dates. A pivot is known only `strength` bars later."""
     window = rows(look_back, -1)
@@ -268,7 +272,7 @@ def green_line(strength: int = 10, look_back: int = 63, confirmation: int = 10)
             NUMBER | {"is_pivot": pivot_high(strength)},
             {"pivot_level": "case when is_pivot = 1 then high end", "pivot_bar": "case when is_pivot = 1 then bar end"},
             {"level": f"max(pivot_level) over {window}"},
-            {"level_bar": f"min_by(pivot_bar, -pivot_level * 1000000 + pivot_bar) over {window}"},
+            {"level_bar": f"min_by(pivot_bar, {PIVOT_ORDER}) over {window}"},
             {"bars_since": "bar - level_bar", "strength_pct": "(high - level) / nullif(level, 0) * 100"},
             {"score": "70 + least(strength_pct, 30)"},
         ),
@@ -359,3 +363,81 @@ def atr_types(bars: DataFrame, price: float = 1.0, volume: float = 10_000) -> Da
     fits = [F.when(F.expr(c), F.struct(F.lit(k).alias("kind"), F.expr(s).alias("score"))) for k, (c, s) in ATR_TYPES.items()]
     out = last.withColumn("fit", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull()))).where("fit.score > 0")
     return out.select("ticker", "date", "fit.kind", "close", "atr", "atr_pct", "atr_ext", "atr_percentile", "fit.score")
+
+
+def green_line_levels(bars: DataFrame, strength: int = 10, look_back: int = 63, confirmation: int = 10, confirmed_only: bool = False) -> DataFrame:
+    """ticker, bar, date, level, confirmed, breakout_bar and breakout_date: a row for each pivot that is the highest high of its look-back.
+
+    It breaks out at the first close above it from `confirmation` bars later on, and is confirmed if no high
+    before that passes it. The breakout is found with one pass over a ticker's closes and a join on bars
+    within the ticker: levels are few, and each meets only the running maximum's steps.
+    """
+    flagged = numbered(bars).withColumns({"is_pivot": F.expr(pivot_high(strength)), "highest": F.expr(f"max(high) over {rows(look_back)}"), "soon": F.expr(f"max(high) over {rows(-1, confirmation - 1)}")})
+    levels = flagged.where("is_pivot = 1 and high >= highest").select("ticker", "bar", "date", F.col("high").alias("level"), F.coalesce(F.col("soon") <= F.col("high"), F.lit(True)).alias("confirmed"))
+    later = numbered(bars).select("ticker", F.col("bar").alias("later"), F.col("date").alias("later_date"), "close")
+    broken = levels.select("ticker", "bar", "level").join(later, "ticker").where((F.col("later") >= F.col("bar") + confirmation) & (F.col("close") > F.col("level")))
+    broken = broken.groupBy("ticker", "bar").agg(F.min("later").alias("breakout_bar"), F.min_by("later_date", "later").alias("breakout_date"))
+    out = levels.join(broken, ["ticker", "bar"], "left")
+    return out.where("confirmed") if confirmed_only else out
+
+
+def cascade(monthly: DataFrame, tops: tuple = ((12, 50), (6, 30), (3, 10))) -> DataFrame:
+    """The best of the last month by twelve, six and three months in turn, with perf_{n}m in percent. monthly: a row a ticker and month."""
+    perf = {f"perf_{n}m": F.expr(f"(close / nullif(lag(close, {n}) over (partition by ticker order by date), 0) - 1) * 100") for n, _ in tops}
+    out = latest(monthly.withColumns(perf)).where(f"perf_{tops[0][0]}m is not null")
+    for n, top in tops:
+        out = ranked(out, f"perf_{n}m", top)
+    return out
+
+
+def cascade_performance(monthly: DataFrame, tops: tuple = ((12, 50), (6, 30), (3, 10)), least: int = 10) -> DataFrame:
+    """month, tickers (sorted) and performance: each month's best by twelve, six and three months in turn, and 1 plus their mean return of the month after.
+
+    monthly: ticker, date (a row a month), close. A month with fewer than `least` tickers that have twelve
+    months gives nothing; the last month's performance is 1.
+    """
+    by = "partition by ticker order by date"
+    out = monthly.withColumns({f"perf_{n}": F.expr(f"close / nullif(lag(close, {n}) over ({by}), 0) - 1") for n, _ in tops})
+    out = out.withColumn("after", F.expr(f"lead(close) over ({by}) / nullif(close, 0) - 1")).where(f"perf_{tops[0][0]} is not null")
+    out = out.withColumn("known", F.expr("count(*) over (partition by date)")).where(F.col("known") >= least)
+    for n, top in tops:
+        out = out.withColumn("place", F.expr(f"row_number() over (partition by date order by perf_{n} desc, ticker)")).where(F.col("place") <= top)
+    return out.groupBy(F.col("date").alias("month")).agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("tickers"), (1 + F.coalesce(F.avg("after"), F.lit(0.0))).alias("performance"))
+
+
+#: Weights of a day, a week and a month in the strength of an industry.
+LEADER_WEIGHTS = {"rs_1": 1.0, "rs_5": 2.0, "rs_22": 4.0}
+
+
+def leaders(strengths: DataFrame, dimension: DataFrame, weights: dict[str, float] | None = None, least: int = 3, share: float = 0.2, each: int = 4) -> DataFrame:
+    """ticker, industry, strength, industry_strength, industry_place and place: the best `each` tickers of the best share of industries.
+
+    A ticker's strength is the weighted mean of those that it has; an industry's is the mean over its tickers, if it has `least` of them.
+    """
+    weights = weights or LEADER_WEIGHTS
+    total = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    weight = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    own = strengths.join(dimension.select("ticker", "industry"), "ticker").select("ticker", "industry", F.try_divide(total, weight).alias("strength")).where("strength is not null and industry is not null")
+    industries = own.groupBy("industry").agg(F.avg("strength").alias("industry_strength"), F.count("*").alias("members")).where(F.col("members") >= least)
+    placed = industries.withColumns({"industry_place": F.expr("row_number() over (order by industry_strength desc, industry)").cast("long"), "top": F.expr(f"greatest(1, cast(floor(count(*) over () * {share}) as int))")})  # a row an industry
+    best = own.join(F.broadcast(placed.where("industry_place <= top").drop("top", "members")), "industry")
+    best = best.withColumn("place", F.expr("row_number() over (partition by industry order by strength desc, ticker)").cast("long")).where(F.col("place") <= each)
+    return best.select("ticker", "industry", "strength", "industry_strength", "industry_place", "place")
+
+
+def range_rank(bars: DataFrame, n: int = 14, within: DataFrame | None = None) -> DataFrame:
+    """ticker, date, atr and atr_rank: the last mean true range of n bars, and its rank among all tickers (or those of `within`) as 0 to 100, ties sharing the mean rank."""
+    out = latest(bars.withColumn("tr", F.expr(true_range())).withColumn("atr", F.expr(rolling("avg", "tr", n)))).select("ticker", "date", "atr")
+    out = out if within is None else out.join(within.select("ticker").distinct(), "ticker", "left_semi")
+    return out.withColumn("atr_rank", F.expr(f"{rank_share('atr')} * 100"))
+
+
+def scored(table: DataFrame, score: str, least: float, strong: float, top: float, price: float = 5.0) -> DataFrame:
+    """Rows of a table of scores (ticker, close, score) that reach `least`, with their tier."""
+    tier = F.when(F.col(score) >= top, "leader").when(F.col(score) >= strong, "strong").otherwise("average")
+    return table.where((F.col(score) >= least) & (F.col("close") >= price)).select("ticker", "close", score, tier.alias(f"{score}_tier"))
+
+
+def scored_twice(slow: DataFrame, fast: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Tickers in both results of scored(), with the mean of their scores."""
+    return slow.join(fast.drop("close"), "ticker").withColumn("mean_score", (F.col(names[0]) + F.col(names[1])) / 2)

@@ -51,6 +51,10 @@ class Screen:
     order: str = "score"
     labels: tuple[str, ...] = field(default=())
 
+    def every(self) -> Screen:
+        """On all dates, not only on each ticker's last."""
+        return replace(self, last_only=False)
+
     def relaxed(self, keep: str = "true") -> Screen:
         return replace(self, keep=keep)
 

@@ -79,7 +79,59 @@ def strength_of_groups(bars: DataFrame, dimension: DataFrame, periods: Sequence[
     return relative_strength(composites(prices, dimension, by, weighted), market(prices), periods)
 
 
-#: Bounds of a stock's class by strength, consistency and mean percentile.
+def mappings(text: str) -> dict[str, list[str]]:
+    """"A:X;B:Y;A:Z" as the universes in which each benchmark's strengths are ranked: {A: [X, Z], B: [Y]}; entries without a colon are dropped."""
+    found: dict[str, list[str]] = {}
+    for entry in text.split(";"):
+        benchmark, colon, universe = (x.strip() for x in entry.partition(":"))
+        if colon and benchmark and universe and universe not in found.setdefault(benchmark, []):
+            found[benchmark].append(universe)
+    return found
+
+
+def strength_against(prices: DataFrame, benchmarks: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """ticker, benchmark, date and rs_{p}, in long form. benchmarks: benchmark, date, close; dates of both count, by benchmark."""
+    both = prices.join(benchmarks.select("benchmark", "date", F.col("close").alias("base")), "date")
+    by = "partition by ticker, benchmark order by date"
+    both = both.withColumns({f"rs_{p}": F.expr(f"(1 + {change('close', p, by)}) / nullif(1 + {change('base', p, by)}, 0)") for p in periods})
+    last = both.groupBy("ticker", "benchmark").agg(F.max_by(F.struct("date", *(f"rs_{p}" for p in periods)), "date").alias("r"))
+    return last.select("ticker", "benchmark", "r.*")
+
+
+def average_ratio(prices: DataFrame, benchmarks: DataFrame, periods: Sequence[int] = (20, 50)) -> DataFrame:
+    """ticker, benchmark, date and mr_{p}: how far the price in units of the benchmark stands from its average, in percent."""
+    both = prices.join(benchmarks.select("benchmark", "date", F.col("close").alias("base")), "date").withColumn("ratio", F.try_divide("close", "base"))
+    by = "partition by ticker, benchmark order by date"
+    both = both.withColumns({f"mr_{p}": F.expr(f"(ratio - {sma('ratio', p, by=by)}) / nullif({sma('ratio', p, by=by)}, 0) * 100") for p in periods})
+    last = both.groupBy("ticker", "benchmark").agg(F.max_by(F.struct("date", *(f"mr_{p}" for p in periods)), "date").alias("r"))
+    return last.select("ticker", "benchmark", "r.*")
+
+
+def ranked_against(strengths: DataFrame, members: DataFrame, universes: Mapping[str, Sequence[str]], columns: Sequence[str], **settings) -> DataFrame:
+    """strengths with universe and per_{column}: each benchmark's strengths ranked within the universes that universes gives it."""
+    pairs = F.array(*(F.struct(F.lit(b).alias("benchmark"), F.lit(u).alias("universe")) for b, us in universes.items() for u in us))
+    wanted = strengths.sparkSession.range(1).select(F.explode(pairs).alias("p")).select("p.*")
+    own = strengths.join(F.broadcast(wanted), "benchmark").join(members.select("ticker", "universe").distinct(), ["ticker", "universe"])
+    return percentiles(own, columns, within="benchmark, universe", **settings)
+
+
+def side_by_side(strengths: DataFrame, benchmarks: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A row a ticker: {column}_vs_{benchmark} of each, null where a benchmark lacks the ticker, and mean_{column} over the benchmarks that have it."""
+    made = [F.max(F.when(F.col("benchmark") == b, F.col(c))).alias(f"{c}_vs_{b}") for c in columns for b in benchmarks]
+    return strengths.where(F.col("benchmark").isin(*benchmarks)).groupBy("ticker").agg(*made, *(F.avg(c).alias(f"mean_{c}") for c in columns))
+
+
+def market_condition(stocks: DataFrame, strong: float = 1.05, consistent: float = 0.6, elite: float = 80.0) -> DataFrame:
+    """One row: how many stocks are strong, consistent and elite, their shares in percent, and the condition of the market.
+
+    stocks: composite (strength), consistency (0 to 1) and mean_percentile. No stocks: UNKNOWN.
+    """
+    out = stocks.agg(F.count("*").alias("stocks"), F.count_if(F.col("composite") > strong).alias("strong"), F.count_if(F.col("consistency") > consistent).alias("consistent"), F.count_if(F.col("mean_percentile") >= elite).alias("elite"))
+    out = out.withColumns({f"{c}_pct": F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("stocks")), F.lit(0.0)) for c in ("strong", "consistent", "elite")})
+    condition = "case when stocks = 0 then 'UNKNOWN' when strong_pct > 50 and consistent_pct > 30 then 'BROADLY_BULLISH' when strong_pct > 30 and consistent_pct > 20 then 'SELECTIVELY_BULLISH' when strong_pct > 20 then 'MIXED_DEFENSIVE' else 'BEARISH_RISK_OFF' end"
+    return out.withColumn("condition", F.expr(condition))
+
+
 def performance(rs: DataFrame, short: tuple[str, str], middle: tuple[str, str], long: tuple[str, str]) -> DataFrame:
     """rs with momentum ratios of three horizons, the geometric mean of strengths, its quadrant and a class."""
     columns = [*short, *middle, *long]

@@ -60,3 +60,33 @@ def parsed(text: str) -> list[tuple[str, list[str]]]:
 def summary(table: DataFrame) -> DataFrame:
     """universe, tickers and a digest of their names, to tell whether a set has changed."""
     return table.groupBy("universe").agg(F.count("*").alias("tickers"), F.md5(F.array_join(F.array_sort(F.collect_list("ticker")), ",")).alias("digest"))
+
+
+def rated(dimension: DataFrame, column: str = "rating") -> DataFrame:
+    """ticker and universe, rating_{name}, for each rating that analysts have given."""
+    return dimension.where(F.col(column).isNotNull() & (F.trim(column) != "")).select("ticker", F.concat(F.lit("rating_"), F.expr(clean_name(f"trim({column})"))).alias("universe")).distinct()
+
+
+def of_flags(dimension: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """ticker and universe: a row for each of the boolean columns that is true."""
+    each = F.filter(F.array(*(F.when(F.col(c), F.lit(c)) for c in flags)), lambda x: x.isNotNull())
+    return dimension.select("ticker", F.explode(each).alias("universe"))
+
+
+def together(*lists: DataFrame) -> DataFrame:
+    """Tickers of several lists, each once, with the columns of the first list that has it."""
+    numbered = [x.withColumn("list_number", F.lit(i)) for i, x in enumerate(lists)]
+    out = numbered[0]
+    for other in numbered[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    columns = [c for c in out.columns if c not in ("ticker", "list_number")]
+    return out.groupBy("ticker").agg(F.min_by(F.struct(*columns), "list_number").alias("r")).select("ticker", "r.*")
+
+
+def chosen(dimension: DataFrame, choice: str, sets: dict[int, str], table: DataFrame) -> DataFrame:
+    """Rows of dimension in the universes of a choice such as "1-3": numbers in `sets`, joined by "-"; number 0 is all tickers. Unknown numbers are an error."""
+    numbers = [int(x) for x in str(choice).split("-")]
+    if 0 in numbers:
+        return dimension
+    names = [sets[n] for n in numbers]
+    return dimension.join(table.where(F.col("universe").isin(names)).select("ticker").distinct(), "ticker", "left_semi")

@@ -57,12 +57,11 @@ def weekday_change(spark, sf_dir):
     return shown(movers.weekday_change(source.daily(spark, sf_dir), 0))
 
 
-TICKERS = [f"S{i}" for i in range(1, 9)]
-
-
-@Q.add("correlations", on_bars(layer("m", "bars", ret=change("close")), f"r as (select * from m where ret is not null and ticker in ({', '.join(repr(t) for t in TICKERS)}))", select="select x.ticker as a, y.ticker as b, count(*) as n, round(corr(x.ret, y.ret), 4) as correlation from r x join r y using (date) where x.ticker < y.ticker group by x.ticker, y.ticker"))
+@Q.add("correlations", on_bars(layer("m", "bars", ret=change("close")), "r as (select m.*, industry from m join dim using (ticker) where ret is not null)", dim=True, select="select x.industry as grp, x.ticker as a, y.ticker as b, count(*) as n, round(corr(x.ret, y.ret), 4) as correlation from r x join r y using (industry, date) where x.ticker < y.ticker group by all"))
 def correlations(spark, sf_dir):
-    return shown(movers.correlations(source.daily(spark, sf_dir), TICKERS))
+    """Every two tickers of an industry, over all tickers."""
+    groups = source.dimension(spark, sf_dir).select("ticker", F.col("industry").alias("grp"))
+    return shown(movers.correlations(source.daily(spark, sf_dir), groups))
 
 
 @Q.add("mcclellan", on_bars(layer("m", "bars", moved=f"close - {lag('close')}"), "n as (select 'all' as ticker, date, cast(count(*) filter (moved > 0) - count(*) filter (moved < 0) as double) as net from m group by date)", layer("o", "n", fast=ewm_adjusted("net", 19), slow=ewm_adjusted("net", 39)), select="select date, net, round(fast - slow, 4) as oscillator from o"))
@@ -191,7 +190,7 @@ def filter_program(spark, sf_dir):
 @Q.add("filter_merged")
 def filter_merged(spark, sf_dir):
     bars = source.daily(spark, sf_dir)
-    pick = lambda n: screened(bars, screen_queries.SCREENS[n]).select("ticker", "close", "date")
+    pick = lambda n: source.latest(screened(bars, screen_queries.SCREENS[n])).select("ticker", "close", "date")
     return shown(filters.merged({"guppy": pick("guppy_alignment"), "trend": pick("trend_model"), "lined": pick("qullamaggie")}))
 
 

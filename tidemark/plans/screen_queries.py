@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import rank_share, rows, sma, true_range
 from ..operators import adl, machines, screeners, volume
-from ..operators.screens import Screen, ranked, screened, united
+from ..operators.screens import Screen, screened, united
 from ..sources import bars as source
 from . import sql
 from .common import Queries, shown
 
 Q = Queries()
 #: What Spark and DuckDB name differently.
-NAMES = (("percentile(", "quantile_cont("), ("unix_date(", "date_diff('day', date '1970-01-01', "))
+NAMES = (("percentile(", "quantile_cont("), ("unix_date(", "date_diff('day', date '1970-01-01', "), ("struct(-pivot", "row(-pivot"))
 
 
 def _recursive(r) -> str:
@@ -50,15 +50,15 @@ def result(table, screen: Screen):
 
 SCREENS = {
     "momentum": screeners.momentum(0.0, 0.0, 0.5, 90),
-    "breakout": screeners.breakout(20, 30.0, 0.0, 0.5).relaxed("bar >= 50 and close >= base_high * 0.3"),
+    "breakout": screeners.breakout(20, 20.0, 0.0, 0.5).every(),
     "rti": screeners.rti(zones=(20, 40, 80), low=90, expansion=1.05, volume=0),
-    "launch_pad": screeners.launch_pad(most_spread=3.0, volume=0).relaxed("bar >= 60 and met >= 3"),
+    "launch_pad": screeners.launch_pad(volume=0).every(),
     **{f"guppy_{k}": screeners.guppy(k, 0.6, 0.2, 10, (0.5, 30), 0) for k in ("alignment", "compression", "expansion", "crossover", "convergence")},
     "stockbee_nine_million": screeners.nine_million(40, 1.0),
     "stockbee_weekly": screeners.weekly_movers(5.0, 0.8, 0),
     "stockbee_daily": screeners.daily_gainers(4.0, 0.9, 0),
     "stock_metrics": screeners.stock_metrics(),
-    "qullamaggie": screeners.qullamaggie().relaxed("bar >= 20 and aligned >= 3"),
+    "qullamaggie": screeners.qullamaggie().every(),
     "drwish_blue_dot": screeners.blue_dot(),
     "drwish_black_dot": screeners.black_dot(),
     "drwish_green_line": screeners.green_line(5, 63, 10),
@@ -76,13 +76,13 @@ SCREENS = {
     "volume_statistical": volume.statistical(cutoff=2.0, volume=10),
     "volume_breakout": volume.breakout(ratio=1.2),
     "volume_top_share": volume.top_share(relative=1.2),
-    "adl_bullish_divergence": adl.divergence(True, 0.1, 0).relaxed("p3 is not null and a3 is not null"),
-    "adl_bearish_divergence": adl.divergence(False, 0.1, 0).relaxed("p3 is not null and a3 is not null"),
+    "adl_bullish_divergence": adl.divergence(True, 0.7, 0).every(),
+    "adl_bearish_divergence": adl.divergence(False, 0.7, 0).every(),
     "adl_breakout": adl.breakout(True, 30, 0.001, 0),
     "adl_breakdown": adl.breakout(False, 30, 0.001, 0),
     "adl_monthly": adl.monthly(least=0, months=0),
     "adl_short_term": adl.short_term(least=0),
-    "adl_averages": adl.averages().relaxed("bar >= 110"),
+    "adl_averages": adl.averages(),
 }
 
 
@@ -95,13 +95,13 @@ for _name, _screen in SCREENS.items():
 
 
 VALUE = screeners.value_momentum(0.0, 1000, 0.0)
-MARKET = "m as (select *, avg(close) over (partition by date) as market from bars)"
+MARKET = "m as (select bars.*, i.close as market from bars join (select date, close from bars where ticker = 'S1') i using (date))"
 
 
 @Q.add("screen_value_momentum", screen_sql(VALUE, (MARKET,), "m"))
 def value_momentum(spark, sf_dir):
     bars = source.daily(spark, sf_dir)
-    market = bars.groupBy("date").agg(F.avg("close").alias("market"))
+    market = bars.where("ticker = 'S1'").select("date", F.col("close").alias("market"))
     return result(bars.join(market, "date"), VALUE)
 
 
@@ -125,20 +125,15 @@ def volume_suite(spark, sf_dir):
     return shown(united(*(screened(bars, p).select(F.lit(p.name).alias("component"), "ticker", "date", "close", F.col(p.order).alias("score")) for p in parts)), digits=3)
 
 
-_PARTS = [SCREENS["adl_monthly"].relaxed("bar > 132"), SCREENS["adl_short_term"].relaxed("bar > 20"), SCREENS["adl_averages"]]
-_COMPOSITE = [f"c{i} as (select ticker, score from {steps(p)[1]} where {p.keep} qualify row_number() over (partition by ticker order by date desc) = 1)" for i, p in enumerate(_PARTS)]
+_PARTS = [SCREENS["adl_monthly"], SCREENS["adl_short_term"], SCREENS["adl_averages"]]
+_COMPOSITE = [f"c{i} as (select ticker, score from (select * from {steps(p)[1]} qualify row_number() over (partition by ticker order by date desc) = 1) where {p.keep})" for i, p in enumerate(_PARTS)]
 
 
 @Q.add("screen_adl_composite", sql.on_bars(*(x for p in _PARTS for x in steps(p)[0]), *_COMPOSITE,
        "j as (select ticker, c0.score * 0.4 + c1.score * 0.3 + c2.score * 0.3 as score from c0 join c1 using (ticker) join c2 using (ticker))",
        select="select ticker, round(score, 3) as score, row_number() over (order by score desc, ticker) as place from j order by score desc, ticker limit 50"))
 def adl_composite(spark, sf_dir):
-    bars = source.daily(spark, sf_dir)
-    scores = [screened(bars, p).select("ticker", F.col("score").alias(f"s{i}")) for i, p in enumerate(_PARTS)]
-    joined = scores[0].join(scores[1], "ticker").join(scores[2], "ticker")
-    total = sum((F.col(f"s{i}") * w for i, w in enumerate(adl.WEIGHTS)), F.lit(0.0))
-    top = ranked(joined.select("ticker", total.alias("score")), "score", adl.TOP)
-    return shown(top.withColumn("place", F.expr("row_number() over (order by score desc, ticker)").cast("long")), digits=3)
+    return shown(adl.composite(source.daily(spark, sf_dir), _PARTS), digits=3)
 
 
 INDUSTRY = SCREENS["stock_metrics"]
@@ -152,13 +147,9 @@ _MADE, _LAST = steps(INDUSTRY)
        select="select ticker, industry, round(industry_score, 3) as industry_score, industry_place, round(momentum, 3) as momentum, place from z, n where industry_place <= top and place <= 4"))
 def industry_leaders(spark, sf_dir):
     """The best four tickers of the best fifth of industries."""
-    rows = screened(source.daily(spark, sf_dir), INDUSTRY).join(source.dimension(spark, sf_dir).select("ticker", "industry"), "ticker").select("ticker", "industry", "momentum")
-    industries = rows.groupBy("industry").agg(F.avg("momentum").alias("industry_score"), F.count("*").alias("members")).where("members >= 3")
-    placed = industries.withColumns({"industry_place": F.expr("row_number() over (order by industry_score desc, industry)").cast("long"), "top": F.expr("greatest(1, cast(floor(count(*) over () * 0.2) as int))")})
-    best = rows.join(F.broadcast(placed.where("industry_place <= top")), "industry").withColumn("place", F.expr("row_number() over (partition by industry order by momentum desc, ticker)").cast("long"))
-    return shown(best.where("place <= 4"), "ticker", "industry", "industry_score", "industry_place", "momentum", "place", digits=3)
-
-
+    metrics = screened(source.daily(spark, sf_dir), INDUSTRY).select("ticker", "momentum")
+    best = screeners.leaders(metrics, source.dimension(spark, sf_dir), {"momentum": 1.0})
+    return shown(best.withColumnsRenamed({"strength": "momentum", "industry_strength": "industry_score"}), digits=3)
 
 
 @Q.add("screen_giusti", sql.on_bars(
@@ -170,11 +161,7 @@ def industry_leaders(spark, sf_dir):
 def giusti(spark, sf_dir):
     """The best 50 over twelve months, of these the best 30 over six, of these the best 10 over three, by month-end closes."""
     monthly = source.rolled_up(source.daily(spark, sf_dir), "monthly")
-    perf = {f"perf_{n}m": F.expr(f"(close / nullif(lag(close, {n}) over (partition by ticker order by date), 0) - 1) * 100") for n in (12, 6, 3)}
-    out = source.latest(monthly.withColumns(perf)).where("perf_12m is not null")
-    for column, n in (("perf_12m", 50), ("perf_6m", 30), ("perf_3m", 10)):
-        out = ranked(out, column, n)
-    return shown(out, "ticker", "perf_12m", "perf_6m", "perf_3m", digits=3)
+    return shown(screeners.cascade(monthly), "ticker", "perf_12m", "perf_6m", "perf_3m", digits=3)
 
 
 _ATR = (

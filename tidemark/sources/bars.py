@@ -172,3 +172,59 @@ def wide(bars: DataFrame, tickers: Sequence[str], column: str = "close") -> Data
 def summary(bars: DataFrame) -> DataFrame:
     per = bars.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
     return per.agg(F.count("*").alias("tickers"), F.sum("n").alias("bars"), F.min("first").alias("first_date"), F.max("last").alias("last_date"), F.avg("n").alias("bars_per_ticker"))
+
+
+#: Names of the ticker column in lists, in the order in which they are looked for.
+TICKER_NAMES = ("ticker", "symbol", "Ticker", "Symbol")
+
+
+def ticker_list(table: DataFrame) -> DataFrame:
+    """The distinct tickers of a list, from the first of TICKER_NAMES that it has; null and empty ones go. A list with none is an error."""
+    name = next((c for c in TICKER_NAMES if c in table.columns), None)
+    if name is None:
+        raise ValueError(f"none of {', '.join(TICKER_NAMES)} among {', '.join(table.columns)}")
+    return table.select(F.trim(F.col(name)).alias("ticker")).where("ticker is not null and ticker <> ''").distinct()
+
+
+def first_table(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The first of some CSV files that exists, with its header; None if none does."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return spark.read.option("header", True).csv(path)
+    return None
+
+
+def snapshots(rows: DataFrame) -> DataFrame:
+    """ticker, date, open, high, low, close, volume of dated exports with Symbol and prices as text.
+
+    rows: Symbol, date, place (of the row among those of its date; the first of a symbol counts), Open,
+    High, Low, Price, Volume. Rows without a symbol or a positive close go.
+    """
+    names = {"open": "Open", "high": "High", "low": "Low", "close": "Price", "volume": "Volume"}
+    out = rows.select(F.trim("Symbol").alias("ticker"), "date", "place", *(F.expr(f"try_cast({v} as double)").alias(k) for k, v in names.items()))
+    out = out.where("ticker is not null and ticker <> '' and close > 0")
+    return out.groupBy("ticker", "date").agg(F.min_by(F.struct(*names), "place").alias("r")).select("ticker", "date", "r.*")
+
+
+def add_snapshots(new: DataFrame, table: str) -> None:
+    """Adds those dates of new that the table (Parquet by date) lacks; the others are left as they are, so that a second run changes nothing."""
+    spark = new.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = new.join(spark.read.parquet(table).select("date").distinct(), "date", "left_anti")
+    new.repartition("date").write.mode("append").partitionBy("date").parquet(table)
+
+
+def from_chart(rows: DataFrame, ticker: str) -> DataFrame:
+    """Bars of a chart export with time (seconds or a date), open, high, low, close as text and maybe Volume; what isn't a number is null, a lacking volume 0."""
+    date = F.coalesce(F.to_date(F.timestamp_seconds(F.expr("try_cast(time as bigint)"))), F.expr("try_cast(substr(time, 1, 10) as date)"))
+    volume = next((F.expr(f"coalesce(try_cast(`{c}` as double), 0)") for c in rows.columns if c.lower() == "volume"), F.lit(0.0))
+    return rows.select(F.lit(ticker).alias("ticker"), date.alias("date"), *(F.expr(f"try_cast({c} as double)").alias(c) for c in PRICES), volume.alias("volume")).where("date is not null")
+
+
+def from_sheet(rows: DataFrame, ticker: str) -> DataFrame:
+    """Bars of a sheet export: the first six columns are date and time as month/day/year, open, high, low, close, volume, whatever their names."""
+    date, *values = rows.columns[:6]
+    day = F.to_date(F.expr(f"try_to_timestamp(split(`{date}`, ' ')[0], 'M/d/yyyy')"))
+    return rows.select(F.lit(ticker).alias("ticker"), day.alias("date"), *(F.expr(f"try_cast(`{c}` as double)").alias(n) for c, n in zip(values, [*PRICES, "volume"]))).where("date is not null")
