@@ -487,6 +487,50 @@ def test_license_bodies_without_a_name():
         assert label in {d[2] for d in licenses.scanned(text)["detections"]}, label
 
 
+def test_every_license_rule_shows_its_keyword():
+    """The gate loses nothing: what a rule matches holds its keyword, as each alternative of the pattern spells it."""
+    for label, keyword, body in licenses.BODIES:
+        sample = re.sub(r"\(\?:\[\^ \]\+ \)\{\d+,\d+\}\??", "word ", body)
+        assert re.compile(body) and label, body
+        if keyword not in sample:
+            found = [b for _, k, b in licenses.BODIES if k == keyword]
+            raise AssertionError(f"{keyword} not in {body}: {len(found)}")
+    assert len(licenses.BODIES) + len(licenses.SIGNATURES) + len(licenses.IDENTIFIERS.split()) > 300
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)\nint main", {"mit", "apache-2.0"}), ("SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0-or-later"}),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause", {"gpl-2.0-only", "bsd-3-clause"}), ("SPDX-License-Identifier: MIT", {"mit"}),
+    ("it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", {"gpl-2.0-or-later"}),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", {"apache-2.0"}), ("see https://creativecommons.org/licenses/by-sa/4.0/", {"cc-by-sa-4.0"}),
+])
+def test_license_expressions_and_notices(text, labels):
+    assert {d[2] for d in licenses.scanned(text)["detections"]} == labels
+
+
+def plain_scan(text):
+    """Every rule on the whole text, without keywords or runs, and suppression by comparing all."""
+    words = licenses.folded(text)
+    line = b" " + b" ".join(words) + b" "
+    every = [(*m.span(), r) for rs in licenses.rules().values() for r in rs for m in r.pattern.finditer(line)] + (licenses._expressions(line) if words else [])
+    at = lambda i: line[:i].count(b" ") - 1
+    phrases = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + phrase.count(b" ") + 1] == phrase.split()]
+    return sorted(phrases), sorted((at(a), at(b) + 1, r.label) for a, b, r in licenses.resolved(every))
+
+
+def test_license_scans_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, t) for i, t in enumerate([*TEXTS, "mit license mit license " * 3000, "x " * 50_000 + "GPLv2 only, GPL version 3 or later", "licensed under the MIT License (MIT)"])]
+    table = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        base, found = plain_scan(t)
+        assert sorted((b.word, b.label) for b in got[i].base) == base, i
+        assert sorted((d.start, d.end, d.label) for d in got[i].detections) == found, i
+
+
 def test_contained_and_weaker_detections_are_suppressed():
     rule = lambda label, priority: licenses.Rule(label, b"", re.compile(b""), priority, 1.0)
     kept = licenses.resolved([(0, 10, rule("long", 10)), (2, 5, rule("inside", 10)), (8, 14, rule("strong", 20)), (20, 22, rule("apart", 1)), (20, 21, rule("within", 1))])
