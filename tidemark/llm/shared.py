@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Seconds between requests to collect garbage, and when the last was.
-COLLECT_S, _collected = 3.0, [0.0]
+COLLECT_S, _collected = 1.0, [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
