@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .words import sliced
 
 #: Hash buckets of trigrams; log-probability that a switch of language costs; letters of a chunk.
-BUCKETS, PENALTY, CHUNK = 1 << 17, 12.0, 1 << 18
+BUCKETS, PENALTY, CHUNK = 1 << 17, 12.0, 1 << 19
 UNKNOWN = "und"
 #: First and last code points of scripts, from the Unicode block charts.
 SCRIPTS = {

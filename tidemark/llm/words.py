@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,23 @@ def folded(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+
+
+def given_back() -> None:
+    """Gives memory that is free back to the system: workers live on and count with their executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in pieces, so that what is made of their texts in between stays small."""
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)
+        given_back()
 
 
 class WordHashes(dict):
