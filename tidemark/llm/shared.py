@@ -11,6 +11,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets none: whole texts vary too much for a number of rows.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Seconds between requests to collect garbage, and when the last was.
 COLLECT_S, _collected = 1.0, [0.0]
 
@@ -36,9 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors don't matter.
 
     Shuffle files of the steps before it aren't needed any more; Spark's cleaner removes them once
-    the driver has collected its garbage, so that is asked for here every few seconds.
+    the driver has collected its garbage, so that is asked for here every few seconds. Batches for Python
+    workers get a bound in bytes, unless the session has one.
     """
     spark = df.sparkSession
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, BATCH_BYTES)
     path = new_path(spark, name)
     df.write.parquet(path)
     del df
