@@ -255,6 +255,32 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_components_of_any_graph(spark, monkeypatch, broadcast):
+    """Hubs, chains, single links, repeated and turned links, loops and no links at all, against a plain search; minima broadcast or not."""
+    if not broadcast:
+        monkeypatch.setattr(components, "small", lambda table: table)
+    rng = np.random.default_rng(9)
+    links = [(5, i) for i in range(6, 400)] + [(1000 + i, 1001 + i) for i in range(20)] + [(3, 3), (5, 7), (7, 5), (-4, 2)]
+    links += [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (300, 2))]
+    near = collections.defaultdict(set)
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            node = todo.pop()
+            if node not in want:
+                want[node] = start
+                todo += near[node]
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_by_similarity(spark):
     rows, want, i = [], [], 0
     for k in range(60):
