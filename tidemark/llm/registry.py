@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, mixing, quality, secrets, sharding, simhash, substrings, warc
+from . import decontamination, langid, licenses, mixing, quality, secrets, sharding, simhash, substrings, warc, whitening
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -99,7 +99,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses)
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors along the first 32 components, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 32)
+
+
+QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses, op13_whitening)
 
 
 def queries() -> dict:
