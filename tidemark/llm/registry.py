@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, mixing, quality, secrets, sharding, simhash, substrings, warc, whitening
+from . import decontamination, langid, licenses, mixing, quality, search, secrets, sharding, simhash, substrings, warc, whitening
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -99,12 +99,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors along the first 32 components, whitened."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"), 32)
 
 
-QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses, op13_whitening)
+QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses, op12_search, op13_whitening)
 
 
 def queries() -> dict:
@@ -151,7 +156,25 @@ select page_id, strlen(body)::bigint as payload_bytes,
   array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> k) & 31) + 1]), '')), '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d
 """
+OP12 = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), lengths as (select doc_id, len(terms)::bigint as n from words where len(terms) > 0),
+corpus as (select count(*) as documents, sum(n)::hugeint as terms from lengths),
+norms as (select doc_id, 25 + (75 * n::hugeint * documents) // corpus.terms as m from lengths, corpus),
+postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from words) group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, corpus group by term, documents),
+asked as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+  ) group by item_id, term
+), scored as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join weights using (term) join postings using (term) join norms using (doc_id) group by item_id, doc_id
+), ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": OP2, "op3_warc": OP3, "op4_mixing": OP4}
+    return {"op2_substring_dedup": OP2, "op3_warc": OP3, "op4_mixing": OP4, "op12_search": OP12}

@@ -34,7 +34,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Parquet's writer with these looks at the size of what it holds after each row, for tables of few very large rows.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors don't matter.
 
     Shuffle files of the steps before it aren't needed any more; Spark's cleaner removes them once
@@ -45,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if BATCH not in spark.conf.getAll:
         spark.conf.set(BATCH, BATCH_BYTES)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     del df
     if time.monotonic() - _collected[0] > COLLECT_S:
         gc.collect()
