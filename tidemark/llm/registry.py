@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, licenses, mixing, quality, search, secrets, sharding, simhash, substrings, warc, whitening
+from . import decontamination, langid, licenses, mixing, ngram_join, quality, search, secrets, sharding, simhash, substrings, warc, whitening
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
@@ -99,6 +99,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all documents' sets of five-word shingles, and the components that a similarity of 0.8 or more makes."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"), 5)
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all documents for each benchmark item."""
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
@@ -109,7 +114,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), 32)
 
 
-QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses, op12_search, op13_whitening)
+QUERIES = (op1_sharding, op2_substring_dedup, op3_warc, op4_mixing, op5_simhash, op6_quality, op7_secrets, op8_language, op9_decontamination, op10_licenses, op11_ngram_join, op12_search, op13_whitening)
 
 
 def queries() -> dict:
