@@ -348,7 +348,7 @@ def test_groups_of_a_crowded_block_are_found(spark, many, piece):
         nodes += [(k, np.packbits(one).tobytes(), k), (1000 - k, np.packbits(other).tobytes(), 1000 - k)]
     nodes = spark.createDataFrame(nodes, "node long, bits binary, part long")
     sizes = {} if many is None else {"many": many, "piece": piece}
-    links = simhash._wide_links(nodes, 0, 100, simhash.most_differing(0.77), **sizes)
+    links = simhash._wide_links(nodes, simhash.block_bits(1), 0, simhash.most_differing(0.77), **sizes)
     assert sorted((r.a, r.b) for r in links.collect()) == sorted((1000 - k, k) for k in range(60))
 
 

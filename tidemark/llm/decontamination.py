@@ -41,14 +41,15 @@ MAX_BYTES, PASSAGES, AT_A_TIME = 4 << 20, 4096, 2048
 class Limits:
     """max_share: a term in more of all blocks than this says nothing, but for the `rarest` terms of each
     segment, so that one that is copied very often or has only common words can be found too. cosine: of
-    candidates. copied: share of a segment in the common subsequence that counts by itself. paraphrased:
-    share that counts if `answered` of the answer is there as well."""
+    candidates. copied: share of a segment in the common subsequence that counts by itself, if it is `fewest`
+    words or all of a shorter segment. paraphrased: share that counts if `answered` of the answer is there as well."""
 
     max_share: float = 0.002
     rarest: int = 8
     cosine: float = 0.25
-    copied: float = 0.75
-    paraphrased: float = 0.55
+    copied: float = 0.5
+    fewest: int = 8
+    paraphrased: float = 0.4
     answered: float = 0.7
 
 
@@ -244,8 +245,9 @@ def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes
     own, limits = space.benchmark.words[segment], space.limits
     if sum(map(distinct.__contains__, own)) < min(limits.copied, limits.paraphrased) * len(own):
         return None  # no subsequence has more than the words that they share
-    share = common_subsequence(own, words) / len(own)
-    if share >= limits.copied:
+    common = common_subsequence(own, words)
+    share = common / len(own)
+    if share >= limits.copied and common >= min(limits.fewest, len(own)):
         return share
     if share >= limits.paraphrased:
         answer = space.benchmark.answers[segment]

@@ -164,17 +164,34 @@ def _wide_fingerprints(shingle: int):
     return run
 
 
-def _blocks(first: int, last: int):
-    """(node, part, bits) -> (block, node, part, sight_a, sight_b), a row for each block first..last-1; a block's number is in the upper bits."""
-    weights = (1 << np.arange(WIDE_BITS)[::-1]).astype(np.int64)
-    numbers = np.arange(first, last, dtype=np.int64) << WIDE_BITS
+def block_bits(rows: int) -> np.ndarray:
+    """Which bits of a long fingerprint each block has, for a corpus of so many rows: blocks x bits.
+
+    A block is wide enough that unrelated rows meet in it about once, whatever their number. Wider blocks than
+    WIDE_BITS are drawn from all bits, and as many more as keep the chance that a pair at a similarity of
+    0.8 meets in one.
+    """
+    every, wide = WIDE_BLOCKS * WIDE_BITS, max(WIDE_BITS, (max(rows, 1) - 1).bit_length())
+    if wide == WIDE_BITS:
+        return np.arange(every).reshape(WIDE_BLOCKS, WIDE_BITS)
+    same = 1 - most_differing(0.8) / every
+    blocks = math.ceil(WIDE_BLOCKS * math.log1p(-(same**WIDE_BITS)) / math.log1p(-(same**wide)))
+    rng = np.random.default_rng(wide)
+    return np.stack([rng.choice(every, wide, replace=False) for _ in range(blocks)])
+
+
+def _blocks(bits_of: np.ndarray, first: int):
+    """(node, part, bits) -> (block, node, part, sight_a, sight_b), a row for each block, numbered from first; a block's number is in the upper bits."""
+    blocks_here, wide = bits_of.shape
+    weights = (1 << np.arange(wide)[::-1]).astype(np.int64)
+    numbers = np.arange(first, first + blocks_here, dtype=np.int64) << wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 512):
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
             sight = np.ascontiguousarray(bits[:, : SIGHT // 8]).view(np.int64)
-            blocks = np.unpackbits(bits, axis=1)[:, first * WIDE_BITS : last * WIDE_BITS].reshape(len(batch), last - first, WIDE_BITS) @ weights
-            columns = [(blocks + numbers).ravel(), *(np.repeat(x, last - first) for x in (batch.column("node").to_numpy(), batch.column("part").to_numpy(), sight[:, 0], sight[:, 1]))]
+            blocks = np.take(np.unpackbits(bits, axis=1), bits_of, axis=1) @ weights
+            columns = [(blocks + numbers).ravel(), *(np.repeat(x, blocks_here) for x in (batch.column("node").to_numpy(), batch.column("part").to_numpy(), sight[:, 0], sight[:, 1]))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "part", "sight_a", "sight_b"])
 
     return run
@@ -304,13 +321,13 @@ def most_differing(similarity: float) -> int:
     return math.floor(WIDE_BLOCKS * WIDE_BITS * math.acos(cosine) / math.pi)
 
 
-def _wide_links(nodes: DataFrame, first: int, last: int, most: int, many: int = MANY, piece: int = PIECE) -> DataFrame:
-    """Links (a, b) that join what meets in the blocks first..last-1 and differs in at most `most` bits, among nodes (node, bits, part) of different parts.
+def _wide_links(nodes: DataFrame, bits_of: np.ndarray, first: int, most: int, many: int = MANY, piece: int = PIECE) -> DataFrame:
+    """Links (a, b) that join what meets in blocks of these bits, numbered from first, and differs in at most `most` bits, among nodes (node, bits, part) of different parts.
 
     Rows of crowded blocks are compared on all bits, every pair that isn't joined yet; blocks of more than
     `piece` rows by pairs of pieces. What goes on is at most a link for each row and piece.
     """
-    blocks = nodes.select("node", "part", "bits").mapInArrow(_blocks(first, last), "block long, node long, part long, sight_a long, sight_b long")
+    blocks = nodes.select("node", "part", "bits").mapInArrow(_blocks(bits_of, first), "block long, node long, part long, sight_a long, sight_b long")
     met = blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_met(many), "block long, a long, b long, part long, large boolean")
     met = written(met, "near-met")
     left, right = (nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
@@ -457,10 +474,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     size = F.expr("cast(octet_length(shingles) / 4 as int)")
     nodes = written(rows.select("node", "doc_id", "tie", "bits", size.alias("size")).groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("bits").alias("bits"), F.first("size").alias("size")), "near-nodes")
     most = most_differing(similarity - CANDIDATE)
-    early = _wide_links(nodes.select("node", "bits", F.col("node").alias("part")), WIDE_BLOCKS - EARLY, WIDE_BLOCKS, most)
+    bits_of = block_bits(nodes.count())
+    late_ones = len(bits_of) - EARLY
+    early = _wide_links(nodes.select("node", "bits", F.col("node").alias("part")), bits_of[late_ones:], late_ones, most)
     parts = written(components(early, "near-components"), "near-parts")
     parted = written(nodes.join(parts, "node", "left").select("node", "bits", F.coalesce("component", "node").alias("part")), "near-parted")
-    late = _wide_links(parted, 0, WIDE_BLOCKS - EARLY, most)
+    late = _wide_links(parted, bits_of[:late_ones], 0, most)
     candidates = written(components(late.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-components"), "near-candidates")
     found = components(_similar_links(rows, nodes, candidates, similarity), "near-components")
     known = nodes.select("node", "least").join(found, "node")
