@@ -79,9 +79,22 @@ def _next(series: Series, acc: Column, value: Column) -> tuple[Column, Column, C
     return kept(new, total), kept(grown, weight), F.when(value.isNotNull() & enough, out).when(value.isNull() & (weight > 0), None)
 
 
-def _folded(bars: DataFrame, state: dict[str, Column], made: str, step: Callable[[Column, Column], tuple[list[Column], list[Column]]], key: str, order: str) -> DataFrame:
+def started(series: Sequence[Series]) -> dict[str, Column]:
+    """The state of series before the first bar."""
+    return {f"{s.name}_{part}": F.lit(0.0) for s in series for part in ("total", "weight")}
+
+
+def advanced(series: Series, acc: Column, bar: Column, made: dict[str, Column]) -> tuple[list[Column], Column]:
+    """The state and the value of a series after one more bar."""
+    total, weight, value = _next(series, acc, series.input(bar, made).cast("double"))
+    return [total.alias(f"{series.name}_total"), weight.alias(f"{series.name}_weight")], value
+
+
+def folded(bars: DataFrame, state: dict[str, Column], made: str, step: Callable[[Column, Column], tuple[list[Column], list[Column]]], key: str, order: str, start: DataFrame | None = None) -> DataFrame:
     """bars with what step makes of each bar and the state so far: new state, and columns (of the types in `made`) beside the bar's own.
 
+    start has states to begin with, a row a key; keys that it lacks, or whose columns are null, begin with `state`.
+
     A ticker's bars are folded in chunks of the square root of their number: rows are appended to their
     chunk, and chunks to the whole, so that no array is copied more often than that root.
     """
@@ -89,9 +102,12 @@ def _folded(bars: DataFrame, state: dict[str, Column], made: str, step: Callable
     row_kind = ", ".join([f"`{c}`: {bars.schema[c].dataType.simpleString()}" for c in own] + [made])
     none = F.array().cast(f"array<struct<{row_kind}>>")
     listed = bars.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in own if c != order)))).alias("bars"))
+    if start is not None:
+        listed = listed.join(start.select(key, F.struct(*state).alias("begun")), key, "left")
     length = F.greatest(F.ceil(F.sqrt(F.size("bars"))).cast("int"), F.lit(32))
     starts = F.sequence(F.lit(1), F.size("bars"), F.col("length"))
-    chunked = listed.withColumn("length", length).select(key, F.transform(starts, lambda at: F.slice("bars", at, F.col("length"))).alias("chunks"))
+    begun = [] if start is None else ["begun"]
+    chunked = listed.withColumn("length", length).select(key, *begun, F.transform(starts, lambda at: F.slice("bars", at, F.col("length"))).alias("chunks"))
 
     def one(acc: Column, bar: Column) -> Column:
         now, columns = step(acc, bar)
@@ -102,7 +118,7 @@ def _folded(bars: DataFrame, state: dict[str, Column], made: str, step: Callable
         start = F.struct(*(acc[k].alias(k) for k in state), none.alias("out"))
         return F.aggregate(some, start, one, lambda end: F.struct(*(end[k].alias(k) for k in state), F.array_append(acc["done"], end["out"]).alias("done")))
 
-    first = F.struct(*(v.alias(k) for k, v in state.items()), F.array().cast(f"array<array<struct<{row_kind}>>>").alias("done"))
+    first = F.struct(*((v if start is None else F.coalesce(F.col("begun")[k], v)).alias(k) for k, v in state.items()), F.array().cast(f"array<array<struct<{row_kind}>>>").alias("done"))
     return chunked.select(key, F.inline(F.flatten(F.aggregate("chunks", first, chunk, lambda acc: acc["done"]))))
 
 
@@ -112,13 +128,11 @@ def with_series(bars: DataFrame, series: Sequence[Series], key: str = "ticker",
     def step(acc: Column, bar: Column) -> tuple[list[Column], list[Column]]:
         state, made = [], {}
         for s in series:
-            total, weight, value = _next(s, acc, s.input(bar, made).cast("double"))
-            state += [total.alias(f"{s.name}_total"), weight.alias(f"{s.name}_weight")]
-            made[s.name] = value
+            now, made[s.name] = advanced(s, acc, bar, made)
+            state += now
         return state, [made[s.name].alias(s.name) for s in series]
 
-    start = {f"{s.name}_{part}": F.lit(0.0) for s in series for part in ("total", "weight")}
-    return _folded(bars, start, ", ".join(f"{s.name}: double" for s in series), step, key, order)
+    return folded(bars, started(series), ", ".join(f"{s.name}: double" for s in series), step, key, order)
 
 
 def with_states(bars: DataFrame, start: dict[str, Column], step: Callable[[dict[str, Column], Column], dict[str, Column]], key: str = "ticker", order: str = "date") -> DataFrame:
@@ -130,4 +144,4 @@ def with_states(bars: DataFrame, start: dict[str, Column], step: Callable[[dict[
         return [now[k].alias(k) for k in start], [now[k].alias(k) for k in start]
 
     first = {k: v.cast(probe[k].dataType) for k, v in start.items()}
-    return _folded(bars, first, ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in probe), fold, key, order)
+    return folded(bars, first, ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in probe), fold, key, order)
