@@ -8,7 +8,7 @@ its transpose and a thin matrix, as sums by term over all partitions, of which o
 for each benchmark term reaches the driver. Passages whose cosine with a segment is high are candidates; so
 are those that hold GRAM words of a segment in a row, which finds copies that the space represents badly.
 A candidate counts if the longest common subsequence of words covers most of the segment, or, for
-paraphrases, a good part of it and the answer as well: the item's answer if it has one, else its rare words.
+paraphrases, a good part of it and the item's answer as well.
 
 The benchmark is a stated set of queries. Every task holds up to MAX_BYTES of it; a larger one is searched
 in parts, each with a space of its own. For each part the corpus is read twice and not shuffled.
@@ -64,7 +64,7 @@ class Terms(dict):
 class Benchmark:
     items: list[int]  # of each segment
     words: list[list[bytes]]
-    answers: list[list[bytes]]  # words of the item's answer; where it has none, the segment's terms of weight
+    answers: list[list[bytes]]  # words of the item's answer, if it has one
     terms: Terms
 
 
@@ -207,7 +207,6 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
         mine = np.unique(benchmark.terms.of(words))
         telling[mine[np.argsort(n[mine], kind="stable")[: limits.rarest]]] = True
     weights = np.where(telling, np.log((total + 1) / n), 0.0)
-    benchmark.answers = [answer or [w for w in words if weights[benchmark.terms[w]]] for answer, words in zip(benchmark.answers, benchmark.words)]
     wanted = min(max(len(benchmark.words), LEAST_RANK), RANK)
     rank = min(wanted + SPARE, size)
     thin = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
@@ -242,17 +241,15 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes]) -> float | None:
     """The share of a segment in the common subsequence with a passage, if that is a leak."""
-    own, limits = space.benchmark.words[segment], space.limits
-    if sum(map(distinct.__contains__, own)) < min(limits.copied, limits.paraphrased) * len(own):
+    own, limits, answer = space.benchmark.words[segment], space.limits, space.benchmark.answers[segment]
+    if sum(map(distinct.__contains__, own)) < (min(limits.copied, limits.paraphrased) if answer else limits.copied) * len(own):
         return None  # no subsequence has more than the words that they share
     common = common_subsequence(own, words)
     share = common / len(own)
     if share >= limits.copied and common >= min(limits.fewest, len(own)):
         return share
-    if share >= limits.paraphrased:
-        answer = space.benchmark.answers[segment]
-        if common_subsequence(answer, words) >= limits.answered * len(answer):
-            return share
+    if answer and share >= limits.paraphrased and common_subsequence(answer, words) >= limits.answered * len(answer):
+        return share
     return None
 
 
