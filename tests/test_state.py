@@ -106,7 +106,7 @@ def test_a_stream_is_followed(spark, bars, tmp_path):
     path, plan = f"file://{tmp_path}/running", state.daily_plan()
     source = f"file://{tmp_path}/in"
     follow = lambda: state.follow(spark.readStream.schema(bars.schema).parquet(source), path, plan, f"file://{tmp_path}/checkpoint").awaitTermination()
-    early = F.col("date") < F.lit("1995-01-01")
+    early = F.col("date") < F.lit("1998-01-01")
     bars.where(early).coalesce(1).write.parquet(source)
     follow()
     bars.where(~early).coalesce(1).write.mode("append").parquet(source)

@@ -8,13 +8,14 @@ are always in one range, so ties never cross an edge.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Ranges of values.
-RANGES = 200
+RANGES = 128
 
 
 def _ranges(values: DataFrame, ranges: int) -> Column:
@@ -31,42 +32,77 @@ def _ranges(values: DataFrame, ranges: int) -> Column:
     return place(0, len(cuts))
 
 
-def ranked(table: DataFrame, column: str, by: Sequence[str] = (), ties: str = "average", name: str = "rank", ranges: int = RANGES) -> DataFrame:
-    """table with {name}, the rank of a value among the non-null ones of its group in rising order, and {name}_of, their number.
+@dataclass(frozen=True)
+class Rank:
+    """name: of the rank's column. by: columns of the groups, none for the whole table. ties: equal values share their mean rank (average), the least, the greatest (most), or count as one (dense)."""
 
-    ties: equal values share their mean rank (average), the least, the greatest (most), or count as one (dense). NaN
-    comes after all numbers. A null value has no rank. The group's columns may be null, which is a group too.
-    """
-    keys = list(by)
+    name: str
+    column: str
+    by: Sequence[str] = ()
+    ties: str = "average"
+
+
+def _value(column: str) -> Column:
     value = F.col(column).cast("double")
-    plain = table.where(F.col(column).isNotNull()).select(*keys, F.when(value == 0, F.lit(0.0)).otherwise(value).alias("rank_value"))
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)  # -0.0 is 0.0
+
+
+def _ranks(table: DataFrame, rank: Rank, ranges: int) -> DataFrame:
+    """rank_key_{i} of the group, rank_value, rank_made and rank_of, a row for each value of a group."""
+    keys = [f"rank_key_{i}" for i in range(len(rank.by))]
+    plain = table.where(F.col(rank.column).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(rank.by, keys)), _value(rank.column).alias("rank_value"))
     counts = plain.groupBy(*keys, "rank_value").agg(F.count("*").alias("rank_n"))
     placed = counts.withColumn("rank_range", _ranges(plain, ranges))
     totals = placed.groupBy(*keys, "rank_range").agg(F.sum("rank_n").alias("n"), F.count("*").alias("distinct"))
     listed = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank_range", "n", "distinct"))).alias("parts"))  # up to `ranges` a group
     earlier = lambda field: F.aggregate(F.filter("parts", lambda p: p["rank_range"] < F.col("part.rank_range")), F.lit(0).cast("long"), lambda a, p: a + p[field])
     before = listed.withColumn("part", F.explode("parts")).select(
-        *keys, F.col("part.rank_range").alias("rank_range"), earlier("n").alias("before"), earlier("distinct").alias("before_distinct"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("rank_of")
-    )
+        *(F.col(k).alias(f"{k}_own") for k in keys), F.col("part.rank_range").alias("range_own"), earlier("n").alias("before"), earlier("distinct").alias("before_distinct"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("rank_of"),
+    )
     within = W.partitionBy(*keys, "rank_range").orderBy("rank_value")
-    own = lambda a, b, names: [a[k].eqNullSafe(b[k]) for k in names]
     summed = placed.withColumns({"here": F.sum("rank_n").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)), "here_distinct": F.row_number().over(within)})
-    joined = summed.join(before, own(summed, before, [*keys, "rank_range"]), "left").select(*(summed[k] for k in keys), "rank_value", "rank_n", "before", "before_distinct", "here", "here_distinct", "rank_of")
+    joined = summed.join(before, [F.col("rank_range") == F.col("range_own"), *(F.col(k).eqNullSafe(F.col(f"{k}_own")) for k in keys)], "left")
     upto = F.col("before") + F.col("here")
-    rank = {
+    made = {
         "average": upto - (F.col("rank_n") - 1) / 2.0, "least": upto - F.col("rank_n") + 1, "most": upto, "dense": F.col("before_distinct") + F.col("here_distinct"),
-    }[ties]
-    ranks = joined.select(*(F.col(k).alias(f"rank_key_{i}") for i, k in enumerate(keys)), "rank_value", rank.cast("double").alias("rank_made"), "rank_of")
-    rows = table.select(F.struct("*").alias("rank_row"), *(F.col(k).alias(f"rank_own_{i}") for i, k in enumerate(keys)), F.when(value == 0, F.lit(0.0)).otherwise(value).alias("rank_own"))
-    match = [F.col("rank_own") == F.col("rank_value"), *(F.col(f"rank_own_{i}").eqNullSafe(F.col(f"rank_key_{i}")) for i in range(len(keys)))]
-    return rows.join(ranks, match, "left").select(*(F.col("rank_row")[c].alias(c) for c in table.columns), F.col("rank_made").alias(name), F.col("rank_of").alias(f"{name}_of"))
+    }[rank.ties]
+    return joined.select(*keys, "rank_value", made.cast("double").alias("rank_made"), "rank_of")
+
+
+def with_ranks(table: DataFrame, wanted: Sequence[Rank], ranges: int = RANGES) -> DataFrame:
+    """table with {name} and {name}_of for each Rank: the rank of a value among the non-null ones of its group in rising order, and their number.
+
+    NaN comes after all numbers. A null value has neither. The group's columns may be null, which is a group too. table is read twice
+    for each rank and once more, so it should be a stored one or cheap to make.
+    """
+    rows = table.select(F.struct("*").alias("rank_row"))
+    names = []
+    for n, rank in enumerate(wanted):
+        found = _ranks(table, rank, ranges)
+        found = found.select(*(F.col(c).alias(f"{c}_{n}") for c in found.columns))
+        own = {f"rank_own_{n}": _value(f"rank_row.{rank.column}"), **{f"rank_by_{n}_{i}": F.col("rank_row")[c] for i, c in enumerate(rank.by)}}
+        match = [F.col(f"rank_own_{n}") == F.col(f"rank_value_{n}"), *(F.col(f"rank_by_{n}_{i}").eqNullSafe(F.col(f"rank_key_{i}_{n}")) for i in range(len(rank.by)))]
+        rows = rows.withColumns(own).join(found, match, "left").select("rank_row", *names, F.col(f"rank_made_{n}").alias(rank.name), F.col(f"rank_of_{n}").alias(f"{rank.name}_of"))
+        names += [rank.name, f"{rank.name}_of"]
+    return rows.select(*(F.col("rank_row")[c].alias(c) for c in table.columns), *names)
+
+
+def ranked(table: DataFrame, column: str, by: Sequence[str] = (), ties: str = "average", name: str = "rank", ranges: int = RANGES) -> DataFrame:
+    """table with one rank, see with_ranks."""
+    return with_ranks(table, [Rank(name, column, by, ties)], ranges)
+
+
+def scaled(rank: Column, of: Column, scale: str = "ibd") -> Column:
+    """A rank as a share of the group's values, on a scale of 1 to 99 (ibd), 0 to 100 (standard), 0 to 99.9 to one digit (fine) or 0 to 1 (share)."""
+    share = rank / of
+    return {"ibd": F.bround(share * 98 + 1).cast("int"), "standard": F.bround(share * 100).cast("int"), "fine": F.round(F.when(share * 100 > 99.9, 99.9).otherwise(share * 100), 1), "share": share}[scale]
 
 
 def percentile(table: DataFrame, column: str, by: Sequence[str] = (), scale: str = "ibd", ties: str = "average", name: str = "percentile") -> DataFrame:
-    """table with {name}: the rank as a share of the group's values, on a scale of 1 to 99 (ibd), 0 to 100 (standard), 0 to 99.9 to one digit (fine) or 0 to 1 (share)."""
-    share = F.col("rank_made") / F.col("rank_made_of")
-    made = {"ibd": F.bround(share * 98 + 1).cast("int"), "standard": F.bround(share * 100).cast("int"), "fine": F.round(F.when(share * 100 > 99.9, 99.9).otherwise(share * 100), 1), "share": share}[scale]
-    return ranked(table, column, by, ties, "rank_made").withColumn(name, made).drop("rank_made", "rank_made_of")
+    """table with {name}, a scaled rank."""
+    out = ranked(table, column, by, ties, "rank_out")
+    return out.select(*table.columns, scaled(F.col("rank_out"), F.col("rank_out_of"), scale).alias(name))
 
 
 def trailing_percentile(bars: DataFrame, column: str, years: int | None = None, name: str = "percentile") -> DataFrame:
