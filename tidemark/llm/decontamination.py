@@ -66,11 +66,12 @@ class Benchmark:
     words: list[list[bytes]]
     answers: list[list[bytes]]  # words of the item's answer, if it has one
     terms: Terms
+    places: list[dict[bytes, int]]  # bits_of() each segment
 
 
 def segments(rows: list[tuple]) -> Benchmark:
     """rows: item_id, text, answer (or None)."""
-    found = Benchmark([], [], [], Terms())
+    found = Benchmark([], [], [], Terms(), [])
     for item, text, answer in rows:
         words = folded(text)
         n = -(-len(words) // BLOCK)
@@ -78,6 +79,7 @@ def segments(rows: list[tuple]) -> Benchmark:
             part = words[i * len(words) // n : (i + 1) * len(words) // n]
             found.items.append(item)
             found.words.append(part)
+            found.places.append(bits_of(part))
             found.answers.append(folded(answer))
     for word in sorted({w for words in found.words for w in words}):
         found.terms[word] = len(found.terms)
@@ -91,7 +93,7 @@ def _occurrences(shared):
         terms = shared.value.terms
         for batch in sliced(batches):
             n, blocks, ids = [], [], []
-            for text in batch.column("text"):
+            for text in batch.column("text").cast(pa.binary()):
                 found = terms.of(folded(text.as_py()))
                 at = np.flatnonzero(found >= 0)
                 n.append(-(-len(found) // BLOCK))
@@ -226,16 +228,22 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
     return Space(benchmark, latent, latent.any(axis=1), np.divide(queries, length, out=np.zeros_like(queries), where=length > 1e-9), limits, hashes[order], of[order])
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, by bits of one integer."""
+def bits_of(words: list[bytes]) -> dict[bytes, int]:
+    """Where each word stands, as bits of one integer."""
     places: dict[bytes, int] = {}
-    for i, word in enumerate(a):
+    for i, word in enumerate(words):
         places[word] = places.get(word, 0) | 1 << i
+    return places
+
+
+def common_subsequence(a: list[bytes], b: list[bytes], places: dict[bytes, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bits of one integer; places: bits_of(a), if they are known."""
     whole = (1 << len(a)) - 1
     row = whole
-    for word in b:
-        hit = row & places.get(word, 0)
-        row = ((row + hit) | (row - hit)) & whole
+    for at in map((bits_of(a) if places is None else places).get, b):
+        if at:  # a word that a lacks changes nothing
+            hit = row & at
+            row = ((row + hit) | (row - hit)) & whole
     return len(a) - row.bit_count()
 
 
@@ -244,7 +252,7 @@ def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes
     own, limits, answer = space.benchmark.words[segment], space.limits, space.benchmark.answers[segment]
     if sum(map(distinct.__contains__, own)) < (min(limits.copied, limits.paraphrased) if answer else limits.copied) * len(own):
         return None  # no subsequence has more than the words that they share
-    common = common_subsequence(own, words)
+    common = common_subsequence(own, words, space.benchmark.places[segment])
     share = common / len(own)
     if share >= limits.copied and common >= min(limits.fewest, len(own)):
         return share
@@ -285,7 +293,7 @@ def _candidates(space: Space, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield i + first, k, np.einsum("ij,ij->i", passages[i], space.queries[k]) / length[i]
 
 
-def leaks_of(space: Space, texts: list[str | None]) -> list[list[tuple[int, int, float, float]]]:
+def leaks_of(space: Space, texts: list[str | bytes | None]) -> list[list[tuple[int, int, float, float]]]:
     """Of each text item, first word of the passage, cosine and share of each leaked item; the best passage of each."""
     words = [folded(text) for text in texts]
     blocks = np.array([-(-len(w) // BLOCK) + 1 for w in words], np.int64)  # each text's last block is empty, so none runs into the next
@@ -314,7 +322,7 @@ def _searched(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = leaks_of(shared.value, batch.column("text").to_pylist())
+            found = leaks_of(shared.value, batch.column("text").cast(pa.binary()).to_pylist())
             hit = pa.array([bool(x) for x in found], pa.bool_())
             rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(kind))], ["doc_id", "leaks"])
             yield rows.filter(hit)
@@ -360,7 +368,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **setti
     def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
-                yield batch.filter(pa.array([not x for x in leaks_of(shared.value, batch.column(text).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in leaks_of(shared.value, batch.column(text).cast(pa.binary()).to_pylist())], pa.bool_()))
 
         return run
 

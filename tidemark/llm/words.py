@@ -23,9 +23,11 @@ def split(text: str | None) -> list[bytes]:
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
-def folded(text: str | None) -> list[bytes]:
-    r"""The words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of a text after A-Z are lower-cased."""
-    return text.encode().translate(FOLD).split() if text else []
+def folded(text: str | bytes | None) -> list[bytes]:
+    r"""The words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of a text, or of its UTF-8, after A-Z are lower-cased."""
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode()).translate(FOLD).split()
 
 
 @cache
