@@ -119,6 +119,23 @@ def breadth(bars: DataFrame, members: DataFrame | None = None, many: int = MANY)
     return out.drop("bull_island", "bear_island")
 
 
+#: Dates of the trend's means.
+TREND = (5, 10, 20)
+LADDER = (
+    "case when bullish_signals >= 3 and net_signals >= 2 then 'Strong Bullish' when bearish_signals >= 3 and net_signals <= -2 then 'Strong Bearish'"
+    " when bullish_signals >= 2 and net_signals >= 1 then 'Moderate Bullish' when bearish_signals >= 2 and net_signals <= -1 then 'Moderate Bearish'"
+    " when bullish_signals > 0 or bearish_signals > 0 then 'Weak Signal' else 'Neutral' end"
+)
+
+
+def trends(signals: DataFrame) -> DataFrame:
+    """universe, date, totals and net of breadth()'s signals, their means over 5, 10 and 20 dates (of half as many at least), how long one side has led, and a ladder of strength."""
+    kinds = {"bullish": "bullish_signals", "bearish": "bearish_signals", "net": "net_signals"}
+    means = {f"{name}_mean_{n}": rolling("avg", column, n, n // 2, by=DATES) for n in TREND for name, column in kinds.items()}
+    out = _with(signals, means | {"trend": LADDER})
+    return out.select("universe", "date", *kinds.values(), *means, "bullish_days", "bearish_days", "trend")
+
+
 def combined(bars: DataFrame, members: DataFrame, name: str, universes: list[str]) -> DataFrame:
     """counts() of the union of some universes, each ticker once."""
     union = members.where(F.col("universe").isin(universes)).select("ticker").distinct().withColumn("universe", F.lit(name))

@@ -24,6 +24,20 @@ def estimated_gamma() -> Column:
     return out.otherwise(0.001)
 
 
+#: Gamma by distance of the strike from the spot in two plainer estimates: one for a chain without expirations, one that decays with the days left. Fixed values.
+PLAIN_GAMMA, DATED_GAMMA = ((0.05, 0.05), (0.10, 0.03)), ((0.05, 0.05), (0.10, 0.03), (0.15, 0.02))
+
+
+def plain_gamma(days: Column | None = None) -> Column:
+    """An estimate from strike and spot; with days to expiry a step finer, and times their share of a year (a tenth at least). A null or zero spot gives null."""
+    money = F.try_divide("strike", "spot")
+    out = F.when(money.isNull(), None)
+    for most, gamma in PLAIN_GAMMA if days is None else DATED_GAMMA:
+        out = out.when(money.between(1 - most, 1 + most), gamma)
+    out = out.otherwise(0.01)
+    return out if days is None else out * F.greatest(F.lit(0.1), days / 365.0)
+
+
 def derived(chain: DataFrame, as_of: str) -> DataFrame:
     """chain with mid, spread, spread share, moneyness, days to expiry, dollar volume, volume against open interest and gamma."""
     out = chain.withColumns(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import highest, island, lag, lowest, rows, sma
 from ..sources.bars import latest
+from . import asof
 from .screens import layered
 
 #: Risk zones, from best to worst.
@@ -131,13 +134,26 @@ def longest_runs(bars: DataFrame, condition: str, name: str = "longest") -> Data
     return bars.select("ticker").distinct().join(counted.groupBy("ticker").agg(F.max("n").alias(name)), "ticker", "left").fillna(0, [name])
 
 
-def as_of(rows_: DataFrame, other: DataFrame, columns: list[str], date: str = "date") -> DataFrame:
-    """rows_ with the columns of other's last row on or before each date; other has a row a date, so one task holds dates, not tickers."""
-    kinds = dict(other.dtypes)
-    mine = rows_.select(F.struct("*").alias("row"), F.col(date).alias("at"), F.lit(1).alias("own"), *(F.lit(None).cast(kinds[c]).alias(c) for c in columns))
-    theirs = other.select(F.lit(None).cast(mine.schema["row"].dataType).alias("row"), F.col(date).alias("at"), F.lit(0).alias("own"), *columns)
-    last = {c: F.expr(f"last({c}, true) over (order by at, own rows unbounded preceding)") for c in columns}
-    return mine.unionByName(theirs).withColumns(last).where("own = 1").select("row.*", *columns)
+def as_of(rows_: DataFrame, other: DataFrame, columns: list[str], date: str = "date", by: Sequence[str] = ()) -> DataFrame:
+    """rows_ with the columns of other's last row on or before each date, of equal `by` if there are some."""
+    return asof.as_of(rows_, other, columns, by, date)
+
+
+def overview(indexes: DataFrame, breadth: DataFrame, recent_days: int = 25) -> DataFrame:
+    """A row for each index with what all parts of the market pulse say of it.
+
+    indexes: bars of the indexes; breadth: date, net_advances. Columns: ticker, date and close of the last bar; score and light of its
+    points (index_scores) and of its requirements (index_requirements); follow-through and distribution days and the state (market_state); the
+    zone of its averages; the side of its average it is on, since when, and for how many bars. What an index is too short for is null.
+    """
+    points = index_scores(indexes).select("ticker", "date", "close", F.col("score").cast("double").alias("score"), "light")
+    required = index_requirements(indexes, breadth).select("ticker", F.col("score").alias("requirements"), F.col("light").alias("requirements_light"))
+    zone = latest(zones(indexes).select("ticker", "date", "zone")).select("ticker", "zone")
+    run = cycles(indexes).groupBy("ticker").agg(F.max_by(F.struct("cycle", "first", "candles"), "last").alias("r")).select("ticker", "r.cycle", F.col("r.first").alias("since"), F.col("r.candles").alias("candles"))
+    out = points
+    for part in (required, market_state(indexes, recent_days), zone, run):
+        out = out.join(part, "ticker", "left")
+    return out
 
 
 #: Highs that count as many, for the second requirement.

@@ -112,6 +112,16 @@ def statistical(n: int = 50, cutoff: float = 3.0, volume: float = 100_000, relat
     )
 
 
+def surge(short: int = 5, long: int = 20, lift: float = 2.0, spike: float = 3.0) -> Screen:
+    """Volume that surges after a quiet time: its short mean is more than `lift` times the long one, and it is itself more than `spike` times that."""
+    return Screen(
+        "volume_surge",
+        (NUMBER | {"mean_short": sma("volume", short), "mean_long": sma("volume", long)}, {"relative": "mean_short / nullif(mean_long, 0)"}),
+        f"relative > {lift} and volume > {spike} * mean_long",
+        ("close", "volume", "relative"), last_only=False, order="relative",
+    )
+
+
 def breakout(n: int = 30, ratio: float = 1.5) -> Screen:
     return Screen(
         "volume_breakout",

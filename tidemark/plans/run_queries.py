@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.windows import change
-from ..operators import asof, correlation, dashboards, masters, programs, ranks
+from ..operators import asof, breadth, correlation, dashboards, masters, options, programs, pulse, ranks, volume
+from ..operators.screens import screened
 from ..sources import bars as source
 from ..sources import commits, settings, tiers, transforms
 from ..streaming import state
+from . import breadth_queries, derived_queries, market_queries, portfolio_queries
 from .common import Queries, shown
 from .sql import ewm, ewm_adjusted, on_bars, wilder
 
@@ -199,3 +201,52 @@ SECTORS = "i as (select sector as ticker, date, avg(close) as close from bars jo
 def dashboard_sectors(spark, sf_dir):
     series = source.daily(spark, sf_dir).join(source.dimension(spark, sf_dir), "ticker").groupBy(F.col("sector").alias("ticker"), "date").agg(F.avg("close").alias("close"))
     return shown(dashboards.performance(series))
+
+
+def _means(column: str, name: str) -> str:
+    return ", ".join(f"round(case when count({column}) over r{n} >= {n // 2} then avg({column}) over r{n} end, 4) as {name}_mean_{n}" for n in (5, 10, 20))
+
+
+@Q.add("breadth_trends", f"""select universe, date, bullish_signals, bearish_signals, net_signals, {_means('bullish_signals', 'bullish')}, {_means('bearish_signals', 'bearish')}, {_means('net_signals', 'net')}, bullish_days, bearish_days,
+      case when bullish_signals >= 3 and net_signals >= 2 then 'Strong Bullish' when bearish_signals >= 3 and net_signals <= -2 then 'Strong Bearish' when bullish_signals >= 2 and net_signals >= 1 then 'Moderate Bullish'
+        when bearish_signals >= 2 and net_signals <= -1 then 'Moderate Bearish' when bullish_signals > 0 or bearish_signals > 0 then 'Weak Signal' else 'Neutral' end as trend
+    from ({breadth_queries.Q.sql['breadth_signals']}) window """ + ", ".join(f"r{n} as (partition by universe order by date rows between {n - 1} preceding and current row)" for n in (5, 10, 20)))
+def breadth_trends(spark, sf_dir):
+    signals = breadth.breadth(source.daily(spark, sf_dir), breadth_queries.members(spark, sf_dir), many=breadth_queries.MANY)
+    return shown(breadth.trends(signals))
+
+
+@Q.add("screen_volume_surge", on_bars("m as (select *, case when count(volume) over a = 5 then avg(volume) over a end as mean_short, case when count(volume) over b = 20 then avg(volume) over b end as mean_long from bars "
+    "window a as (partition by ticker order by date rows between 4 preceding and current row), b as (partition by ticker order by date rows between 19 preceding and current row))",
+    select="select ticker, date, round(close, 4) as close, round(volume, 4) as volume, round(mean_short / nullif(mean_long, 0), 4) as relative from m where mean_short / nullif(mean_long, 0) > 1.3 and volume > 2 * mean_long"))
+def volume_surge(spark, sf_dir):
+    return shown(screened(source.daily(spark, sf_dir), volume.surge(lift=1.3, spike=2.0)), "ticker", "date", "close", "volume", "relative")
+
+
+@Q.add("options_gamma", f"""with {portfolio_queries.CHAIN}, m as (select *, strike / spot as money from der)
+    select ticker, strike, days, count(*) as quotes, round(sum(case when money between 0.95 and 1.05 then 0.05 when money between 0.9 and 1.1 then 0.03 else 0.01 end::double * open_interest), 4) as plain,
+      round(sum(case when money between 0.95 and 1.05 then 0.05 when money between 0.9 and 1.1 then 0.03 when money between 0.85 and 1.15 then 0.02 else 0.01 end::double * greatest(0.1, days / 365.0::double) * open_interest), 4) as dated
+    from m group by ticker, strike, days""")
+def options_gamma(spark, sf_dir):
+    """Open interest by strike and days left, weighed by two estimates of gamma."""
+    chain = options.derived(portfolio_queries.option_chain(spark, sf_dir), "2000-01-01")
+    weighed = lambda gamma: F.sum(gamma * F.col("open_interest"))
+    return shown(chain.groupBy("ticker", "strike", "days").agg(F.count("*").alias("quotes"), weighed(options.plain_gamma()).alias("plain"), weighed(options.plain_gamma(F.col("days"))).alias("dated")))
+
+
+def _named(sql: str, *columns: str) -> str:
+    return f"select ticker, {', '.join(columns)} from ({sql})"
+
+
+OVERVIEW = {
+    "a": _named(market_queries.Q.sql["pulse_index_scores"], "date", "close", "score", "light"), "b": _named(derived_queries.Q.sql["pulse_requirements"], "score as requirements", "light as requirements_light"),
+    "c": _named(market_queries.Q.sql["pulse_market_state"], "ftd", "dd", "state"),
+    "d": f"select ticker, cycle, first as since, candles from ({market_queries.Q.sql['pulse_cycles']}) qualify row_number() over (partition by ticker order by last desc) = 1",
+}
+
+
+@Q.add("pulse_overview", f"select * from ({OVERVIEW['b']}) left join ({OVERVIEW['a']}) using (ticker) left join ({OVERVIEW['c']}) using (ticker) left join ({OVERVIEW['d']}) using (ticker)")
+def pulse_overview(spark, sf_dir):
+    """All parts of the market pulse of three indexes in a row each; the zone has its own query and is left out here."""
+    bars = source.daily(spark, sf_dir).where(F.col("ticker").isin(*derived_queries.INDEXES))
+    return shown(pulse.overview(bars, derived_queries.breadth_rows(spark, sf_dir), 250).drop("zone"))
