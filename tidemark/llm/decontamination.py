@@ -7,8 +7,8 @@ randomised SVD of all blocks gives a latent space of few dimensions: each round
 its transpose and a thin matrix, as sums by term over all partitions, of which only a matrix with a row
 for each benchmark term reaches the driver. Passages whose cosine with a segment is high are candidates; so
 are those that hold GRAM words of a segment in a row, which finds copies that the space represents badly.
-A candidate counts if the longest common subsequence of words covers most of the segment, or, for
-paraphrases, a good part of it and the item's answer as well.
+A candidate counts if the longest common subsequence of words covers most of the segment, or half of it and of its
+terms of weight, or, for paraphrases, a good part of it and the item's answer as well.
 
 The benchmark is a stated set of queries. Every task holds up to MAX_BYTES of it; a larger one is searched
 in parts, each with a space of its own. For each part the corpus is read twice and not shuffled.
@@ -41,13 +41,15 @@ MAX_BYTES, PASSAGES, AT_A_TIME = 4 << 20, 4096, 2048
 class Limits:
     """max_share: a term in more of all blocks than this says nothing, but for the `rarest` terms of each
     segment, so that one that is copied very often or has only common words can be found too. cosine: of
-    candidates. copied: share of a segment in the common subsequence that counts by itself, if it is `fewest`
-    words or all of a shorter segment. paraphrased: share that counts if `answered` of the answer is there as well."""
+    candidates. copied: share of a segment in the common subsequence that counts by itself. reworded: share of
+    it, and of its terms of weight alone, that counts if it is `fewest` words or all of a shorter segment: common words, of
+    which any long text has many in order, don't make a find. paraphrased: share that counts if `answered` of the answer is there as well."""
 
     max_share: float = 0.002
     rarest: int = 8
     cosine: float = 0.25
-    copied: float = 0.5
+    copied: float = 0.75
+    reworded: float = 0.5
     fewest: int = 8
     paraphrased: float = 0.4
     answered: float = 0.7
@@ -67,11 +69,12 @@ class Benchmark:
     answers: list[list[bytes]]  # words of the item's answer, if it has one
     terms: Terms
     places: list[dict[bytes, int]]  # bits_of() each segment
+    telling: list[list[bytes]]  # each segment's terms of weight, in order
 
 
 def segments(rows: list[tuple]) -> Benchmark:
     """rows: item_id, text, answer (or None)."""
-    found = Benchmark([], [], [], Terms(), [])
+    found = Benchmark([], [], [], Terms(), [], [])
     for item, text, answer in rows:
         words = folded(text)
         n = -(-len(words) // BLOCK)
@@ -209,6 +212,7 @@ def latent_space(docs: DataFrame, benchmark: Benchmark, limits: Limits, text: st
         mine = np.unique(benchmark.terms.of(words))
         telling[mine[np.argsort(n[mine], kind="stable")[: limits.rarest]]] = True
     weights = np.where(telling, np.log((total + 1) / n), 0.0)
+    benchmark.telling = [[w for w in words if weights[benchmark.terms[w]]] for words in benchmark.words]
     wanted = min(max(len(benchmark.words), LEAST_RANK), RANK)
     rank = min(wanted + SPARE, size)
     thin = np.linalg.qr(np.random.default_rng(0).standard_normal((size, rank)))[0]
@@ -250,12 +254,17 @@ def common_subsequence(a: list[bytes], b: list[bytes], places: dict[bytes, int]
 def _checked(space: Space, segment: int, words: list[bytes], distinct: set[bytes]) -> float | None:
     """The share of a segment in the common subsequence with a passage, if that is a leak."""
     own, limits, answer = space.benchmark.words[segment], space.limits, space.benchmark.answers[segment]
-    if sum(map(distinct.__contains__, own)) < (min(limits.copied, limits.paraphrased) if answer else limits.copied) * len(own):
+    least = min(limits.copied, limits.reworded, limits.paraphrased if answer else 1.0)
+    if sum(map(distinct.__contains__, own)) < least * len(own):
         return None  # no subsequence has more than the words that they share
     common = common_subsequence(own, words, space.benchmark.places[segment])
     share = common / len(own)
-    if share >= limits.copied and common >= min(limits.fewest, len(own)):
+    if share >= limits.copied:
         return share
+    if share >= limits.reworded and common >= min(limits.fewest, len(own)):
+        telling = space.benchmark.telling[segment]
+        if common_subsequence(telling, words) >= limits.reworded * len(telling):
+            return share
     if answer and share >= limits.paraphrased and common_subsequence(answer, words) >= limits.answered * len(answer):
         return share
     return None
