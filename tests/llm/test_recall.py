@@ -52,7 +52,7 @@ def test_paraphrases_are_found(planted):
     n = items.count()
     for part in range(5):
         hits = sum((10**6 + 1000 * part + i, i) in found for i in range(n))
-        assert hits >= (1.0 if part < 2 else 0.9) * n, (part, hits)
+        assert hits >= (1.0, 1.0, 0.9, 0.9, 0.75)[part] * n, (part, hits)  # at 40% the README says why
 
 
 def test_finds_match_all_passages_against_all_items(planted):
