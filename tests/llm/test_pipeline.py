@@ -33,3 +33,15 @@ def test_run_and_registration(spark):
     assert [name for name, _ in pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "mix", "shard"]
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {name.split("_")[0] for name in __spark_entry__.queries()}
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_take_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"a.b": F.lit("x"), "c0": F.col("doc_id"), "size": F.lit(1), "text.": F.lit(None).cast("string")})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", "c0", "`a.b`", "text").collect()
+        assert rows and all(r.doc_id == r.c0 and r["a.b"] == "x" for r in rows), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()

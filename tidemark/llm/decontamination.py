@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, filtered, written
 from .words import STEP, folded, sliced
 
 #: Words of a block and most of a segment; latent dimensions (as many as segments, within bounds), with some more while they are sought.
@@ -165,12 +165,12 @@ def _product(occurrences: DataFrame, own: tuple[np.ndarray, np.ndarray], weights
     """The block matrix, transposed, times itself, times thin; own: occurrences in the benchmark's segments, which count as blocks."""
     shared = occurrences.sparkSession.sparkContext.broadcast((weights, thin))
     parts = occurrences.mapInArrow(_times(shared), "term long, z array<double>")
-    sums = parts.groupBy("term").agg(F.array(*(F.sum(F.col("z")[k]) for k in range(thin.shape[1]))).alias("z")).collect()  # a row for each benchmark term
+    sums = parts.groupBy("term").agg(F.array(*(F.sum(F.col("z")[k]) for k in range(thin.shape[1]))).alias("z")).toArrow()  # a row for each benchmark term, as arrays
     total = np.zeros(thin.shape)
     _gram(*own, weights, thin, total)
     total *= weights[:, None]
-    for row in sums:
-        total[row["term"]] += np.array(row["z"])
+    if len(sums):
+        total[sums.column("term").to_numpy()] += pa.compute.list_flatten(sums.column("z")).to_numpy().reshape(-1, total.shape[1])
     return total
 
 
@@ -374,14 +374,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows of docs without a leaked item, with all columns."""
+    place = docs.columns.index(text)
+
     def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
-                yield batch.filter(pa.array([not x for x in leaks_of(shared.value, batch.column(text).cast(pa.binary()).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in leaks_of(shared.value, batch.column(place).cast(pa.binary()).to_pylist())], pa.bool_()))
 
         return run
 
     kept = docs
     for space in fitted(docs, items, text=text, **settings):
-        kept = kept.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(space)), docs.schema)
+        kept = filtered(kept, clean(docs.sparkSession.sparkContext.broadcast(space)))
     return kept

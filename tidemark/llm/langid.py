@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import filtered
 from .words import sliced
 
 #: Hash buckets of trigrams; log-probability that a switch of language costs; letters of a chunk.
@@ -298,14 +299,14 @@ def in_known_language(docs: DataFrame, model: Model, text: str = "text", least_k
     What is "und" goes, and a text less than least_known of whose trigrams are known: most of it is in a
     script or a language that was never taught, though some learned language is nearest to it.
     """
-    label = _labelled(docs.sparkSession.sparkContext.broadcast(model))
+    label, place = _labelled(docs.sparkSession.sparkContext.broadcast(model)), docs.columns.index(text)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(text)], ["doc_id", "text"])
+            texts = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(place)], ["doc_id", "text"])
             labelled = pa.Table.from_batches(label(iter([texts])))
             pred = labelled.column("lang_pred").to_numpy()
             wanted = pred != UNKNOWN if languages is None else np.isin(pred.astype(str), languages)
             yield batch.filter(pa.array(wanted & (labelled.column("known").to_numpy() >= least_known)))
 
-    return docs.mapInArrow(known, docs.schema)
+    return filtered(docs, known)

@@ -60,6 +60,12 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return table
 
 
+def filtered(docs: DataFrame, function) -> DataFrame:
+    """docs.mapInArrow for functions that keep or leave out rows: columns may have any names, dots too, as functions see them by their places."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(function, plain.schema).toDF(*docs.columns)
+
+
 def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table, to be broadcast if it has few rows, else as it is, for Spark to join as it likes."""
     return F.broadcast(table) if table.count() <= rows else table
