@@ -8,6 +8,7 @@ run beside each other. A group holds signals, not bars, and only those between a
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,11 +28,14 @@ class Money:
     positions: int = 10
 
 
-def standard(signals: DataFrame, strategy: str, as_of: str | None = None) -> DataFrame:
-    """Signals with the standard columns and types: repeated ones once, unknown types, missing values and future dates dropped. Lacking columns are an error."""
+def standard(signals: DataFrame, strategy: str, as_of: str | None = None, about: Mapping[str, str] | None = None) -> DataFrame:
+    """Signals with the standard columns and types: repeated ones once, unknown types, missing values and future dates dropped. Lacking columns are an error.
+
+    about: where they are from (screener_type, source_file, timeframe), as further columns.
+    """
     if lacking := [c for c in NEEDED if c not in signals.columns]:
         raise ValueError(f"signals lack {', '.join(lacking)}")
-    out = signals.select(F.lit(strategy).alias("strategy"), "ticker", F.col("signal_date").cast("date").alias("signal_date"), "signal_type", F.col("signal_price").cast("double").alias("signal_price"))
+    out = signals.select(F.lit(strategy).alias("strategy"), "ticker", F.col("signal_date").cast("date").alias("signal_date"), "signal_type", F.col("signal_price").cast("double").alias("signal_price"), *(F.lit(v).alias(k) for k, v in (about or {}).items()))
     out = out.where(F.col("signal_type").isin(*SIGNALS) & F.col("ticker").isNotNull() & F.col("signal_date").isNotNull() & (F.col("signal_price") > 0))
     if as_of:
         out = out.where(F.col("signal_date") <= F.lit(as_of).cast("date"))

@@ -130,6 +130,21 @@ def divergence_layers(column: str, n: int = 20) -> tuple[Layer, ...]:
     )
 
 
+def line_divergence_layers(column: str, n: int = 20) -> tuple[Layer, ...]:
+    """1 where both price and column have a centred low, each with one in the n bars before, and the price's is lower and the column's higher; -1 for highs the other way round.
+
+    The first and last n bars of a ticker have none.
+    """
+    around = f"(partition by ticker order by date rows between {n // 2} preceding and {n // 2 - 1} following)"
+    before = rows(n, -1)
+    marks = [(x, c, k, agg) for x, c in (("price", "close"), ("line", column)) for k, agg in (("low", "min"), ("high", "max"))]
+    return (
+        NUMBER | {"bars": "count(*) over (partition by ticker)"} | {f"{x}_{k}": f"case when count({c}) over {around} = {n} and {c} = {agg}({c}) over {around} then {c} end" for x, c, k, agg in marks},
+        {f"{x}_{k}_before": f"max_by({x}_{k}, case when {x}_{k} is not null then bar end) over {before}" for x, _, k, _ in marks},
+        {"divergence": f"case when bar <= {n} or bar > bars - {n} then 0 when line_low is not null and price_low < price_low_before and {column} > line_low_before then 1 when line_high is not null and price_high > price_high_before and {column} < line_high_before then -1 else 0 end"},
+    )
+
+
 def anchored_vwap(bars: DataFrame, anchors: Sequence[str], price: str = "(high + low + close) / 3") -> DataFrame:
     """ticker, anchor, start (the first bar on or after it), date, close and vwap from there on, for every anchor date."""
     dates = F.explode(F.array(*(F.lit(a).cast("date") for a in anchors))).alias("anchor")

@@ -221,6 +221,32 @@ def qullamaggie(position: float = 0.5) -> Screen:
     )
 
 
+def recent_listing(full: int = 200, least: int = 50, position: float = 0.5) -> Screen:
+    """Tickers with `least` bars but fewer than `full`: the averages that there are in line, and the price in the upper part of its 20-bar range."""
+    return Screen(
+        "recent_listing",
+        (
+            NUMBER,
+            (Recursive("ema10", "close", 10, "ewm_adjusted"),),
+            {"sma20": f"avg(close) over {rows(19)}", "sma50": f"avg(close) over {rows(49)}", "high_20": f"max(high) over {rows(19)}", "low_20": f"min(low) over {rows(19)}"},
+            {"range_position": "coalesce((close - low_20) / nullif(high_20 - low_20, 0), 1)"},
+        ),
+        f"bar >= {least} and bar < {full} and close >= ema10 and ema10 >= sma20 and sma20 >= sma50 and range_position >= {position}",
+        ("close", "ema10", "sma20", "sma50", "bar", "range_position"), order="range_position",
+    )
+
+
+def tradable(bars: DataFrame, dimension: DataFrame, price: float = 5.0, cap: float = 1e9, exchanges: tuple = ("NASDAQ", "NYSE", "AMEX"), funds: tuple = ("ETF", "FUND", "TRUST"), least: int = 50) -> DataFrame:
+    """ticker, bars and close of those with enough bars and price that the dimension doesn't rule out.
+
+    A market cap below the least, another exchange or the name of a fund does; what the dimension lacks, or a ticker that isn't in it, doesn't.
+    """
+    last = bars.groupBy("ticker").agg(F.count("*").alias("bars"), F.max_by("close", "date").alias("close")).where((F.col("bars") >= least) & (F.col("close") >= price))
+    fund = F.upper("description").rlike("|".join(funds))
+    out = dimension.where(F.coalesce(F.col("market_cap") < cap, F.lit(False)) | F.coalesce(~F.col("exchange").isin(*exchanges), F.lit(False)) | F.coalesce(fund, F.lit(False)))
+    return last.join(out.select("ticker"), "ticker", "left_anti")
+
+
 STOCH = "coalesce(100 * (close - {low}) / nullif({high} - {low}, 0), 0)"
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic_queries, breadth_queries, derived_queries, indicator_queries, market_queries, portfolio_queries, run_queries, screen_queries
+from . import basic_queries, breadth_queries, derived_queries, indicator_queries, market_queries, portfolio_queries, rule_queries, run_queries, screen_queries
 
-MODULES = (basic_queries, breadth_queries, screen_queries, indicator_queries, market_queries, portfolio_queries, derived_queries, run_queries)
+MODULES = (basic_queries, breadth_queries, screen_queries, indicator_queries, market_queries, portfolio_queries, derived_queries, run_queries, rule_queries)
 
 
 def queries() -> dict:
