@@ -77,8 +77,8 @@ def test_stages_by_timeframe_use_their_own_rules(spark):
 
 def test_divergences_of_a_line_against_a_loop(spark):
     n, found = 20, {}
-    closes = {f"T{k}": walk(160, k) for k in range(40)} | {"short": walk(30, 99), "flat": [10.0] * 60}
-    bars = bars_of(spark, closes).withColumn("line", F.expr("pmod(xxhash64(ticker, date), 12L) + close"))
+    closes = {f"T{k}": walk(160, k) for k in range(25, 35)} | {name: [round(100 + s * i / 10 + 10 * math.cos(math.pi * i / 10), 3) for i in range(120)] for name, s in (("zig", -1), ("zag", 1))} | {"short": walk(30, 99), "flat": [10.0] * 60}
+    bars = bars_of(spark, closes).withColumn("line", F.expr("close + case ticker when 'zig' then 0.2 when 'zag' then -0.2 else 0.0 end * datediff(date, '2020-01-01') + if(ticker like 'z%', 0, pmod(xxhash64(ticker, date), 12L))"))
     got = {(r.ticker, r.date): r.divergence for r in layered(bars, indicators.line_divergence_layers("line", n)).where("divergence <> 0").collect()}
     for ticker, own in bars.toPandas().sort_values("date").groupby("ticker"):
         price, line = own["close"].reset_index(drop=True), own["line"].astype(float).reset_index(drop=True)
