@@ -96,6 +96,21 @@ def test_correlations_match_pandas(spark, settings):
     assert correlation.model(bars.where("ticker = 'T0'"), 20).collect() == [] and correlation.correlations(bars.where("1 = 0")).collect() == []
 
 
+def walks(spark, tickers, days=60):
+    r = np.random.default_rng(9)
+    rows = [(f"T{t:02d}", DAY + dt.timedelta(d), float(50 + r.normal())) for t in range(tickers) for d in range(days) if r.random() < 0.8]
+    return spark.createDataFrame(rows, "ticker string, date date, close double")
+
+
+def test_model_reads_blocks_where_they_lie(spark):
+    bars = walks(spark, 12)
+    many, one = correlation.model(bars, 20, tickers=2, days=20), correlation.model(bars, 20)
+    plan = plan_of(many)
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no copy of a return for each block
+    a, b = many.first(), one.first()
+    assert (a.pairs, a.highest_pair, a.lowest_pair) == (b.pairs, b.highest_pair, b.lowest_pair) == (66, a.highest_pair, a.lowest_pair) and abs(a.mean_correlation - b.mean_correlation) < 1e-12
+
+
 @pytest.mark.parametrize("ties", ["average", "least", "most", "dense"])
 @pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
 def test_ranks_match_pandas(spark, ties, by):
