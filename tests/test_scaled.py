@@ -111,6 +111,14 @@ def test_model_reads_blocks_where_they_lie(spark):
     assert (a.pairs, a.highest_pair, a.lowest_pair) == (b.pairs, b.highest_pair, b.lowest_pair) == (66, a.highest_pair, a.lowest_pair) and abs(a.mean_correlation - b.mean_correlation) < 1e-12
 
 
+def test_pairs_shuffle_a_return_once(spark):
+    bars = walks(spark, 12)
+    pairs = lambda tickers: {(x.a, x.b): (x.n, round(x.correlation, 9)) for x in correlation.correlations(bars, 20, tickers=tickers, days=20).collect()}
+    assert len(pairs(2)) == 66 and pairs(2) == pairs(100)
+    plan = plan_of(correlation.correlations(bars, 20, tickers=2))
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
 @pytest.mark.parametrize("ties", ["average", "least", "most", "dense"])
 @pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
 def test_ranks_match_pandas(spark, ties, by):
