@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, correlation, ranks
+from tidemark.operators import asof, correlation, movers, ranks
 
 DAY = dt.date(2020, 1, 1)
 
@@ -119,6 +119,17 @@ def test_pairs_shuffle_a_return_once(spark):
     assert "CartesianProduct" in plan and "Generate" not in plan
 
 
+def test_groups_make_no_row_for_a_pair_and_date(spark):
+    bars = walks(spark, 9)
+    groups = spark.createDataFrame([(f"T{t:02d}", g) for t in range(9) for g in ("all", "odd" if t % 2 else None)], "ticker string, grp string")
+    got = lambda **s: {(x.grp, x.a, x.b): (x.n, round(x.correlation, 9)) for x in correlation.grouped(bars, groups, **s).collect()}
+    every = {(x.a, x.b): (x.n, round(x.correlation, 9)) for x in correlation.correlations(bars, 1).collect()}
+    odd = {k: v for k, v in every.items() if all(int(t[1:]) % 2 for t in k)}
+    assert got() == got(tickers=2, days=20) == {("all", *k): v for k, v in every.items()} | {("odd", *k): v for k, v in odd.items()} and len(odd) == 6
+    plan = plan_of(movers.correlations(bars, groups))
+    assert "MapInArrow" in plan and "corr(" not in plan
+
+
 @pytest.mark.parametrize("ties", ["average", "least", "most", "dense"])
 @pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
 def test_ranks_match_pandas(spark, ties, by):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.folds import ema, with_series
 from ..functions.windows import change, lag, rows, sma
 from ..sources.bars import latest
+from . import correlation
 
 PAIR = "partition by pair order by date"
 
@@ -80,10 +81,7 @@ def correlations(bars: DataFrame, groups: DataFrame) -> DataFrame:
     groups: ticker, grp. The result has a row for each pair, so groups are what bounds it: an industry, a
     watchlist, or all tickers under one name where their number squared can be had.
     """
-    moves = bars.withColumn("ret", F.expr(change("close"))).where("ret is not null").join(groups.select("ticker", "grp").where("grp is not null").distinct(), "ticker")
-    left = moves.select("grp", F.col("ticker").alias("a"), "date", F.col("ret").alias("x"))
-    right = moves.select("grp", F.col("ticker").alias("b"), "date", F.col("ret").alias("y"))
-    return left.join(right, ["grp", "date"]).where("a < b").groupBy("grp", "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
+    return correlation.grouped(bars, groups)
 
 
 def mcclellan(bars: DataFrame) -> DataFrame:
