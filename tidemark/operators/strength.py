@@ -42,7 +42,7 @@ def percentiles(values: DataFrame, columns: Sequence[str], scale: str = "ibd", t
     made = {}
     for c in columns:
         share = rank_share(c, ties, within)
-        text = {"ibd": f"cast(bround({share} * 98 + 1) as int)", "standard": f"cast(bround({share} * 100) as int)", "fine": f"round(least({share} * 100, 99.9), 1)"}[scale]
+        text = {"ibd": f"cast(bround({share} * 98 + 1) as int)", "standard": f"cast(bround({share} * 100) as int)", "fine": f"floor(least({share} * 100e0, 99.9e0) * 1e1 + 0.5e0) / 1e1"}[scale]
         made[f"per_{c}"] = F.expr(text)
     return values.withColumns(made)
 
