@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import strength
+from tidemark.operators import filters, strength
 
 
 def test_fine_percentiles_round_as_their_sql(spark):
@@ -12,3 +12,10 @@ def test_fine_percentiles_round_as_their_sql(spark):
     values = spark.range(1, n + 1).select(F.col("id").alias("ticker"), F.col("id").cast("double").alias("v"))
     got = {r.ticker: r.per_v for r in strength.percentiles(values, ["v"], "fine").collect()}
     assert got == {r: math.floor(min(r / n * 100, 99.9) * 1e1 + 0.5) / 1e1 for r in range(1, n + 1)}
+
+
+def test_watchlist_in_one_line(spark):
+    signals = spark.range(1500).select(F.lit("daily").alias("timeframe"), F.lit("Asia").alias("signal"), F.lit("N").alias("exchange"), F.concat(F.lit("S"), "id").alias("ticker"))
+    [row] = filters.watchlist(signals, most=None).collect()
+    assert (row.part, row.line) == (0, ",".join(["###ASIA", *sorted(f"N:S{i}" for i in range(1500))]))
+    assert sorted(r.part for r in filters.watchlist(signals).collect()) == [0, 1]

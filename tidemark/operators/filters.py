@@ -121,9 +121,10 @@ def tornado(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.join(F.broadcast(means), "column").select("ticker", "column", "value", (F.col("value") - F.col("mean")).alias("deviation"))
 
 
-def watchlist(signals: DataFrame, most: int = 1000) -> DataFrame:
-    """timeframe, part and line: a section heading and up to `most` of its EXCHANGE:TICKER, joined by commas, for each signal."""
+def watchlist(signals: DataFrame, most: int | None = 1000) -> DataFrame:
+    """timeframe, part and line: a section heading and up to `most` (None: all) of its EXCHANGE:TICKER, joined by commas, for each signal."""
     named = signals.select("timeframe", "signal", F.concat_ws(":", "exchange", "ticker").alias("symbol")).distinct()
-    numbered = named.withColumn("part", F.expr(f"cast((row_number() over (partition by timeframe, signal order by symbol) - 1) div {most} as int)"))
+    part = f"cast((row_number() over (partition by timeframe, signal order by symbol) - 1) div {most} as int)" if most else "0"
+    numbered = named.withColumn("part", F.expr(part))
     lists = numbered.groupBy("timeframe", "signal", "part").agg(F.array_sort(F.collect_list("symbol")).alias("symbols"))
     return lists.select("timeframe", "signal", "part", F.concat(F.lit("###"), F.upper("signal"), F.lit(","), F.array_join("symbols", ",")).alias("line"))
