@@ -1,10 +1,12 @@
 """Whole results and bounded tasks on tables larger than the ones that the rules came from."""
 
+import glob
 import math
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters, strength
+from tidemark.plans import run_queries
 
 
 def test_fine_percentiles_round_as_their_sql(spark):
@@ -19,3 +21,14 @@ def test_watchlist_in_one_line(spark):
     [row] = filters.watchlist(signals, most=None).collect()
     assert (row.part, row.line) == (0, ",".join(["###ASIA", *sorted(f"N:S{i}" for i in range(1500))]))
     assert sorted(r.part for r in filters.watchlist(signals).collect()) == [0, 1]
+
+
+def test_master_table_writes_by_all_tasks(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    monkeypatch.setattr(run_queries.commits, "shared_folder", lambda _: f"file://{tmp_path}")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = run_queries.Q["master_table"](spark, "/root/testdata/sf0.01").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert rows == 100 and len(glob.glob(f"{tmp_path}/rs_stocks_daily_5period*/part-*.csv")) > 1

@@ -150,7 +150,7 @@ def master_table(spark, sf_dir):
         rows = bars if timeframe == "daily" else source.rolled_up(bars, timeframe)
         for p in periods:
             last = source.latest(rows.withColumn(f"change_{p}", F.expr(f"{change('close', p)} * 100")))
-            shown(last, "ticker", f"change_{p}", digits=3).coalesce(1).write.option("header", True).csv(f"{top}/rs_stocks_{timeframe}_{p}period_20240101.csv")
+            shown(last, "ticker", f"change_{p}", digits=3).write.option("header", True).csv(f"{top}/rs_stocks_{timeframe}_{p}period_20240101.csv")
     names = [f"{top}/rs_stocks_{t}_{p}period_20240101.csv" for t, ps in FRAMES.items() for p in ps]
     return masters.master(spark, masters.period_files(names))
 
