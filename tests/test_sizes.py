@@ -1,13 +1,17 @@
 """Whole results and bounded tasks on tables larger than the ones that the rules came from."""
 
+import datetime as dt
 import glob
 import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import filters, strength
+from tidemark.operators import filters, strength, volume
+from tidemark.operators.screens import screened
 from tidemark.plans import run_queries
 
+DAY = dt.date(2020, 1, 1)
+
 
 def test_fine_percentiles_round_as_their_sql(spark):
     n = 6000
@@ -32,3 +36,11 @@ def test_master_table_writes_by_all_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert rows == 100 and len(glob.glob(f"{tmp_path}/rs_stocks_daily_5period*/part-*.csv")) > 1
+
+
+def test_absolute_volume_brings_no_bars_to_one_task(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 10.0, 100.0 + d % 3 + (900.0 if d == 299 and t < 2 else 0.0)) for t in range(5) for d in range(300 - t)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, volume double")
+    out = screened(bars, volume.absolute(15, 3, 1.0, 10, 0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(specifiedwindowframe" not in plan and {(r.ticker, r.age) for r in out.collect()} >= {("T0", 0)}

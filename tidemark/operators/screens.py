@@ -59,9 +59,16 @@ class Screen:
         return replace(self, keep=keep)
 
 
+WHOLE = " over ()"
+
+
 def layered(bars: DataFrame, layers: tuple[Layer, ...]) -> DataFrame:
     for layer in layers:
         if isinstance(layer, dict):
+            # A figure of all bars is one row that goes to all tasks; as a window it would bring all bars to one.
+            if whole := {name: text for name, text in layer.items() if text.endswith(WHOLE)}:
+                bars = bars.crossJoin(F.broadcast(bars.agg(*(F.expr(text.removesuffix(WHOLE)).alias(name) for name, text in whole.items()))))
+                layer = {name: text for name, text in layer.items() if name not in whole}
             bars = bars.withColumns({name: F.expr(text) for name, text in layer.items()})
         else:
             bars = with_series(bars, [r.series() for r in layer])
