@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import filters, strength, volume
 from tidemark.operators.screens import screened
 from tidemark.plans import run_queries
+from tidemark.sources import bars as bars_
 
 DAY = dt.date(2020, 1, 1)
 
@@ -44,3 +45,14 @@ def test_absolute_volume_brings_no_bars_to_one_task(spark):
     out = screened(bars, volume.absolute(15, 3, 1.0, 10, 0))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(specifiedwindowframe" not in plan and {(r.ticker, r.age) for r in out.collect()} >= {("T0", 0)}
+
+
+def test_last_dates_of_filled_prices(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), None if (t + d) % 11 == 0 else float(t + d)) for t in range(6) for d in range(3 * t, 60 - t) if (d * 7 + t) % 5 or t == 0]
+    rows += [("early", DAY, 5.0), ("late", DAY + dt.timedelta(58), 7.0), ("none", DAY, None)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    every, plan = {(r.ticker, r.date): r.close for r in bars_.filled(bars).collect()}, lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    dates = sorted({d for _, d in every})
+    for n in (1, 10, 59, 60, 100):
+        assert {(r.ticker, r.date): r.close for r in bars_.filled(bars, n).collect()} == {k: v for k, v in every.items() if k[1] in dates[-n:]}
+    assert "slice(" in plan(strength.strength_of_groups(bars, bars.selectExpr("ticker", "'g' as sector", "1e0 as market_cap").distinct(), (5,)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import change, rank_share, sma
-from ..sources.bars import filled, latest
+from ..sources.bars import filled, last_rows, latest
 
 #: Bars of the analysis periods, by timeframe.
 PERIODS = {"daily": (1, 3, 5, 7, 14, 22, 44, 66, 132, 252), "weekly": (1, 3, 5, 10, 15), "monthly": (1, 3, 6)}
@@ -33,7 +33,7 @@ def relative_strength(prices: DataFrame, benchmark: DataFrame, periods: Sequence
 
 def average_strength(bars: DataFrame, periods: Sequence[int] = (20, 50)) -> DataFrame:
     """ticker, date and ma_{p}: the close against its average in percent."""
-    out = bars.withColumns({f"ma_{p}": F.expr(f"(close - {sma('close', p)}) / nullif({sma('close', p)}, 0) * 100") for p in periods})
+    out = last_rows(bars, max(periods)).withColumns({f"ma_{p}": F.expr(f"(close - {sma('close', p)}) / nullif({sma('close', p)}, 0) * 100") for p in periods})
     return latest(out).select("ticker", "date", *(f"ma_{p}" for p in periods))
 
 
@@ -75,7 +75,7 @@ def composites(prices: DataFrame, dimension: DataFrame, by: str = "sector", weig
 
 
 def strength_of_groups(bars: DataFrame, dimension: DataFrame, periods: Sequence[int], by: str = "sector", weighted: bool = False) -> DataFrame:
-    prices = filled(bars)
+    prices = filled(bars, max(periods) + 1)
     return relative_strength(composites(prices, dimension, by, weighted), market(prices), periods)
 
 

@@ -76,14 +76,14 @@ _BACK = ", ".join(f"(close / nullif(lag(close, {p}) over w, 0)) / nullif(base /
 STRENGTHS = (*MARKS, f"s as (select ticker, benchmark, date, {_BACK} from j window w as (partition by ticker, benchmark order by date) qualify row_number() over (partition by ticker, benchmark order by date desc) = 1)")
 
 
-def benchmarks(spark, sf_dir):
-    prices = source.filled(source.daily(spark, sf_dir))
+def benchmarks(spark, sf_dir, dates):
+    prices = source.filled(source.daily(spark, sf_dir), dates)
     own = prices.where("ticker in ('S1', 'S2')").select(F.col("ticker").alias("benchmark"), "date", "close")
     return prices, strength.market(prices).select(F.lit("ALL").alias("benchmark"), "date", "close").unionByName(own)
 
 
 def strengths(spark, sf_dir):
-    return strength.strength_against(*benchmarks(spark, sf_dir), (5, 22, 66))
+    return strength.strength_against(*benchmarks(spark, sf_dir, 67), (5, 22, 66))
 
 
 @Q.add("rs_benchmarks", on_bars(*STRENGTHS, select="select ticker, " + ", ".join(f"round(max(case when benchmark = '{b}' then rs_{p} end), 4) as rs_{p}_vs_{b}" for p in (5, 22, 66) for b in ("ALL", "S1", "S2")) + ", " + ", ".join(f"round(avg(rs_{p}), 4) as mean_rs_{p}" for p in (5, 22, 66)) + " from s group by ticker"))
@@ -93,7 +93,7 @@ def rs_benchmarks(spark, sf_dir):
 
 @Q.add("rs_average_ratios", on_bars(*MARKS, "q as (select *, close / nullif(base, 0) as ratio from j)", "r as (select ticker, benchmark, date, ratio, avg(ratio) over v as mean, count(ratio) over v as n from q window v as (partition by ticker, benchmark order by date rows between 19 preceding and current row) qualify row_number() over (partition by ticker, benchmark order by date desc) = 1)", select="select ticker, benchmark, date, round(case when n >= 20 then (ratio - mean) / nullif(mean, 0) * 100 end, 4) as mr_20 from r"))
 def rs_average_ratios(spark, sf_dir):
-    return shown(strength.average_ratio(*benchmarks(spark, sf_dir), (20,)))
+    return shown(strength.average_ratio(*benchmarks(spark, sf_dir, 20), (20,)))
 
 
 MAPPING = "ALL:ASIA;ALL:EUROPE;S1:ASIA;broken"

@@ -152,13 +152,21 @@ def valid_only(bars: DataFrame, timeframe: str = "daily") -> DataFrame:
     return bars.join(quality(bars, timeframe).where("valid"), "ticker", "left_semi")
 
 
-def filled(bars: DataFrame) -> DataFrame:
+def filled(bars: DataFrame, dates: int | None = None) -> DataFrame:
     """A row for each ticker and date on which any ticker has a bar, from the ticker's first on, with the last close.
 
-    The calendar of dates is one small row, so that the grid is made by exploding it, not by a join.
+    With `dates` only the last so many of these dates are made. The calendar of dates is one small row, so that
+    the grid is made by exploding it, not by a join.
     """
     calendar = bars.agg(F.sort_array(F.collect_set("date")).alias("dates"))
-    spans = bars.groupBy("ticker").agg(F.min("date").alias("first")).crossJoin(F.broadcast(calendar))
+    spans = bars.groupBy("ticker").agg(F.min("date").alias("first"))
+    if dates:
+        calendar = calendar.select(F.slice("dates", F.greatest(F.size("dates") - (dates - 1), F.lit(1)), dates).alias("dates"))
+        # What a ticker had before the first date made counts as that date's.
+        shifted = bars.crossJoin(F.broadcast(calendar.select(F.col("dates")[0].alias("start"))))
+        last = F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date")))
+        bars = shifted.groupBy("ticker", F.greatest("date", "start").alias("at")).agg(last.alias("close")).withColumnRenamed("at", "date")
+    spans = spans.crossJoin(F.broadcast(calendar))
     grid = spans.select("ticker", F.explode(F.filter("dates", lambda d: d >= F.col("first"))).alias("date"))
     last = F.last("close", ignorenulls=True).over(W.partitionBy("ticker").orderBy("date"))
     return grid.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left").select("ticker", "date", last.alias("close"))
