@@ -24,7 +24,7 @@ RS_SHOWN = ", ".join(f"round({c}, 4) as {c}" for c in RS)
 
 
 def stock_strength(spark, sf_dir):
-    prices = source.filled(source.daily(spark, sf_dir))
+    prices = source.filled(source.daily(spark, sf_dir), max(PERIODS) + 1)
     return strength.relative_strength(prices, strength.market(prices), PERIODS)
 
 

@@ -67,7 +67,7 @@ STOCKS = (
 def stocks(spark, sf_dir) -> DataFrame:
     """Percentiles of each stock with its strengths by both methods beside them, measured."""
     bars = source.daily(spark, sf_dir)
-    prices = source.filled(bars)
+    prices = source.filled(bars, max(PERIODS) + 1)
     own = strength.relative_strength(prices, strength.market(prices), PERIODS)
     averages = strength.average_strength(bars, PERIODS).withColumnsRenamed({f"ma_{p}": f"rs_{p}" for p in PERIODS})
     ranks = strength.percentiles(own, RS).select("ticker", *(f"per_{c}" for c in RS))
