@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import filters, strength, volume
+from tidemark.operators import backtest, filters, strength, volume
 from tidemark.operators.screens import screened
 from tidemark.plans import run_queries
 from tidemark.sources import bars as bars_
@@ -56,3 +56,19 @@ def test_last_dates_of_filled_prices(spark):
     for n in (1, 10, 59, 60, 100):
         assert {(r.ticker, r.date): r.close for r in bars_.filled(bars, n).collect()} == {k: v for k, v in every.items() if k[1] in dates[-n:]}
     assert "slice(" in plan(strength.strength_of_groups(bars, bars.selectExpr("ticker", "'g' as sector", "1e0 as market_cap").distinct(), (5,)))
+
+
+def test_ledgers_stream_over_their_signals(spark):
+    kinds = ("Buy", "Close Buy", "Sell", "Close Sell")
+    rows = [(f"s{i % 3}", f"T{i * 7 % 13}", DAY + dt.timedelta(i // 4), kinds[i * 5 % 4 if i % 3 else i // 3 % 4], 10.0 + i * 11 % 17) for i in range(400)]
+    signals = spark.createDataFrame(rows, "strategy string, ticker string, signal_date date, signal_type string, signal_price double")
+    signals = signals.dropDuplicates(["strategy", "ticker", "signal_date", "signal_type"])
+    for made in (backtest.simulated, backtest.portfolio):
+        whole = sorted(made(signals).collect())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        try:
+            cut = made(signals)
+            assert sorted(cut.collect()) == whole and len(whole) > 20 and not all(t.closed for t in whole)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert "FlatMapGroups" not in cut._jdf.queryExecution().optimizedPlan().toString()

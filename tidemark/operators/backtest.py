@@ -1,14 +1,14 @@
 """Back-tests: standard signals, the trade ledger of a strategy or portfolio, and figures on its trades.
 
 A strategy's ledger is sequential: what it can buy depends on the cash and positions left by all before.
-So each strategy (and each portfolio) is one group, handled in order of its signals by one task; strategies
-run beside each other. A group holds signals, not bars, and only those between a first and last date.
+So each strategy (and each portfolio) is handled in order of its signals by one task; strategies run beside
+each other. Spark sorts the signals, and the task streams over them: it holds a batch and the open positions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -52,60 +52,85 @@ def _trade(strategy: str, ticker: str, p: dict, date, price: float, cost: float,
     return strategy, ticker, p["side"], p["date"], p["price"], date, price, p["shares"], pnl, pnl / (p["price"] * p["shares"]) * 100, (date - p["date"]).days, closed
 
 
-def _ledger(money: Money):
+class _Ledger:
     """Trades of one strategy's signals in order; what is open at the end closes at its entry price."""
 
-    def run(signals: pd.DataFrame) -> pd.DataFrame:
-        signals = signals.sort_values(["signal_date", "ticker", "signal_type"])
-        cash, held, trades = money.capital, {}, []
-        last = None
-        for s in signals.itertuples():
-            last = s.signal_date
-            if s.signal_type in ("Buy", "Sell"):
-                side = "long" if s.signal_type == "Buy" else "short"
-                shares = int(cash * money.share / s.signal_price)
-                if s.ticker in held or len(held) >= money.positions or shares < 1:
-                    continue
-                held[s.ticker] = {"side": side, "date": s.signal_date, "price": s.signal_price, "shares": shares}
-                cash -= shares * s.signal_price * (1 + money.cost)
-            elif s.ticker in held and (held[s.ticker]["side"] == "long") == (s.signal_type == "Close Buy"):
-                p = held.pop(s.ticker)
-                trades.append(_trade(s.strategy, s.ticker, p, s.signal_date, s.signal_price, money.cost, True))
-                cash += p["shares"] * p["price"] + trades[-1][8] + p["shares"] * p["price"] * money.cost
-        for ticker, p in sorted(held.items()):
-            trades.append(_trade(signals.strategy.iloc[0], ticker, p, last, p["price"], money.cost, False))
-        return pd.DataFrame(trades, columns=[c.split()[0] for c in TRADE.split(", ")])
+    def __init__(self, money: Money) -> None:
+        self.money, self.cash, self.held, self.last = money, money.capital, {}, None
+
+    def add(self, s) -> Iterator[tuple]:
+        money, held = self.money, self.held
+        self.last = s.strategy, s.signal_date
+        if s.signal_type in ("Buy", "Sell"):
+            side = "long" if s.signal_type == "Buy" else "short"
+            shares = int(self.cash * money.share / s.signal_price)
+            if s.ticker in held or len(held) >= money.positions or shares < 1:
+                return
+            held[s.ticker] = {"side": side, "date": s.signal_date, "price": s.signal_price, "shares": shares}
+            self.cash -= shares * s.signal_price * (1 + money.cost)
+        elif s.ticker in held and (held[s.ticker]["side"] == "long") == (s.signal_type == "Close Buy"):
+            p = held.pop(s.ticker)
+            trade = _trade(s.strategy, s.ticker, p, s.signal_date, s.signal_price, money.cost, True)
+            self.cash += p["shares"] * p["price"] + trade[8] + p["shares"] * p["price"] * money.cost
+            yield trade
+
+    def ended(self) -> Iterator[tuple]:
+        for ticker, p in sorted(self.held.items()):
+            yield _trade(self.last[0], ticker, p, self.last[1], p["price"], self.money.cost, False)
+
+
+class _Portfolio:
+    """Trades of all strategies' signals in order, with a purse for each strategy."""
+
+    def __init__(self, money: Money, shares: Mapping[str, float]) -> None:
+        self.money, self.held, self.last = money, {}, None
+        self.cash = {k: money.capital * v for k, v in shares.items()}
+
+    def add(self, s) -> Iterator[tuple]:
+        money, cash, held = self.money, self.cash, self.held
+        self.last, key = s.signal_date, (s.ticker, s.strategy)
+        if s.signal_type in ("Buy", "Sell"):
+            n = int(cash.get(s.strategy, 0.0) * money.share / s.signal_price)
+            if key in held or len(held) >= money.positions or n < 1:
+                return
+            held[key] = {"side": "long" if s.signal_type == "Buy" else "short", "date": s.signal_date, "price": s.signal_price, "shares": n}
+            cash[s.strategy] -= n * s.signal_price
+        elif key in held and (held[key]["side"] == "long") == (s.signal_type == "Close Buy"):
+            p = held.pop(key)
+            trade = _trade(s.strategy, s.ticker, p, s.signal_date, s.signal_price, 0.0, True)
+            cash[s.strategy] += p["shares"] * p["price"] + trade[8]
+            yield trade
+
+    def ended(self) -> Iterator[tuple]:
+        for (ticker, strategy), p in sorted(self.held.items()):
+            yield _trade(strategy, ticker, p, self.last, p["price"], 0.0, False)
+
+
+def _in_order(book: Callable, by: str | None = None):
+    """Signals in order -> trades, batch by batch: a new book for each value of `by` (one in all without), which holds open positions only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda trades: pd.DataFrame(trades, columns=[c.split()[0] for c in TRADE.split(", ")])
+        now, of = None, None
+        for batch in batches:
+            trades = []
+            for s in batch.itertuples():
+                if now is None or by and getattr(s, by) != of:
+                    trades += now.ended() if now else ()
+                    now, of = book(), getattr(s, by) if by else None
+                trades += now.add(s)
+            yield table(trades)
+        if now:
+            yield table(list(now.ended()))
 
     return run
 
 
 def simulated(signals: DataFrame, money: Money | None = None) -> DataFrame:
     """The trades of every strategy in standard signals."""
-    return signals.groupBy("strategy").applyInPandas(_ledger(money or Money()), TRADE)
-
-
-def _portfolio(money: Money, shares: dict[str, float]):
-    def run(signals: pd.DataFrame) -> pd.DataFrame:
-        signals = signals.sort_values(["signal_date", "strategy", "ticker", "signal_type"])
-        cash = {k: money.capital * v for k, v in shares.items()}
-        held, trades, last = {}, [], None
-        for s in signals.itertuples():
-            last, key = s.signal_date, (s.ticker, s.strategy)
-            if s.signal_type in ("Buy", "Sell"):
-                n = int(cash.get(s.strategy, 0.0) * money.share / s.signal_price)
-                if key in held or len(held) >= money.positions or n < 1:
-                    continue
-                held[key] = {"side": "long" if s.signal_type == "Buy" else "short", "date": s.signal_date, "price": s.signal_price, "shares": n}
-                cash[s.strategy] -= n * s.signal_price
-            elif key in held and (held[key]["side"] == "long") == (s.signal_type == "Close Buy"):
-                p = held.pop(key)
-                trades.append(_trade(s.strategy, s.ticker, p, s.signal_date, s.signal_price, 0.0, True))
-                cash[s.strategy] += p["shares"] * p["price"] + trades[-1][8]
-        for (ticker, strategy), p in sorted(held.items()):
-            trades.append(_trade(strategy, ticker, p, last, p["price"], 0.0, False))
-        return pd.DataFrame(trades, columns=[c.split()[0] for c in TRADE.split(", ")])
-
-    return run
+    money = money or Money()
+    ordered = signals.repartition("strategy").sortWithinPartitions("strategy", "signal_date", "ticker", "signal_type")
+    return ordered.mapInPandas(_in_order(lambda: _Ledger(money), "strategy"), TRADE)
 
 
 def allocations(signals: DataFrame, by: str = "equal") -> dict[str, float]:
@@ -117,7 +142,9 @@ def allocations(signals: DataFrame, by: str = "equal") -> dict[str, float]:
 
 def portfolio(signals: DataFrame, money: Money | None = None, by: str = "equal") -> DataFrame:
     """The trades of all strategies with one limit on positions and a purse for each."""
-    return signals.groupBy(F.lit("portfolio").alias("portfolio")).applyInPandas(_portfolio(money or Money(), allocations(signals, by)), TRADE)
+    money, shares = money or Money(), allocations(signals, by)
+    ordered = signals.repartition(1).sortWithinPartitions("signal_date", "strategy", "ticker", "signal_type")
+    return ordered.mapInPandas(_in_order(lambda: _Portfolio(money, shares)), TRADE)
 
 
 def performance(trades: DataFrame) -> DataFrame:
