@@ -72,3 +72,19 @@ def test_ledgers_stream_over_their_signals(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert "FlatMapGroups" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlaps_make_signals_once(spark):
+    rows = [(f"s{i % 4}", f"T{i * 5 % 17}" if i % 20 else None) for i in range(90)] + [("alone", "U"), (None, "T1")]
+    signals = spark.createDataFrame(rows, "strategy string, ticker string")
+    sets = {}
+    for s, t in rows:
+        sets.setdefault(s, set()).add(t)
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a and b and a < b and (common := len((sets[a] & sets[b]) - {None})):
+                want[a, b] = common, common / (len(sets[a]) + len(sets[b]) - common)
+    out = backtest.overlaps(signals)
+    assert {(r.a, r.b): (r.common, r.jaccard) for r in out.collect()} == want and len(want) == 6
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

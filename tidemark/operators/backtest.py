@@ -199,13 +199,12 @@ def longest_streaks(trades: DataFrame) -> DataFrame:
 
 def overlaps(signals: DataFrame) -> DataFrame:
     """a, b (a < b), common tickers and the Jaccard similarity of each two strategies' tickers, by counts of common tickers."""
-    pairs = signals.select("strategy", "ticker").distinct()
-    sizes = pairs.groupBy("strategy").agg(F.count("*").alias("n"))
-    a, b = (pairs.select(F.col("strategy").alias(x), "ticker") for x in "ab")
-    common = a.join(b, "ticker").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    for x in "ab":
-        common = common.join(F.broadcast(sizes.select(F.col("strategy").alias(x), F.col("n").alias(f"n_{x}"))), x)
-    return common.select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"))
+    # Each strategy's signals are made once: a ticker's strategies meet in its own row, each with itself too, which gives the sizes.
+    own = signals.groupBy("ticker").agg(F.sort_array(F.collect_set("strategy")).alias("s"))
+    met = own.select(F.explode(F.expr("flatten(transform(s, a -> transform(filter(s, b -> a = b or a < b and ticker is not null), b -> struct(a as a, b as b))))")).alias("p"))
+    common = met.groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
+    common = common.withColumns({f"n_{x}": F.expr(f"max(case when a = b then common end) over (partition by {x})") for x in "ab"})  # a row for each two strategies
+    return common.where("a < b").select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"))
 
 
 def t_statistics(trades: DataFrame) -> DataFrame:
