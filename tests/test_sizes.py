@@ -88,3 +88,10 @@ def test_overlaps_make_signals_once(spark):
     out = backtest.overlaps(signals)
     assert {(r.a, r.b): (r.common, r.jaccard) for r in out.collect()} == want and len(want) == 6
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_makes_each_table_once(spark):
+    tables = {n: spark.range(k, 30, k).select(F.col("id").cast("string").alias("ticker"), (F.col("id") * k).alias("v")) for n, k in (("two", 2), ("three", 3))}
+    out = filters.merged(tables)
+    assert sorted((int(r.ticker), r.v, r.v_three, r.source_two, r.source_three) for r in out.collect()) == [(i, 2 * i, 3 * i, 1, 1) for i in range(6, 30, 6)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2

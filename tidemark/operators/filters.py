@@ -99,11 +99,11 @@ def common_tickers(*tables: DataFrame) -> DataFrame:
 
 def merged(tables: dict[str, DataFrame]) -> DataFrame:
     """Common tickers with the columns of all tables; a column that an earlier table has gets the table's name behind it, and source_{name} says who had it."""
-    out = common_tickers(*tables.values())
+    out = None
     for name, table in tables.items():
-        seen = set(out.columns) - {"ticker"}
+        seen = set(out.columns) - {"ticker"} if out else set()
         renamed = table.dropDuplicates(["ticker"]).withColumnsRenamed({c: f"{c}_{name}" for c in table.columns if c in seen}).withColumn(f"source_{name}", F.lit(1))
-        out = out.join(renamed, "ticker", "left")
+        out = out.join(renamed, "ticker") if out else renamed  # the join finds the common tickers, so that a table is made once
     return out
 
 
