@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, filters, strength, volume
+from tidemark.operators import backtest, filters, options, strength, volume
 from tidemark.operators.screens import screened
 from tidemark.plans import run_queries
 from tidemark.sources import bars as bars_
@@ -95,3 +95,11 @@ def test_merged_makes_each_table_once(spark):
     out = filters.merged(tables)
     assert sorted((int(r.ticker), r.v, r.v_three, r.source_two, r.source_three) for r in out.collect()) == [(i, 2 * i, 3 * i, 1, 1) for i in range(6, 30, 6)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+
+
+def test_equal_levels_give_the_nearest(spark):
+    rows = [("a", 1400.0, 607808.2), ("a", 1450.0, -607808.2), ("b", 1350.0, 430767.12328767125), ("b", 1250.0, 430767.1232876713), ("b", 1600.0, -486000.0), ("b", 1550.0, 486000.0), ("c", 1400.0, 60000.1), ("c", 1450.0, -60000.100000000006)]
+    for order in (rows, rows[::-1]):
+        levels = spark.createDataFrame(order, "ticker string, strike double, gex double").selectExpr("*", "1500e0 as spot", "'minor' as level").coalesce(1)
+        got = {r.ticker: (r.support, r.resistance, r.regime) for r in options.impact(levels).collect()}
+        assert got == {"a": (1450.0, None, "neutral"), "b": (1350.0, 1550.0, "positive"), "c": (1450.0, None, "neutral")}

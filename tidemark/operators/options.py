@@ -68,14 +68,18 @@ def exposure(chain: DataFrame) -> DataFrame:
 
 
 def impact(levels: DataFrame) -> DataFrame:
-    """ticker, net exposure, regime, and the largest support below and resistance above the spot."""
+    """ticker, net exposure, regime, and the largest support below and resistance above the spot; of equal ones the nearest to it.
+
+    Exposures count as equal, and a net one as 0, to four digits: the last ones depend on the order of sums.
+    """
     big = F.col("level") != "none"
-    size = F.abs("gex")
+    size, nearest = F.round(F.abs("gex"), 4), -F.abs(F.col("strike") - F.col("spot"))
     out = levels.groupBy("ticker").agg(
         F.sum("gex").alias("net_gex"), F.count_if(big).alias("levels"),
-        F.max_by("strike", F.when(big & (F.col("strike") < F.col("spot")), size)).alias("support"), F.max_by("strike", F.when(big & (F.col("strike") > F.col("spot")), size)).alias("resistance"),
+        F.max_by("strike", F.when(big & (F.col("strike") < F.col("spot")), F.struct(size, nearest))).alias("support"), F.max_by("strike", F.when(big & (F.col("strike") > F.col("spot")), F.struct(size, nearest))).alias("resistance"),
     )
-    regime = F.when(F.col("net_gex") > 0, "positive").when(F.col("net_gex") < 0, "negative").otherwise("neutral")
+    net = F.round("net_gex", 4)
+    regime = F.when(net > 0, "positive").when(net < 0, "negative").otherwise("neutral")
     return out.withColumns({"regime": regime, "volatility": F.when(regime == "positive", "dampened").when(regime == "negative", "amplified").otherwise("normal")})
 
 
