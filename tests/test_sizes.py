@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, filters, options, strength, volume
-from tidemark.operators.screens import screened
-from tidemark.plans import run_queries
+from tidemark.operators import adl, backtest, filters, options, strength, volume
+from tidemark.operators.screens import last_layered, layered, screened
+from tidemark.plans import run_queries, screen_queries
 from tidemark.sources import bars as bars_
 
 DAY = dt.date(2020, 1, 1)
@@ -103,3 +103,24 @@ def test_equal_levels_give_the_nearest(spark):
         levels = spark.createDataFrame(order, "ticker string, strike double, gex double").selectExpr("*", "1500e0 as spot", "'minor' as level").coalesce(1)
         got = {r.ticker: (r.support, r.resistance, r.regime) for r in options.impact(levels).collect()}
         assert got == {"a": (1450.0, None, "neutral"), "b": (1350.0, 1550.0, "positive"), "c": (1450.0, None, "neutral")}
+
+
+def test_averages_of_a_flat_line_are_equal(spark):
+    """The line stands at one level for the last bars, so that its averages are the same over 20 and 50 of them."""
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 10.0 if d < 90 else 9.5, 10.0, 9.0, 1.1 * t + 0.7 if d < 60 else 0.0) for t in range(40) for d in range(120)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, high double, low double, volume double")
+    bars = bars.withColumn("open", F.col("close"))
+    got = screened(bars, adl.averages().relaxed()).collect()
+    assert len(got) == 40 and {(r.ma_20 == r.ma_50, r.alignment, r.goldens, r.deaths) for r in got} == {(True, "neutral", 0, 0)}
+
+
+def test_last_rows_are_those_of_all_rows(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 50.0 + (d * d * 7 + t) % 23, 60.0 + (d * 5 + t) % 17, 30.0 + (d * 3 + t) % 11, None if (d + t) % 29 == 0 else 100.0 + (d * 13 + t) % 31) for t in range(6) for d in range((20, 60, 130, 200, 260, 300)[t])]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, high double, low double, volume double").withColumn("open", F.col("close")).cache()
+    for name in ("adl_averages", "adl_monthly", "trend_model", "volatility_model", "guppy_convergence"):
+        layers = screen_queries.SCREENS[name].layers
+        got, want = last_layered(bars, layers), layered(bars, layers)
+        want = bars_.latest(want)
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect()), name
+    assert "rows_back" in screened(bars, screen_queries.SCREENS["adl_averages"])._jdf.queryExecution().optimizedPlan().toString()
+    bars.unpersist()

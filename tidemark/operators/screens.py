@@ -8,6 +8,8 @@ miss can be looked at by relaxing the condition.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -50,6 +52,8 @@ class Screen:
     last_only: bool = True
     order: str = "score"
     labels: tuple[str, ...] = field(default=())
+    #: Columns without the last digits of their sums, so that means of equal values are equal over any number of rows.
+    settled: tuple[str, ...] = ()
 
     def every(self) -> Screen:
         """On all dates, not only on each ticker's last."""
@@ -75,11 +79,73 @@ def layered(bars: DataFrame, layers: tuple[Layer, ...]) -> DataFrame:
     return bars
 
 
+#: How far a row is before its ticker's last, and a frame of all rows of a ticker in order.
+BACK, ALL = "rows_back", f"over ({TICKER} rows between unbounded preceding and unbounded following)"
+ARGUMENT = r"(?:[^(),]|\([^()]*\))+"
+LAG = re.compile(rf"\blag\({ARGUMENT}, (\d+)\) over \({TICKER}\)")
+FRAME = re.compile(rf"\bover \({TICKER} rows between (\d+) preceding and (?:current row|\d+ preceding)\)")
+#: Aggregates that pass over nulls, in a frame of so many rows.
+ADDED = re.compile(rf"\b(avg|sum|min|max|count|stddev_samp|stddev_pop|regr_slope)\(({ARGUMENT})((?:, \w+)?)\) over \({TICKER} rows between (\d+) preceding and (?:current row|(\d+) preceding)\)")
+
+
+def depth(text: str) -> float:
+    """How many rows before its own an expression looks at; infinite where that isn't known."""
+    known = [int(n) for kind in (LAG, FRAME) for n in kind.findall(text)]
+    return max(known, default=0) if len(known) == len(re.findall(r"\bover\b", text)) else float("inf")
+
+
+def at_last(text: str) -> str:
+    """An expression on each ticker's last row alone: what a frame there holds is added up in the same order, but once a ticker and not once a row."""
+    kept = lambda m: f"{m[1]}(case when {BACK} between {m[5] or 0} and {m[4]} then {'1' if m[2] == '*' else m[2]} end{m[3]}) {ALL}"
+    return ADDED.sub(kept, text)
+
+
+def _parted(layers: Sequence[Layer]) -> list[Layer]:
+    """layers, what looks at all rows before what looks at some."""
+    out: list[Layer] = []
+    for layer in layers:
+        if isinstance(layer, dict):
+            far = {name: text for name, text in layer.items() if depth(text) == float("inf")}
+            near = {name: text for name, text in layer.items() if name not in far}
+            if far and near and not any(re.search(rf"\b{name}\b", text) for name in far for text in near.values()):
+                out += [far, near]
+                continue
+        out.append(layer)
+    return out
+
+
+def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
+    """latest(layered(bars, layers)), but windows of a known length see no more of the last rows than the last one's values come from."""
+    parts = _parted(layers)
+    needs: list[dict[str, float]] = [{} for _ in parts]  # how many of the last rows of each column are looked at
+    reads = [0.0] * (len(parts) + 1)  # and of all rows, by this part and those after it
+    reads[-1] = 1
+    for i in reversed(range(len(parts))):
+        part = parts[i]
+        if not isinstance(part, dict):
+            reads[i] = float("inf")
+            continue
+        for name in part:
+            users = [n + depth(parts[j][other]) for j in range(i + 1, len(parts)) if isinstance(parts[j], dict) for other, n in needs[j].items() if re.search(rf"\b{name}\b", parts[j][other])]
+            folds = [float("inf") for later in parts[i + 1 :] if not isinstance(later, dict) for r in later if r.column == name]
+            needs[i][name] = max([1, *users, *folds])
+        reads[i] = max([reads[i + 1], *(n + depth(part[name]) for name, n in needs[i].items())])
+    seen = float("inf")
+    for part, need, read in zip(parts, needs, reads):
+        if isinstance(part, dict) and any(FRAME.search(text) for text in part.values()):
+            if BACK not in bars.columns:
+                bars = bars.withColumn(BACK, F.expr(f"count(1) {ALL} - row_number() over ({TICKER})"))
+            part = {name: at_last(text) if need[name] == 1 else text for name, text in part.items()}
+        if read < seen and BACK in bars.columns:
+            bars, seen = bars.where(F.col(BACK) < int(read)), read
+        bars = layered(bars, (part,))
+    return latest(bars.where(F.col(BACK) == 0) if BACK in bars.columns else bars).drop(BACK)
+
+
 def screened(bars: DataFrame, screen: Screen) -> DataFrame:
     """ticker, date and the screen's columns and labels, for rows that meet its condition (null counts as not met)."""
-    rows = layered(bars, screen.layers)
-    if screen.last_only:
-        rows = latest(rows)
+    layers = [{name: f"round({text}, 9)" if name in screen.settled else text for name, text in layer.items()} if isinstance(layer, dict) else layer for layer in screen.layers]
+    rows = last_layered(bars, layers) if screen.last_only else layered(bars, layers)
     return rows.where(F.coalesce(F.expr(screen.keep), F.lit(False))).select("ticker", "date", *screen.columns, *screen.labels)
 
 
