@@ -112,7 +112,7 @@ def averages(periods: tuple = (20, 50, 100), look_back: int = 10, least: float =
             {"score": "least(100, case alignment when 'bullish' then 60 when 'bearish' then 20 else 40 end + least(30, apart * 6) + case when apart > 1 and apart < 5 then 10 else 0 end)", "goldens": f"sum(golden) over {rows(look_back - 2)}", "deaths": f"sum(death) over {rows(look_back - 2)}"},
         ),
         f"bar >= {max(periods) + look_back} and score >= {least} and alignment = 'bullish'",
-        ("close", "volume", "adl", s, m, g, *(f"slope_{p}" for p in periods), "goldens", "deaths", "score"), labels=("alignment",),
+        ("close", "volume", "adl", s, m, g, *(f"slope_{p}" for p in periods), "goldens", "deaths", "score"), labels=("alignment",), settled=(s, m, g),
     )
 
 
