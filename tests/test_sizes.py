@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adl, backtest, filters, options, strength, volume
 from tidemark.operators.screens import last_layered, layered, screened
-from tidemark.plans import run_queries, screen_queries
+from tidemark.plans import indicator_queries, run_queries, screen_queries
 from tidemark.sources import bars as bars_
 
 DAY = dt.date(2020, 1, 1)
@@ -124,3 +124,8 @@ def test_last_rows_are_those_of_all_rows(spark):
         assert sorted(got.select(want.columns).collect()) == sorted(want.collect()), name
     assert "rows_back" in screened(bars, screen_queries.SCREENS["adl_averages"])._jdf.queryExecution().optimizedPlan().toString()
     bars.unpersist()
+
+
+def test_all_indicators_read_bars_once(spark):
+    out = indicator_queries.Q["indicator_all"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -142,6 +142,27 @@ def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
     return latest(bars.where(F.col(BACK) == 0) if BACK in bars.columns else bars).drop(BACK)
 
 
+def side_by_side(bars: DataFrame, blocks: Sequence[tuple[Sequence[Layer], Sequence[str]]]) -> DataFrame:
+    """ticker, date and columns of each block's layers on the last row of each ticker, all made on the same rows; of equal names the first block's counts."""
+    parts, names = [], []
+    for layers, columns in blocks:
+        new = [c for c in columns if c not in names]
+        names += new
+        parts.append((layers, new))
+    rows, kept, last, ended = bars.where("ticker is not null"), [], {}, []
+    for layers, new in sorted(parts, key=lambda part: all(isinstance(layer, dict) for layer in part[0])):
+        made = {name: text for layer in layers if isinstance(layer, dict) for name, text in layer.items()}
+        if all(isinstance(layer, dict) for layer in layers) and not any(last.get(k, v) != v or k in bars.columns for k, v in made.items()):
+            last |= made  # no series: these are made last, from few rows
+            ended += [(layers, new)]
+            continue
+        rows = layered(rows, layers).select(*bars.columns, *kept, *(F.col(c).alias(f"kept_{c}") for c in new))
+        kept += [f"kept_{c}" for c in new]
+    rows = last_layered(rows, [layer for layers, _ in ended for layer in layers])
+    own = {c for _, new in ended for c in new}
+    return rows.select("ticker", "date", *(F.col(c if c in own else f"kept_{c}").alias(c) for c in names))
+
+
 def screened(bars: DataFrame, screen: Screen) -> DataFrame:
     """ticker, date and the screen's columns and labels, for rows that meet its condition (null counts as not met)."""
     layers = [{name: f"round({text}, 9)" if name in screen.settled else text for name, text in layer.items()} if isinstance(layer, dict) else layer for layer in screen.layers]

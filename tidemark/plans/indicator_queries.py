@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import rows
 from ..operators import indicators
-from ..operators.screens import Screen, layered, screened
+from ..operators.screens import Screen, screened, side_by_side
 from ..sources import bars as source
 from .common import Queries, shown
 from .screen_queries import screen_sql
@@ -90,10 +90,6 @@ def combined(spark, sf_dir):
 
 @Q.add("indicator_all")
 def all_indicators(spark, sf_dir):
-    """Every indicator on the last bar, each block made on the same shuffled bars."""
-    bars = source.daily(spark, sf_dir)
-    out = source.latest(bars).select("ticker", "date")
-    for layers, columns in COLUMNS.values():
-        new = [c for c in columns if c not in out.columns]
-        out = out.join(source.latest(layered(bars, layers)).select("ticker", *new), "ticker") if new else out
+    """Every indicator on the last bar, all made on the same bars one after another."""
+    out = side_by_side(source.daily(spark, sf_dir), list(COLUMNS.values()))
     return shown(out, digits=3)
