@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adl, backtest, filters, options, strength, volume
+from tidemark.operators import adl, backtest, basics, filters, options, strength, volume
 from tidemark.operators.screens import last_layered, layered, screened
 from tidemark.plans import indicator_queries, run_queries, screen_queries
 from tidemark.sources import bars as bars_
@@ -129,3 +129,14 @@ def test_last_rows_are_those_of_all_rows(spark):
 def test_all_indicators_read_bars_once(spark):
     out = indicator_queries.Q["indicator_all"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_matrix_reads_bars_three_times_and_adds_up_once_a_ticker(spark):
+    bars = spark.createDataFrame([(f"T{t}", DAY + dt.timedelta(d), 50.0, 60.0 + (d * 5 + t) % 17, 30.0, 40.0 + (d * d * 7 + t) % 23, 100.0 + d % 7) for t in range(3) for d in range((40, 120, 280)[t])], "ticker string, date date, open double, high double, low double, close double, volume double").cache()
+    out = basics.matrix(bars)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation [") == 3
+    got = {r.ticker: r.asDict() for r in out.collect()}
+    for block in (basics.technicals, basics.atr):
+        for r in bars_.latest(block(bars)).collect():
+            assert all(v is None and got[r.ticker][c] is None or v == r.date or abs(v - got[r.ticker][c]) < 0.0051 for c, v in r.asDict().items() if c not in ("ticker", "date"))
+    bars.unpersist()

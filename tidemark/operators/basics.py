@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.folds import Series, ema, rma, wilder, with_series
 from ..functions.windows import TICKER, change, clamp, deviation, highest, lag, lowest, rolling, rows, sma, true_range
 from ..sources.bars import latest, numbered
+from .screens import BACK, at_last, with_back
 
 #: Body, doji and wick bands of a candle; the averages' slope looks back so many bars.
 BANDS, SLOPE_BARS = (0.7, 0.4, 0.1), 5
@@ -66,8 +67,8 @@ def rsi_simple(column: str = "close", n: int = 14) -> str:
     return f"case when {up} is null then 50.0 when {up} = 0 then 50.0 when {down} = 0 then 100.0 else 100 - 100 / (1 + {up} / nullif({down}, 0)) end"
 
 
-def technicals(bars: DataFrame) -> DataFrame:
-    """bars with rsi_14, the position in the 52-week range (all history until 52 bars, 0.5 if flat) and MACD of adjusted EMAs from bar 35 on."""
+def technicals(bars: DataFrame, last: bool = False) -> DataFrame:
+    """bars (with `last`, values on each ticker's last row only, and rows_back) with rsi_14, the position in the 52-week range (all history until 52 bars, 0.5 if flat) and MACD of adjusted EMAs from bar 35 on."""
     out = bars.withColumn("diff", F.expr(f"coalesce(close - {lag('close')}, 0)"))
     out = with_series(
         out,
@@ -77,11 +78,12 @@ def technicals(bars: DataFrame) -> DataFrame:
             ema("macd_signal", 9, lambda _, made: made["fast"] - made["slow"], adjusted=True),
         ],
     )
-    out = numbered(out)
-    high, low = f"max(close) over {rows(251)}", f"min(close) over {rows(251)}"
+    out = numbered(with_back(out) if last else out)
+    text = at_last if last else str
+    high, low = text(f"max(close) over {rows(251)}"), text(f"min(close) over {rows(251)}")
     out = out.withColumns(
         {
-            "rsi_14": F.expr(rsi_simple()),
+            "rsi_14": F.expr(text(rsi_simple())),
             "position_52w": F.expr(f"case when {high} = {low} then 0.5 else (close - {low}) / nullif({high} - {low}, 0) end"),
             "macd": F.expr("case when bar >= 35 then fast - slow end"),
             "macd_signal": F.expr("case when bar >= 35 then macd_signal end"),
@@ -90,13 +92,14 @@ def technicals(bars: DataFrame) -> DataFrame:
     return out.withColumn("macd_histogram", F.expr("macd - macd_signal")).drop("diff", "fast", "slow")
 
 
-def atr(bars: DataFrame, n: int = 14, base: int = 50, share_rows: int = 100) -> DataFrame:
-    """bars with Wilder's atr, atr_pct, the distance from the average in ATRs, and the share of the last rows with a smaller ATR."""
+def atr(bars: DataFrame, n: int = 14, base: int = 50, share_rows: int = 100, last: bool = False) -> DataFrame:
+    """bars (with `last`, values on each ticker's last row only, and rows_back) with Wilder's atr, atr_pct, the distance from the average in ATRs, and the share of the last rows with a smaller ATR."""
     out = with_series(bars.withColumn("tr", F.expr(true_range())), [wilder("atr", n, lambda bar, _: bar["tr"])])
-    out = out.withColumns({"atr_pct": F.expr("atr / nullif(close, 0) * 100"), "atr_ext": F.expr(f"(close - {sma('close', base)}) / nullif(atr, 0)")})
-    past = out.withColumn("past", F.expr(f"collect_list(atr) over {rows(share_rows - 1)}"))
+    out, text = with_back(out) if last else out, at_last if last else str
+    out = out.withColumns({"atr_pct": F.expr("atr / nullif(close, 0) * 100"), "atr_ext": F.expr(text(f"(close - {sma('close', base)}) / nullif(atr, 0)"))})
+    past = out.withColumn("past", F.expr(text(f"collect_list(atr) over {rows(share_rows - 1)}")))
     share = F.try_divide(F.size(F.filter("past", lambda x: x < F.col("atr"))), F.lit(share_rows))
-    return past.withColumn("atr_percentile", F.when(F.expr(f"count(*) over {rows(share_rows - 1)}") >= share_rows, share)).drop("past", "tr")
+    return past.withColumn("atr_percentile", F.when(F.expr(text(f"count(*) over {rows(share_rows - 1)}")) >= share_rows, share)).drop("past", "tr")
 
 
 def moves(bars: DataFrame, periods: Sequence[int] = (5, 10, 22, 66, 132, 252)) -> DataFrame:
@@ -166,11 +169,15 @@ def scooter(bars: DataFrame, variant: str = "st") -> DataFrame:
 
 
 def matrix(bars: DataFrame) -> DataFrame:
-    """The last row of each ticker with all blocks beside each other, numbers to two digits."""
-    blocks = [returns(bars), *(latest(block(bars)).drop("date", *PLAIN) for block in (candles, averages, technicals, atr, moves, volume_metrics, scooter)), extremes(bars).drop("close")]
-    out = latest(bars)
-    for block in blocks:
-        out = out.join(block, "ticker", "left")
+    """The last row of each ticker with all blocks beside each other, numbers to two digits. Blocks by bars are made one after another on the same bars."""
+    last = {"candles": candles, "averages": averages, "technicals": lambda b: technicals(b, last=True), "atr": lambda b: atr(b, last=True), "moves": moves, "volume_metrics": volume_metrics, "scooter": scooter}
+    made = {k: [c for c in block(bars).columns if c not in {*bars.columns, BACK}] for k, block in last.items()}
+    rows_ = bars
+    for k in ("averages", "technicals", "atr", "scooter", "candles", "moves", "volume_metrics"):  # first those with series, on narrower rows
+        rows_ = last[k](rows_)
+    out = latest(rows_.where(F.col(BACK) == 0)).select(*bars.columns, *(c for columns in made.values() for c in columns))
+    whole = returns(bars)
+    out = out.join(whole, "ticker", "left").select(*bars.columns, *whole.columns[1:], *out.columns[len(bars.columns) :]).join(extremes(bars).drop("close"), "ticker", "left")
     return out.select(*(F.round(c, 2).alias(c) if kind == "double" else c for c, kind in out.dtypes))
 
 

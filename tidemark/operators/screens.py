@@ -85,7 +85,7 @@ ARGUMENT = r"(?:[^(),]|\([^()]*\))+"
 LAG = re.compile(rf"\blag\({ARGUMENT}, (\d+)\) over \({TICKER}\)")
 FRAME = re.compile(rf"\bover \({TICKER} rows between (\d+) preceding and (?:current row|\d+ preceding)\)")
 #: Aggregates that pass over nulls, in a frame of so many rows.
-ADDED = re.compile(rf"\b(avg|sum|min|max|count|stddev_samp|stddev_pop|regr_slope)\(({ARGUMENT})((?:, \w+)?)\) over \({TICKER} rows between (\d+) preceding and (?:current row|(\d+) preceding)\)")
+ADDED = re.compile(rf"\b(avg|sum|min|max|count|stddev_samp|stddev_pop|regr_slope|collect_list)\(({ARGUMENT})((?:, \w+)?)\) over \({TICKER} rows between (\d+) preceding and (?:current row|(\d+) preceding)\)")
 
 
 def depth(text: str) -> float:
@@ -100,6 +100,10 @@ def at_last(text: str) -> str:
     return ADDED.sub(kept, text)
 
 
+def with_back(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(BACK, F.expr(f"count(1) {ALL} - row_number() over ({TICKER})"))
+
+
 def _parted(layers: Sequence[Layer]) -> list[Layer]:
     """layers, what looks at all rows before what looks at some."""
     out: list[Layer] = []
@@ -134,7 +138,7 @@ def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
     for part, need, read in zip(parts, needs, reads):
         if isinstance(part, dict) and any(FRAME.search(text) for text in part.values()):
             if BACK not in bars.columns:
-                bars = bars.withColumn(BACK, F.expr(f"count(1) {ALL} - row_number() over ({TICKER})"))
+                bars = with_back(bars)
             part = {name: at_last(text) if need[name] == 1 else text for name, text in part.items()}
         if read < seen and BACK in bars.columns:
             bars, seen = bars.where(F.col(BACK) < int(read)), read
