@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adl, backtest, basics, filters, options, strength, volume
+from tidemark.operators import adl, backtest, basics, correlation, filters, options, strength, volume
 from tidemark.operators.screens import last_layered, layered, screened
 from tidemark.plans import indicator_queries, run_queries, screen_queries
 from tidemark.sources import bars as bars_
@@ -140,3 +140,19 @@ def test_matrix_reads_bars_three_times_and_adds_up_once_a_ticker(spark):
         for r in bars_.latest(block(bars)).collect():
             assert all(v is None and got[r.ticker][c] is None or v == r.date or abs(v - got[r.ticker][c]) < 0.0051 for c, v in r.asDict().items() if c not in ("ticker", "date"))
     bars.unpersist()
+
+
+def test_lines_are_dealt_without_what_is_made_of_them(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = bars_.bars_of(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and " / " in plan and " / " not in plan.split("RepartitionByExpression")[1]
+
+
+def test_pairs_of_a_ticker_follow_each_other(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 50.0 + (d * d * 7 + t * t) % 23) for t in range(40) for d in range(60 - t % 5)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    found = correlation.correlations(bars, 20, tickers=9).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "a", "b", "n").collect()
+    found.sort(key=lambda r: r.i)
+    assert {(r.a, r.b) for r in found} == {(a, b) for a in {r[0] for r in rows} for b in {r[0] for r in rows} if a < b} and len(found) == 780
+    runs = sum((one.p, one.a) != (other.p, other.a) for one, other in zip(found, found[1:])) + 1
+    assert runs == len({(r.p, r.a) for r in found}) and all(one.b < other.b for one, other in zip(found, found[1:]) if (one.p, one.a) == (other.p, other.a))
