@@ -113,3 +113,24 @@ def test_a_stream_is_followed(spark, bars, tmp_path):
     follow()
     follow()
     compared(state.results(spark, path), state.ran(plan, bars).select(*state.BAR, *plan.columns))
+
+
+def test_a_batch_is_made_once_and_rows_are_looked_up_in_doubt_only(spark, bars, tmp_path):
+    """Writing a batch makes its bars once; a row before any later batch begins isn't shuffled for the results."""
+    path, plan = f"file://{tmp_path}/once", state.daily_plan()
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    n = bars.count()
+    state.add(path, plan, bars.mapInArrow(counted, bars.schema), 0)
+    assert made.value == n
+    late = bars.where("date >= '1998-01-01' and date < '1998-02-01'").withColumn("close", F.col("close") + 1)
+    state.add(path, plan, late, 1)
+    both = late.unionByName(bars.join(late.select("ticker", "date"), ["ticker", "date"], "left_anti"))
+    compared(state.results(spark, path), state.ran(plan, both).select(*state.BAR, *plan.columns))
+    assert commits.read(spark, path).where("batch = 0 and date >= '1998-02-01'").count() > 0
+    assert "max_by" not in state.results(spark, path, ["ticker", "date", "bar"])._jdf.queryExecution().optimizedPlan().toString()

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,17 +66,24 @@ def _commit(spark: SparkSession, path: str, name: str, entry: dict) -> None:
         raise OSError(f"{where.toString()} can't be written")
 
 
-def append(tables: Mapping[str, DataFrame] | DataFrame, path: str, batch: int) -> bool:
-    """Adds the tables of a batch, all or none; False, and nothing added, if the batch is committed already. Batches are whole numbers from 0; one writer adds them."""
+def append(tables: Mapping[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]] | DataFrame, path: str, batch: int) -> bool:
+    """Adds the tables of a batch, all or none; False, and nothing added, if the batch is committed already. Batches are whole numbers from 0; one writer adds them.
+
+    A table may be a function of those before it, by name, as they were written: they aren't made again for it.
+    """
     tables = {"rows": tables} if isinstance(tables, DataFrame) else tables
     spark = next(iter(tables.values())).sparkSession
-    if any("batch" in t.columns for t in tables.values()):
+    if any("batch" in t.columns for t in tables.values() if isinstance(t, DataFrame)):
         raise ValueError("batch is the name of a column of the log's own")
     if committed(spark, path, batch):
         return False
+    made: dict[str, DataFrame] = {}
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch:0{DIGITS}d}")
-    schemas = {name: spark.read.parquet(f"{path}/{name}/batch={batch:0{DIGITS}d}").schema.jsonValue() for name in tables}
+        folder = f"{path}/{name}/batch={batch:0{DIGITS}d}"
+        table = table if isinstance(table, DataFrame) else table(made)
+        table.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        made[name] = spark.read.parquet(folder)
+    schemas = {name: table.schema.jsonValue() for name, table in made.items()}
     _commit(spark, path, f"{batch:0{DIGITS}d}", {"batch": batch, "schemas": schemas})
     return True
 
@@ -118,7 +125,7 @@ def compacted(spark: SparkSession, path: str) -> int:
     schemas = {}
     for name in {n for e in entries for n in e["schemas"]}:
         folder = f"{path}/{name}/upto={last:0{DIGITS}d}"
-        read(spark, path, name).write.mode("overwrite").parquet(folder)
+        read(spark, path, name).write.mode("overwrite").option("compression", "zstd").parquet(folder)
         schemas[name] = spark.read.parquet(folder).schema.jsonValue()
     _commit(spark, path, f"upto-{last:0{DIGITS}d}", {"upto": last, "schemas": schemas})
     return last

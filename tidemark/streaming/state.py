@@ -1,11 +1,12 @@
 """Series that go on between runs: each ticker's state is kept, so that a day's bars fold onto it.
 
 A Plan holds what a row takes from the rows before it: carried values (the close before, a running total, a
-state machine) and recursive averages. A folder has three tables of batches with one log of commits: bars,
-rows (the results) and states (each ticker's state after its last bar of each month). A batch reads the
-states alone, one row a ticker, and its own bars. Only tickers with a bar that is no later than one they
-had (a late bar, or a correction) go back to the last state before it and replay their bars from there; what
-comes out replaces the rows from that bar on.
+state machine) and recursive averages. A folder has two tables of batches with one log of commits: rows (the
+bars and the results, and what a state adds to them where one is kept) and states (each ticker's state after
+its last bar of each quarter). A batch reads the states alone, one row a ticker, and its own bars, once. Only
+tickers with a bar that is no later than one they had (a late bar, or a correction) go back to the last state
+before it and replay their bars from there; what comes out replaces the rows from that bar on, so that a row
+stands unless a later batch begins its ticker no later: only rows that might be replaced are looked up for it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.folds import Series, advanced, ema, folded, started, wilder
 from ..sources import commits
@@ -75,33 +77,56 @@ def add(path: str, plan: Plan, bars: DataFrame, batch: int) -> bool:
     if commits.committed(spark, path, batch):
         return False
     rest = [c for c in BAR if c not in ("ticker", "date")]
-    new = bars.where("ticker is not null and date is not null").groupBy("ticker", "date").agg(F.max(F.struct(*rest)).alias("r")).select("ticker", "date", "r.*")
-    first = new.groupBy("ticker").agg(F.min("date").alias("first"))
-    known = commits.current(spark, path, ["ticker", "month"], "states")
-    if known is None:
-        out = ran(plan, new).join(first, "ticker")
-    else:
+    new = bars.where("ticker is not null and date is not null").select(*BAR, F.lit(True).alias("fresh"))
+    known = commits.current(spark, path, ["ticker", "quarter"], "states")
+    own, again = None, new
+    if known is not None:
         # Of each ticker in the batch: the last state before its first bar, and whether it had later bars.
+        first = new.groupBy("ticker").agg(F.min("date").alias("first"))
         state = F.struct("last", *plan.state)
         own = known.join(first, "ticker").groupBy("ticker", "first").agg(F.max_by(F.when(F.col("last") < F.col("first"), state), F.when(F.col("last") < F.col("first"), F.col("last"))).alias("s"), F.max("last").alias("latest"))
-        own = own.select("ticker", "first", "s.*", (F.col("latest") >= F.col("first")).alias("late"))
+        own = own.select("ticker", "first", "s.*", (F.col("latest") >= F.col("first")).alias("late")).persist()
         late = own.where("late").select("ticker", "last")
         since = late.agg(F.count("*").alias("n"), F.min(F.coalesce("last", F.lit("0001-01-01").cast("date"))).alias("since")).first()
-        again = new
         if since["n"]:
-            stored = commits.current(spark, path, ["ticker", "date"], "bars").where(F.col("date") > F.lit(since["since"]))
-            stored = stored.join(late, "ticker").where("last is null or date > last").select(*BAR)
-            again = new.unionByName(stored.join(new.select("ticker", "date"), ["ticker", "date"], "left_anti"))
-        out = ran(plan, again, own.select("ticker", *plan.state)).join(first, "ticker")
-    rows = out.where(F.col("date") >= F.col("first"))
-    month = F.date_trunc("month", "date").cast("date").alias("month")
-    states = rows.groupBy("ticker", month).agg(F.max_by(F.struct(F.col("date").alias("last"), *plan.state), "date").alias("s")).select("ticker", "month", "s.*")
-    return commits.append({"bars": new.select(*BAR), "rows": rows.select(*BAR, *plan.columns), "states": states}, path, batch)
-
-
-def results(spark: SparkSession, path: str) -> DataFrame | None:
-    """ticker, date, the bar and the plan's columns, as they are after the last batch."""
-    return commits.current(spark, path, ["ticker", "date"])
+            stored = _standing(spark, path, BAR).where(F.col("date") > F.lit(since["since"]))
+            again = new.unionByName(stored.join(late, "ticker").where("last is null or date > last").select(*BAR, F.lit(False).alias("fresh")))
+    again = again.groupBy("ticker", "date").agg(F.max(F.struct("fresh", *rest)).alias("r")).select("ticker", "date", "r.*")
+    quarter = lambda date: F.date_trunc("quarter", date).cast("date")
+    order = W.partitionBy("ticker").orderBy("date")
+    ends = F.coalesce(quarter(F.lead("date").over(order)) != quarter("date"), F.lit(True))
+    first = F.min(F.when(F.col("fresh"), F.col("date"))).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    again = again.select(*BAR, ends.alias("ends"), first.alias("first"))
+    out = (ran(plan, again) if own is None else ran(plan, again, own.select("ticker", *plan.state))).where(F.col("date") >= F.col("first"))
+    held = F.when(F.col("ends"), F.struct(F.col("date").alias("last"), *started(plan.series))).alias("held")
+    carried = [F.col(c.name).alias(f"{c.name}_before") for c in plan.carried]
+    states = lambda made: made["rows"].where("held is not null").select("ticker", quarter("date").alias("quarter"), *carried, "held.*")
+    try:
+        return commits.append({"rows": out.select(*BAR, *plan.columns, held), "states": states}, path, batch)
+    finally:
+        if own is not None:
+            own.unpersist()
+
+
+def _standing(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame | None:
+    """The rows that no later batch has replaced."""
+    rows = commits.read(spark, path)
+    if rows is None:
+        return None
+    wanted = list(columns or (c for c in rows.columns if c not in ("batch", "held")))
+    # When a later batch begins: of all tickers, a row a batch, and of each.
+    after = W.orderBy("batch").rowsBetween(1, W.unboundedFollowing)
+    every = F.broadcast(rows.groupBy("batch").agg(F.min("date").alias("since")).select("batch", F.min("since").over(after).alias("until")))
+    each = rows.groupBy("ticker", "batch").agg(F.min("date").alias("since"))
+    each = each.select("ticker", "batch", F.min("since").over(after.partitionBy("ticker")).alias("replaced"))
+    marked = rows.select(*{*wanted, "ticker", "date", "batch"}).join(every, "batch")
+    doubtful = marked.where("date >= until").join(each, ["ticker", "batch"]).where("replaced is null or date < replaced")
+    return marked.where("until is null or date < until").select(*wanted).unionByName(doubtful.select(*wanted))
+
+
+def results(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame | None:
+    """ticker, date, the bar and the plan's columns, as they are after the last batch; or those named."""
+    return _standing(spark, path, columns)
 
 
 def follow(stream: DataFrame, path: str, plan: Plan, checkpoint: str):
