@@ -10,6 +10,7 @@ from tidemark.operators import adl, backtest, basics, correlation, filters, opti
 from tidemark.operators.screens import last_layered, layered, screened
 from tidemark.plans import indicator_queries, run_queries, screen_queries
 from tidemark.sources import bars as bars_
+from tidemark.sources import tiers, transforms
 
 DAY = dt.date(2020, 1, 1)
 
@@ -156,3 +157,17 @@ def test_pairs_of_a_ticker_follow_each_other(spark):
     assert {(r.a, r.b) for r in found} == {(a, b) for a in {r[0] for r in rows} for b in {r[0] for r in rows} if a < b} and len(found) == 780
     runs = sum((one.p, one.a) != (other.p, other.a) for one, other in zip(found, found[1:])) + 1
     assert runs == len({(r.p, r.a) for r in found}) and all(one.b < other.b for one, other in zip(found, found[1:]) if (one.p, one.a) == (other.p, other.a))
+
+
+def test_ticker_files_are_written_without_frames_and_read_back(spark, tmp_path):
+    rows = [("A", DAY + dt.timedelta(d), 1e7 + d, 0.1 + 0.2, None, float("nan") if d == 3 else 1 / 3, 17.0) for d in range(30)] + [("B", DAY, 1.0, 2.0, 0.5, 1.5, 3.0)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double").repartition(3)
+    out = transforms.canonical_files(bars, f"file://{tmp_path}/archive")
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.path.rsplit("/", 1)[1], r.rows) for r in out.collect()} == {("A.csv", 30), ("B.csv", 1)}
+    lines = (tmp_path / "archive/A.csv").read_text().split("\n")
+    assert lines[0] == "Date,Open,High,Low,Close,Volume" and len(lines) == 32 and [x[:10] for x in lines[1:31]] == [str(r[1]) for r in rows[:30]]
+    want = sorted((*r[:5], None if r[5] != r[5] else r[5], r[6]) for r in rows)
+    assert sorted(map(tuple, tiers.tiered(spark, f"file://{tmp_path}", weekdays="false").collect())) == want
+    table = transforms.files(spark, transforms.rules([f"TRUE,file://{tmp_path}/archive,*,plain,daily"]))
+    assert sorted(map(tuple, transforms.transformed(table).select(*bars.columns).collect())) == want

@@ -77,18 +77,25 @@ def transformed(table: DataFrame) -> DataFrame:
     Of rows with equal ticker, timeframe and date that of the last path and line stays.
     """
     fields = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
-    rows = table.where("ticker is not null and size(lines) > 1").select("path", "form", "timeframe", "ticker", F.transform(fields(F.col("lines")[0]), F.lower).alias("header"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("place", "line"))
-    rows = rows.withColumn("f", fields(F.col("line")))
-    at = lambda *names: F.coalesce(*(F.expr(f"try_element_at(f, cast(nullif(array_position(header, '{n}'), 0) as int))") for n in names))
-    nth = lambda i: F.expr(f"try_element_at(f, {i})")
-    sheet = F.col("form") == "sheet"
-    text = F.when(sheet, nth(1)).otherwise(at("time", "date"))
-    us = F.to_date(F.try_to_timestamp(F.split_part(text, F.lit(" "), F.lit(1)), F.lit("M/d/yyyy")))
-    iso = F.coalesce(F.to_date(F.timestamp_seconds(text.try_cast("bigint"))), F.substring(text, 1, 10).try_cast("date"))
-    number = lambda c: F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
-    made = {p: number(F.when(sheet, nth(i)).otherwise(at(p))).alias(p) for i, p in enumerate(PRICES, 2)}
-    volume = F.coalesce(number(F.when(sheet, nth(6)).otherwise(at("volume"))), F.lit(0.0)).alias("volume")
-    out = rows.select("ticker", "timeframe", F.when(sheet, us).otherwise(iso).alias("date"), *made.values(), volume, "path", "place").where("date is not null")
+    named = ["time", "date", *PRICES, "volume"]
+    places = F.struct(*(F.expr(f"cast(nullif(array_position(header, '{n}'), 0) as int)").alias(n) for n in named))
+    rows = table.where("ticker is not null and size(lines) > 1").withColumn("header", F.transform(fields(F.col("lines")[0]), F.lower)).withColumn("at", places)
+    sheet, nothing = F.col("form") == "sheet", F.lit(None).cast("double")
+    number = lambda c: F.nanvl(c.try_cast("double"), nothing)
+
+    def read(f: Column) -> Column:
+        at = lambda *names: F.coalesce(*(F.try_element_at(f, F.col("at")[n]) for n in names))
+        nth = lambda i: F.try_element_at(f, F.lit(i))
+        text = F.when(sheet, nth(1)).otherwise(at("time", "date"))
+        us = F.to_date(F.try_to_timestamp(F.split_part(text, F.lit(" "), F.lit(1)), F.lit("M/d/yyyy")))
+        seconds = F.when(text.rlike(r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$"), text.try_cast("bigint"))  # a cast that fails costs an exception a line
+        iso = F.coalesce(F.to_date(F.timestamp_seconds(seconds)), F.substring(text, 1, 10).try_cast("date"))
+        made = [number(F.when(sheet, nth(i)).otherwise(at(p))).alias(p) for i, p in enumerate(PRICES, 2)]
+        return F.struct(F.when(sheet, us).otherwise(iso).alias("date"), *made, F.coalesce(number(F.when(sheet, nth(6)).otherwise(at("volume"))), F.lit(0.0)).alias("volume"))
+
+    # A line's fields are a variable of the second function, so that they are split once, whatever is read from them.
+    lines = F.transform(F.transform(F.slice("lines", 2, F.size("lines")), fields), read)
+    out = rows.select("ticker", "timeframe", "path", F.posexplode(lines).alias("place", "bar")).where("bar.date is not null").select("ticker", "timeframe", "bar.*", "path", "place")
     last = out.groupBy("ticker", "timeframe", "date").agg(F.max_by(F.struct(*PRICES, "volume", "path"), F.struct("path", "place")).alias("r"))
     return last.select("ticker", "timeframe", "date", "r.*")
 
@@ -129,20 +136,28 @@ def canonical_files(bars: DataFrame, folder: str) -> DataFrame:
     task that runs twice, or dies, leaves no half of one.
     """
     columns = ["date", *PRICES, "volume"]
+    text = lambda c: F.coalesce((F.nanvl(F.col(c), F.lit(None).cast("double")) if kinds[c] == "double" else F.col(c)).cast("string"), F.lit(""))
+    kinds = dict(bars.dtypes)
 
-    def write(key, frame):
+    def write(batches):
         import uuid
 
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         store.create_dir(top, recursive=True)
-        path, draft = f"{top}/{key[0]}.csv", f"{top}/.{uuid.uuid4().hex}"
-        text = frame.sort_values("date")[columns].rename(columns=str.title).to_csv(index=False)
-        with store.open_output_stream(draft) as out:
-            out.write(text.encode())
-        store.move(draft, path)
-        return pd.DataFrame({"path": [path], "rows": [len(frame)]})
-
-    return bars.select("ticker", *columns).groupBy("ticker").applyInPandas(write, "path string, rows long")
+        for batch in batches:
+            paths = []
+            for ticker, lines in zip(batch.column("ticker").to_pylist(), batch.column("lines")):
+                paths.append(f"{top}/{ticker}.csv")
+                draft = f"{top}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(lines.as_buffer())
+                store.move(draft, paths[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), batch.column("rows")], ["path", "rows"])
+
+    lines = bars.select("ticker", F.struct("date", F.concat_ws(",", *map(text, columns)).alias("line")).alias("r")).groupBy("ticker").agg(F.sort_array(F.collect_list("r")).alias("all"))
+    header = F.lit(",".join(columns).title() + "\n")
+    whole = lines.select("ticker", F.concat(header, F.array_join("all.line", "\n"), F.lit("\n")).alias("lines"), F.size("all").cast("long").alias("rows"))
+    return whole.mapInArrow(write, "path string, rows long")
