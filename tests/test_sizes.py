@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import adl, backtest, basics, correlation, filters, options, strength, volume
@@ -171,3 +172,13 @@ def test_ticker_files_are_written_without_frames_and_read_back(spark, tmp_path):
     assert sorted(map(tuple, tiers.tiered(spark, f"file://{tmp_path}", weekdays="false").collect())) == want
     table = transforms.files(spark, transforms.rules([f"TRUE,file://{tmp_path}/archive,*,plain,daily"]))
     assert sorted(map(tuple, transforms.transformed(table).select(*bars.columns).collect())) == want
+
+
+def test_tiers_cast_columns_at_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tiers, "_number", lambda x, f=tiers._number: calls.append(x) or f(x))
+    table = lambda *closes: pa.table({"Date": ["2024-01-02", "2024-01-03 00:00", "2024-01-06"][: len(closes)], " close": list(closes)})
+    made = lambda *tables: tiers._bars("A", tables, True).select(["date", "close", "open"]).to_pylist()
+    day = lambda d: dt.date(2024, 1, d)
+    assert made(table("1.5"), table(" 2e3 ", "nan", "4"), table()) == [{"date": day(2), "close": 2000.0, "open": None}, {"date": day(3), "close": None, "open": None}] and not calls
+    assert made(table("1_0", "x", "4")) == [{"date": day(2), "close": 10.0, "open": None}, {"date": day(3), "close": None, "open": None}] and len(calls) == 3

@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import csv, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -42,21 +44,42 @@ def _number(text) -> float | None:
     return None if found != found else found
 
 
+def _numbers(texts: pa.Array) -> pa.Array:
+    """_number of each text; all at once where all are plain numbers."""
+    try:
+        found = pc.cast(pc.utf8_trim_whitespace(texts), pa.float64())
+    except pa.ArrowInvalid:
+        return pa.array([_number(x) for x in texts.to_pylist()], pa.float64())
+    return pc.if_else(pc.is_nan(found), pa.scalar(None, pa.float64()), found)
+
+
+def _dates(texts: pa.Array) -> pa.Array:
+    """The date that a text begins with, up to a blank; null for what isn't one."""
+    try:
+        return pc.cast(pc.utf8_trim_whitespace(texts), pa.date32())
+    except pa.ArrowInvalid:
+        days = pd.to_datetime(texts.to_pandas().astype("string").str.strip().str.split(" ").str[0], format="%Y-%m-%d", errors="coerce")
+        return pa.array(days.dt.date, pa.date32())
+
+
 def _bars(ticker: str, tables: Sequence[pa.Table], weekdays: bool) -> pa.RecordBatch:
-    frames = []
-    for tier, table in enumerate(tables):
-        frame = table.to_pandas()
-        frame.columns = [c.strip().lower() for c in frame.columns]
-        frames.append(frame.reindex(columns=["date", *PRICES, "volume"]).assign(tier=tier))
-    rows = pd.concat(frames, ignore_index=True)
-    rows["date"] = pd.to_datetime(rows["date"].astype("string").str.strip().str.split(" ").str[0], format="%Y-%m-%d", errors="coerce")
-    rows = rows[rows["date"].notna()]
+    names = ["date", *PRICES, "volume"]
+    columns: dict[str, list[pa.Array]] = {name: [] for name in names}
+    for table in tables:
+        own = {c.strip().lower(): table.column(i).combine_chunks() for i, c in enumerate(table.column_names)}
+        for name in names:
+            texts = own.get(name, pa.nulls(len(table), pa.string())).cast(pa.string())
+            columns[name].append(_dates(texts) if name == "date" else _numbers(texts))
+    whole = pa.RecordBatch.from_arrays([pa.concat_arrays(parts) for parts in columns.values()], names)
+    whole = whole.filter(pc.is_valid(whole.column("date")))
+    days = whole.column("date").cast(pa.int32()).to_numpy()
+    order = np.argsort(days, kind="stable")  # of equal dates that of the last tier and line is last
+    days = days[order]
+    kept = np.append(days[1:] != days[:-1], [True] * (len(days) > 0)).astype(bool)
     if weekdays:
-        rows = rows[rows["date"].dt.weekday < 5]
-    rows = rows.sort_values(["date", "tier"], kind="stable").drop_duplicates("date", keep="last")
-    values = [pa.array([_number(x) for x in rows[c]], pa.float64()) for c in [*PRICES, "volume"]]
-    names = ["ticker", "date", *PRICES, "volume"]
-    return pa.RecordBatch.from_arrays([pa.array([ticker] * len(rows), pa.string()), pa.array(rows["date"].dt.date, pa.date32()), *values], names)
+        kept &= (days + 3) % 7 < 5  # day 0 is a Thursday
+    rows = whole.take(pa.array(order[kept]))
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(ticker, pa.string()), len(rows)), *rows.columns], ["ticker", *names])
 
 
 class Reader(DataSourceReader):
