@@ -7,8 +7,10 @@ import math
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import adl, backtest, basics, correlation, filters, options, strength, volume
-from tidemark.operators.screens import last_layered, layered, screened
+from tidemark.functions import windows
+from tidemark.functions.sliding import slid
+from tidemark.operators import adl, backtest, basics, correlation, filters, options, screeners, strength, volume
+from tidemark.operators.screens import every_layered, last_layered, layered, screened
 from tidemark.plans import indicator_queries, run_queries, screen_queries
 from tidemark.sources import bars as bars_
 from tidemark.sources import tiers, transforms
@@ -182,3 +184,27 @@ def test_tiers_cast_columns_at_once(monkeypatch):
     day = lambda d: dt.date(2024, 1, d)
     assert made(table("1.5"), table(" 2e3 ", "nan", "4"), table()) == [{"date": day(2), "close": 2000.0, "open": None}, {"date": day(3), "close": None, "open": None}] and not calls
     assert made(table("1_0", "x", "4")) == [{"date": day(2), "close": 10.0, "open": None}, {"date": day(3), "close": None, "open": None}] and len(calls) == 3
+
+
+def test_slid_frames_are_those_of_windows(spark):
+    rows = [(f"T{t}" if t else None, DAY + dt.timedelta(d), None if (d * t) % 13 == 5 or t == 5 else 50.0 + (d * d * 7 + t) % 23 + 0.1 * t, None if d % 17 == 3 else d + 1) for t in range(7) for d in range((20, 1, 2, 64, 150, 60, 97)[t])]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, bar int")
+    made = {f"{kind}_{n}": (kind, "close", n, "bar" if kind == "regr_slope" else None) for kind in ("avg", "count", "stddev_pop", "stddev_samp", "regr_slope") for n in (0, 1, 15, 50)}
+    texts = {name: f"cast({kind}(close{f', {along}' if along else ''}) over {windows.rows(n)} as double)" for name, (kind, _, n, along) in made.items()}
+    want = {(r.ticker, r.date): r for r in layered(bars, (texts,)).collect()}
+    for most in (1, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert {(r.ticker, r.date): r for r in slid(bars, made).collect()} == want and len(want) == len(rows)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_screens_of_all_dates_slide_long_frames_in_batches(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 20.0 + 0.05 * d * (t % 3) + (d * 7 + t) % 5 * 0.1 if (d + t) % 41 else None, 100.0 + d % 9) for t in range(9) for d in range(40 + 20 * t)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, volume double").withColumn("unread", F.lit("x"))
+    screen = screeners.launch_pad(volume=0).every()
+    out, every = screened(bars, screen), lambda made: sorted(made.select("ticker", "date", *screen.columns).collect(), key=str)
+    assert every(every_layered(bars, screen.layers)) == every(layered(bars, screen.layers))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -" not in plan and "unread" not in plan and out.count() > 10

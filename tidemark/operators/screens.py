@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import Series, Smoothed, with_series
+from ..functions.sliding import AGGREGATES, Slide, slid
 from ..functions.windows import TICKER
 from ..sources.bars import latest
 
@@ -146,6 +147,35 @@ def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
     return latest(bars.where(F.col(BACK) == 0) if BACK in bars.columns else bars).drop(BACK)
 
 
+#: Frames of a column that can be slid in batches, and from how many rows in all that is worth the way to Python and back.
+SLIDES, LONG = re.compile(rf"\b({'|'.join(AGGREGATES)})\((\w+)(?:, (\w+))?\) over \({TICKER} rows between (\d+) preceding and current row\)"), 200
+
+
+def every_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
+    """layered(bars, layers), but where the last layer with windows has long frames, they are slid in batches."""
+    at = max((i for i, layer in enumerate(layers) if not isinstance(layer, dict) or any(re.search(r"\bover\b", text) for text in layer.values())), default=None)
+    if at is None or not isinstance(layers[at], dict) or sum(int(n) + 1 for _, n in {(m[0], m[4]) for text in layers[at].values() for m in SLIDES.finditer(text)}) < LONG:
+        return layered(bars, layers)
+    rows, layer, slides = layered(bars, layers[:at]), layers[at], {}
+    kinds = dict(rows.dtypes)
+    for m in (m for text in layer.values() for m in SLIDES.finditer(text)):
+        if kinds.get(m[2]) == "double" and (kinds.get(m[3]) in ("int", "double")) == (m[1] == "regr_slope"):
+            slides.setdefault(m[0], f"slid_{len(slides)}")
+    put = {name: SLIDES.sub(lambda m: slides.get(m[0], m[0]), text) for name, text in layer.items()}
+    # What needs a window besides is made first, as it is written.
+    windows = {name: layer[name] for name, text in put.items() if re.search(r"\bover\b", text)}
+    rest = {name: text for name, text in put.items() if name not in windows}
+    made: dict[str, Slide] = {}
+    for text, name in slides.items():
+        if any(re.search(rf"\b{name}\b", other) for other in rest.values()):
+            kind, column, along, before = SLIDES.fullmatch(text).groups()
+            made[name] = kind, column, int(before), along
+    if not made or any(name in rows.columns or re.search(rf"\b{name}\b", text) for name in windows for text in layer.values()):
+        return layered(bars, layers)
+    rows = layered(slid(layered(rows, (windows,)), made), (rest,))
+    return layered(rows.drop(*made), layers[at + 1 :])
+
+
 def side_by_side(bars: DataFrame, blocks: Sequence[tuple[Sequence[Layer], Sequence[str]]]) -> DataFrame:
     """ticker, date and columns of each block's layers on the last row of each ticker, all made on the same rows; of equal names the first block's counts."""
     parts, names = [], []
@@ -170,7 +200,12 @@ def side_by_side(bars: DataFrame, blocks: Sequence[tuple[Sequence[Layer], Sequen
 def screened(bars: DataFrame, screen: Screen) -> DataFrame:
     """ticker, date and the screen's columns and labels, for rows that meet its condition (null counts as not met)."""
     layers = [{name: f"round({text}, 9)" if name in screen.settled else text for name, text in layer.items()} if isinstance(layer, dict) else layer for layer in screen.layers]
-    rows = last_layered(bars, layers) if screen.last_only else layered(bars, layers)
+    if screen.last_only:
+        rows = last_layered(bars, layers)
+    else:
+        # A fold carries whole bars: it gets the columns that the screen names.
+        named = " ".join([screen.keep, *screen.columns, *screen.labels, *(x for layer in layers for x in (layer.values() if isinstance(layer, dict) else (r.column for r in layer)))])
+        rows = every_layered(bars.select(*(c for c in bars.columns if c in ("ticker", "date") or re.search(rf"\b{c}\b", named))), layers)
     return rows.where(F.coalesce(F.expr(screen.keep), F.lit(False))).select("ticker", "date", *screen.columns, *screen.labels)
 
 
