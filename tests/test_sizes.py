@@ -11,7 +11,8 @@ from tidemark.functions import windows
 from tidemark.functions.sliding import slid
 from tidemark.operators import adl, backtest, basics, correlation, filters, options, screeners, strength, volume
 from tidemark.operators.screens import every_layered, last_layered, layered, screened
-from tidemark.plans import indicator_queries, run_queries, screen_queries
+from tidemark.plans import derived_queries, indicator_queries, run_queries, screen_queries
+from tidemark.plans.common import shown
 from tidemark.sources import bars as bars_
 from tidemark.sources import tiers, transforms
 
@@ -62,6 +63,15 @@ def test_last_dates_of_filled_prices(spark):
     assert "slice(" in plan(strength.strength_of_groups(bars, bars.selectExpr("ticker", "'g' as sector", "1e0 as market_cap").distinct(), (5,)))
 
 
+def test_weighted_leaders_fill_the_dates_that_they_read(spark):
+    out = derived_queries.Q["screen_weighted_leaders"](spark, "/root/testdata/sf0.01")
+    bars = bars_.daily(spark, "/root/testdata/sf0.01")
+    prices = bars_.filled(bars)
+    want = screeners.leaders(strength.relative_strength(prices, strength.market(prices), (1, 5, 22)), bars_.dimension(spark, "/root/testdata/sf0.01"))
+    assert out.count() > 3 and sorted(out.collect()) == sorted(shown(want).collect())
+    assert "slice(" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ledgers_stream_over_their_signals(spark):
     kinds = ("Buy", "Close Buy", "Sell", "Close Sell")
     rows = [(f"s{i % 3}", f"T{i * 7 % 13}", DAY + dt.timedelta(i // 4), kinds[i * 5 % 4 if i % 3 else i // 3 % 4], 10.0 + i * 11 % 17) for i in range(400)]

@@ -143,8 +143,9 @@ def cascade_performance(spark, sf_dir):
     "i as (select industry, avg(strength) as industry_strength from o where strength is not null group by industry having count(*) >= 3)", "p as (select *, row_number() over (order by industry_strength desc, industry) as industry_place, greatest(1, floor(count(*) over () * 0.2)) as top from i)",
     dim=True, select="select ticker, industry, round(strength, 4) as strength, round(industry_strength, 4) as industry_strength, industry_place, row_number() over (partition by industry order by strength desc, ticker) as place from o join p using (industry) where industry_place <= top and strength is not null qualify place <= 4"))
 def weighted_leaders(spark, sf_dir):
-    prices = source.filled(source.daily(spark, sf_dir))
-    return shown(screeners.leaders(strength.relative_strength(prices, strength.market(prices), (1, 5, 22)), source.dimension(spark, sf_dir)))
+    periods = (1, 5, 22)
+    prices = source.filled(source.daily(spark, sf_dir), max(periods) + 1)
+    return shown(screeners.leaders(strength.relative_strength(prices, strength.market(prices), periods), source.dimension(spark, sf_dir)))
 
 
 @Q.add("screen_range_rank", on_bars("t as (select *, greatest(high - low, coalesce(abs(high - lag(close) over w), 0), coalesce(abs(low - lag(close) over w), 0)) as tr from bars " + W + ")", "a as (select ticker, date, case when count(tr) over v >= 14 then avg(tr) over v end as atr from t window v as (partition by ticker order by date rows between 13 preceding and current row) qualify row_number() over (partition by ticker order by date desc) = 1)",
