@@ -7,10 +7,10 @@ import math
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.functions import windows
-from tidemark.functions.sliding import slid
-from tidemark.operators import adl, backtest, basics, correlation, filters, options, screeners, strength, volume
-from tidemark.operators.screens import every_layered, last_layered, layered, screened
+from tidemark.functions import folds, windows
+from tidemark.functions.sliding import followed, slid, with_place
+from tidemark.operators import adl, backtest, basics, correlation, filters, indicators, options, screeners, strength, volume
+from tidemark.operators.screens import every_layered, last_layered, layered, merged, screened, side_by_side
 from tidemark.plans import derived_queries, indicator_queries, run_queries, screen_queries
 from tidemark.plans.common import shown
 from tidemark.sources import bars as bars_
@@ -210,6 +210,42 @@ def test_slid_frames_are_those_of_windows(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_followed_series_are_those_of_folds(spark):
+    rows = [(f"T{t}" if t else None, DAY + dt.timedelta(d), None if (d * t) % 13 == 5 or t == 5 or d < t else 50.0 + (d * d * 7 + t) % 23 + 0.1 * t, d if d % 17 else None) for t in range(7) for d in range((20, 1, 2, 64, 150, 60, 97)[t])]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double, n int")
+    series = {c: [folds.Smoothed(f"{c}_quick", "ewm", 1, lambda bar, _, c=c: bar[c], 1, weight=0.3), folds.Series(f"{c}_slow", "ewm", 26, lambda bar, _, c=c: bar[c], 9)] for c in ("close", "n")}
+    want = {(r.ticker, r.date): r for r in folds.with_series(bars, [s for some in series.values() for s in some]).collect()}
+    for most in (1, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert {(r.ticker, r.date): r for r in followed(with_place(bars), series, bars.columns).collect()} == want and len(want) == len(rows)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_all_indicators_make_series_of_all_blocks_at_once(spark):
+    out = indicator_queries.Q["indicator_all"](spark, "/root/testdata/sf0.01")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "aggregate(" not in plan  # macd and tsi feed averages, whose own average tsi is
+    got = {r.ticker: r.asDict() for r in out.collect()}
+    assert len(got) == 100
+    for name in ("rsi", "tsi", "mfi", "easy_trade", "crosses", "adline", "momentum"):
+        for r in indicator_queries.Q[f"indicator_{name}"](spark, "/root/testdata/sf0.01").collect():
+            assert all(v == got[r.ticker][c] for c, v in r.asDict().items()), name
+
+
+def test_blocks_that_name_different_things_are_made_one_after_another(spark):
+    rows = [(f"T{t}", DAY + dt.timedelta(d), 50.0 + (d * d * 7 + t) % 23) for t in range(5) for d in range((20, 60, 90, 2, 45)[t])]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    blocks = [(indicators.macd_layers(), ("macd", "macd_signal")), (indicators.macd_layers(5, 8, 3), ("macd_histogram", "macd")), (indicators.sma_layers(21), ("sma_21",)), (({"close": "close * 2"},), ("close",))]
+    assert merged([layers for layers, _ in blocks], ["macd"]) is None
+    got = {r.ticker: r for r in side_by_side(bars, blocks).collect()}
+    one, other = ({r.ticker: r for r in bars_.latest(layered(bars, layers)).collect()} for layers, _ in blocks[:2])
+    for t, r in got.items():
+        assert (r.macd, r.macd_signal, r.macd_histogram, r.close) == (one[t].macd, one[t].macd_signal, other[t].macd_histogram, 2 * one[t].close)
+    assert len(got) == 5
+
+
 def test_screens_of_all_dates_slide_long_frames_in_batches(spark):
     rows = [(f"T{t}", DAY + dt.timedelta(d), 20.0 + 0.05 * d * (t % 3) + (d * 7 + t) % 5 * 0.1 if (d + t) % 41 else None, 100.0 + d % 9) for t in range(9) for d in range(40 + 20 * t)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double, volume double").withColumn("unread", F.lit("x"))

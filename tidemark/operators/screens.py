@@ -9,14 +9,14 @@ miss can be looked at by relaxing the condition.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import Series, Smoothed, with_series
-from ..functions.sliding import AGGREGATES, Slide, slid
+from ..functions.sliding import AGGREGATES, PLACE, Slide, followed, slid, with_place
 from ..functions.windows import TICKER
 from ..sources.bars import latest
 
@@ -119,8 +119,18 @@ def _parted(layers: Sequence[Layer]) -> list[Layer]:
     return out
 
 
-def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
-    """latest(layered(bars, layers)), but windows of a known length see no more of the last rows than the last one's values come from."""
+def _followable(parts: Sequence[Layer], reads: Sequence[float]) -> bool:
+    """Whether series can be made in batches: none but ewm, no window between them, and few rows are looked at after them."""
+    folds = [i for i, part in enumerate(parts) if not isinstance(part, dict)]
+    between = [text for part in parts[folds[0] : folds[-1]] if isinstance(part, dict) for text in part.values()] if folds else []
+    return bool(folds) and all(r.kind == "ewm" for i in folds for r in parts[i]) and reads[folds[-1] + 1] < float("inf") and not any(re.search(r"\bover\b", text) for text in between)
+
+
+def last_layered(bars: DataFrame, layers: Sequence[Layer], wanted: Sequence[str] | None = None) -> DataFrame:
+    """latest(layered(bars, layers)), but windows of a known length see no more of the last rows than the last one's values come from.
+
+    With the columns that are wanted, series are made in batches where that pays, and rows carry only what is read later.
+    """
     parts = _parted(layers)
     needs: list[dict[str, float]] = [{} for _ in parts]  # how many of the last rows of each column are looked at
     reads = [0.0] * (len(parts) + 1)  # and of all rows, by this part and those after it
@@ -135,16 +145,25 @@ def last_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
             folds = [float("inf") for later in parts[i + 1 :] if not isinstance(later, dict) for r in later if r.column == name]
             needs[i][name] = max([1, *users, *folds])
         reads[i] = max([reads[i + 1], *(n + depth(part[name]) for name, n in needs[i].items())])
-    seen = float("inf")
-    for part, need, read in zip(parts, needs, reads):
+    seen, batches = float("inf"), wanted is not None and _followable(parts, reads)
+    for i, (part, need, read) in enumerate(zip(parts, needs, reads)):
         if isinstance(part, dict) and any(FRAME.search(text) for text in part.values()):
             if BACK not in bars.columns:
                 bars = with_back(bars)
             part = {name: at_last(text) if need[name] == 1 else text for name, text in part.items()}
         if read < seen and BACK in bars.columns:
             bars, seen = bars.where(F.col(BACK) < int(read)), read
+        if batches and not isinstance(part, dict):
+            if PLACE not in bars.columns:
+                bars = with_place(bars if BACK in bars.columns else with_back(bars))
+            later = " ".join([*wanted, *(x for other in parts[i + 1 :] for x in (other.values() if isinstance(other, dict) else (r.column for r in other)))])
+            ended = reads[i + 1] < float("inf")  # the last of the series: rows are few from here on
+            kept = [c for c in bars.columns if c in ("ticker", "date", BACK) or c == PLACE and not ended or _names(later, [c])]
+            bars = followed(bars, {c: [r.series() for r in part if r.column == c] for c in dict.fromkeys(r.column for r in part)}, kept, (BACK, int(reads[i + 1])) if ended else None)
+            seen = reads[i + 1]
+            continue
         bars = layered(bars, (part,))
-    return latest(bars.where(F.col(BACK) == 0) if BACK in bars.columns else bars).drop(BACK)
+    return latest(bars.where(F.col(BACK) == 0) if BACK in bars.columns else bars).drop(BACK, PLACE)
 
 
 #: Frames of a column that can be slid in batches, and from how many rows in all that is worth the way to Python and back.
@@ -176,24 +195,67 @@ def every_layered(bars: DataFrame, layers: Sequence[Layer]) -> DataFrame:
     return layered(rows.drop(*made), layers[at + 1 :])
 
 
+def _names(text: str, among: Iterable[str]) -> set[str]:
+    return set(re.findall(r"\w+", text)) & set(among)
+
+
+def merged(blocks: Sequence[Sequence[Layer]], wanted: Sequence[str]) -> list[Layer] | None:
+    """Layers that make `wanted` with all that blocks make of the same bars, each column once; None where blocks give a name to different things.
+
+    What recursive series and frames of all rows come from is made first, series of all blocks beside each other, and the rest last.
+    """
+    made: dict[str, str | Recursive] = {}
+    for layers in blocks:
+        for name, step in ((k, v) for layer in layers for k, v in (layer.items() if isinstance(layer, dict) else ((r.name, r) for r in layer))):
+            if made.setdefault(name, step) != step:
+                return None
+    reads = {name: _names(step.column if isinstance(step, Recursive) else step, made) - {name} for name, step in made.items()}
+
+    def sources(names: Iterable[str]) -> set[str]:
+        found, new = set(), set(names)
+        while new:
+            found |= new
+            new = {x for name in new for x in reads[name]} - found
+        return found
+
+    used = sources(_names(" ".join(wanted), made))
+    early = sources(name for name in used if isinstance(made[name], Recursive) or depth(made[name]) == float("inf"))
+    out: list[Layer] = []
+    for part in (early, used - early):
+        left = [name for name in made if name in part]
+        while left:
+            done = {name for name in made if name in used and name not in left and (name in early or part is not early)}
+            ready = [name for name in left if reads[name] <= done]
+            if not ready:
+                return None  # a name that is made anew from itself
+            now = [name for name in ready if not isinstance(made[name], Recursive)] or ready
+            out.append({name: made[name] for name in now} if isinstance(made[now[0]], str) else tuple(made[name] for name in now))
+            left = [name for name in left if name not in now]
+    return out
+
+
 def side_by_side(bars: DataFrame, blocks: Sequence[tuple[Sequence[Layer], Sequence[str]]]) -> DataFrame:
-    """ticker, date and columns of each block's layers on the last row of each ticker, all made on the same rows; of equal names the first block's counts."""
+    """ticker, date and columns of each block's layers on the last row of each ticker, all made on the same rows; of equal names the first block's counts.
+
+    Blocks that give a name to different things, or to a column of bars, are made one after another, the others as one.
+    """
     parts, names = [], []
     for layers, columns in blocks:
         new = [c for c in columns if c not in names]
         names += new
         parts.append((layers, new))
-    rows, kept, last, ended = bars.where("ticker is not null"), [], {}, []
-    for layers, new in sorted(parts, key=lambda part: all(isinstance(layer, dict) for layer in part[0])):
-        made = {name: text for layer in layers if isinstance(layer, dict) for name, text in layer.items()}
-        if all(isinstance(layer, dict) for layer in layers) and not any(last.get(k, v) != v or k in bars.columns for k, v in made.items()):
-            last |= made  # no series: these are made last, from few rows
-            ended += [(layers, new)]
+    rows, kept, together = bars.where("ticker is not null"), [], []
+    for layers, new in parts:
+        own = {name for layer in layers for name in (layer if isinstance(layer, dict) else (r.name for r in layer))}
+        if not own & set(bars.columns) and merged([*(some for some, _ in together), layers], [*own]) is not None:
+            together += [(layers, new)]
             continue
-        rows = layered(rows, layers).select(*bars.columns, *kept, *(F.col(c).alias(f"kept_{c}") for c in new))
+        lost = own & set(bars.columns)  # what a block makes of a column of bars is its own
+        rows = layered(rows.select("*", *(F.col(c).alias(f"bars_{c}") for c in lost)), layers)
+        rows = rows.select(*(F.col(f"bars_{c}" if c in lost else c).alias(c) for c in bars.columns), *kept, *(F.col(c).alias(f"kept_{c}") for c in new))
         kept += [f"kept_{c}" for c in new]
-    rows = last_layered(rows, [layer for layers, _ in ended for layer in layers])
-    own = {c for _, new in ended for c in new}
+    own = [c for _, new in together for c in new]
+    rows = last_layered(rows, merged([layers for layers, _ in together], own), [*own, *kept])
     return rows.select("ticker", "date", *(F.col(c if c in own else f"kept_{c}").alias(c) for c in names))
 
 
