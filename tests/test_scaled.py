@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,26 @@ def test_pairs_shuffle_a_return_once(spark):
     assert "CartesianProduct" in plan and "Generate" not in plan
 
 
+def test_figures_of_blocks_are_those_of_their_pairs():
+    r = np.random.default_rng(3)
+    cells = lambda names: pa.array([{"ticker": t, "days": sorted(r.choice(60, 40, False).tolist()), "rets": (r.normal(size=40) * (t != "flat")).tolist()} for t in names], correlation_cell)
+    correlation_cell = pa.struct([("ticker", pa.string()), ("days", pa.list_(pa.int32())), ("rets", pa.list_(pa.float64()))])
+    one, other = cells(["c", "a", "flat", "e", "g"]), cells(["d", "b", "f"])
+    for left, right in ((one, one), (one, other), (other, one)):
+        sums, want = correlation._Sums(), {}
+        sums.add(left, right)
+        for ones, i, others, j, _, value in sums.pairs(left is right, 25):
+            want |= {(a, b): v for a, b, v in zip(ones[i], others[j], value) if v == v}
+        got = {}
+        for first, value in sums.figures(left is right, 25):
+            for i, j in zip(*np.nonzero(~np.isnan(value))):
+                got[tuple(sorted((list(sums.names[0])[first + i], list(sums.names[1])[j])))] = value[i, j]
+        assert got == want and len(got) > 3 and not any("flat" in pair for pair in got)
+        rows = [x for batch in correlation._summed(None, sums, left is right, 25) for x in batch.to_pylist()]
+        assert sum(x["pairs"] for x in rows) == len(want) and max(x["highest"] for x in rows) == max(want.values()) and want[rows[0]["lowest_a"], rows[0]["lowest_b"]] == rows[0]["lowest"] == min(want.values())
+        assert sums.sums[0].dtype == np.float64 and sums.sums[0].max() <= 40
+
+
 def test_groups_make_no_row_for_a_pair_and_date(spark):
     bars = walks(spark, 9)
     groups = spark.createDataFrame([(f"T{t:02d}", g) for t in range(9) for g in ("all", "odd" if t % 2 else None)], "ticker string, grp string")
